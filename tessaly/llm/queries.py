@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.llm import q_quality, q_url_filter
+from tessaly.llm import q_bpe, q_quality, q_url_filter
 
-_MODULES = (q_url_filter, q_quality)
+_MODULES = (q_url_filter, q_quality, q_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
