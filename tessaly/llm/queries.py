@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.llm import q_bpe, q_quality, q_url_filter
+from tessaly.llm import q_bpe, q_packing, q_quality, q_url_filter
 
-_MODULES = (q_url_filter, q_quality, q_bpe)
+_MODULES = (q_packing, q_url_filter, q_bpe, q_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
