@@ -87,9 +87,9 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(table[part, i]) for i in range(LANES))], names=["line", *names])
 
     found = docs.select(text).mapInArrow(run, "line long, " + ", ".join(f"{x} long" for x in names))
-    summed = found.groupBy("line").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    summed = found.groupBy("line").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
     table = np.zeros((2 * size // LANES, LANES), np.int64)
-    table[summed["line"].to_numpy(np.int64)] = summed[names].to_numpy(np.int64)
+    table[summed["line"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], axis=1)
     return table.reshape(2, size)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.llm import q_bpe, q_chat, q_jaccard, q_packing, q_quality, q_topk, q_url_filter
+from tessaly.llm import q_bpe, q_chat, q_jaccard, q_langid, q_packing, q_quality, q_topk, q_url_filter
 
-_MODULES = (q_packing, q_url_filter, q_jaccard, q_chat, q_bpe, q_topk, q_quality)
+_MODULES = (q_packing, q_url_filter, q_jaccard, q_chat, q_bpe, q_langid, q_topk, q_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

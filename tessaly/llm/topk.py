@@ -59,7 +59,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
             total += m.T @ m
         yield pd.DataFrame({"i": np.repeat(np.arange(width), width), "j": np.tile(np.arange(width), width), "s": total.ravel()})
 
-    sums = vectors.mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+    sums = vectors.mapInPandas(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toArrow().to_pandas()
     gram = np.zeros((width, width))
     gram[sums["i"], sums["j"]] = sums["s"]
     return np.linalg.eigh(gram)[1][:, ::-1].copy()
