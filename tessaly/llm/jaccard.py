@@ -209,3 +209,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     alone = table.where(~sound).withColumn("component_id", F.col("doc_id"))
     return table.where(sound).join(named, "print").select(*out).union(alone.select(*out))
+
+
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """docs without the near copies: of each component the document with the smallest id stays, and of repeated rows of
+    one id one. Rows with a null id stay. Texts aren't shuffled while the ids that go fit a broadcast."""
+    found = written(jaccard_components(docs, doc_id, text, percent, width).select(F.col(doc_id).alias("_id"), "component_id"), "components")
+    gone = written(found.where("_id <> component_id").select("_id").distinct(), "gone")
+    again = written(found.where("_id = component_id").groupBy("_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("_id"), "again")
+    n_gone, n_again = gone.count(), again.count()
+    kept = docs.join(F.broadcast(gone) if fits_broadcast(n_gone, 32) else gone, docs[doc_id] == gone["_id"], "left_anti")
+    if not n_again:
+        return kept
+    side = F.broadcast(again) if fits_broadcast(n_again, 32) else again
+    once = kept.join(side, kept[doc_id] == side["_id"], "left_semi").dropDuplicates([doc_id])
+    return kept.join(side, kept[doc_id] == side["_id"], "left_anti").unionByName(once)

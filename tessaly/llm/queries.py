@@ -1,4 +1,4 @@
-"""The opN_ queries over the driver tables and the SQL that checks them."""
+"""The opN_ queries over the driver tables, the pipeline, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tessaly.llm import q_bpe, q_chat, q_jaccard, q_langid, q_packing, q_quality, q_topk, q_url_filter
 
 _MODULES = (q_packing, q_url_filter, q_jaccard, q_chat, q_bpe, q_langid, q_topk, q_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
