@@ -16,7 +16,8 @@ PHI_B = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null, which least() and greatest() alone would skip."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def phi(z: Column) -> Column:

@@ -164,15 +164,17 @@ def to_usd(amount: Column, code: Column, rate: Column) -> Column:
 
 
 def hash_tag(text: Column) -> Column:
-    """RV- and six hexadecimal digits of a 32-bit FNV-1a whose products are rounded as doubles."""
+    """RV- and the last six hexadecimal digits of a 32-bit FNV-1a whose factors are signed and whose products are rounded
+    as doubles; RV-000000 for an empty or null text."""
     start = F.lit(2166136261).cast("bigint")
 
     def step(h: Column, c: Column) -> Column:
         mixed = h.bitwiseXOR(F.ascii(c).cast("bigint"))
-        return F.pmod((mixed.cast("double") * F.lit(16777619.0)).cast("decimal(20,0)"), F.lit(4294967296).cast("decimal(20,0)")).cast("bigint")
+        mixed = F.when(mixed >= 2**31, mixed - 2**32).otherwise(mixed)
+        return F.pmod((mixed.cast("double") * F.lit(16777619.0)).cast("bigint"), F.lit(4294967296))
 
     h = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)
-    return F.concat(F.lit("RV-"), F.upper(F.substring(F.lpad(F.hex(h), 8, "0"), 1, 6)))
+    return F.when(F.coalesce(text, F.lit("")) == "", "RV-000000").otherwise(F.concat(F.lit("RV-"), F.lpad(F.hex(F.pmod(h, F.lit(1 << 24))), 6, "0")))
 
 
 def score_text(x: Column) -> Column:
