@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.plans import feeds, links, rankings, scoring, streams, texts
+from tessaly.plans import feeds, ingest, links, rankings, scoring, streams, texts
 
-_MODULES = (rankings, scoring, feeds, links, texts, streams)
+_MODULES = (rankings, scoring, feeds, links, texts, ingest, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
