@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessaly.llm.shared import fits_broadcast, written
+from tessaly.llm.shared import small, written
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -122,8 +122,8 @@ def host_verdicts(judged: DataFrame, host: str, limit: float = HOST_FAIL_RATE) -
 def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, MEASURES, base_failed, host_rate, kept: a row for each row of docs, without the texts."""
     judged = written(measured(docs, text, [doc_id, host]).withColumn("base_failed", base_rule()), "quality")
-    hosts = host_verdicts(judged, host)
-    return judged.join(hosts, host, "left").select(
+    hosts = written(host_verdicts(judged, host), "hosts")
+    return judged.join(small(hosts, hosts.count(), 256), host, "left").select(
         doc_id, *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept")
     )
 
@@ -136,5 +136,5 @@ def quality_kept(docs: DataFrame, text: str = "text", host: str = "source") -> D
     rows = failed.count()
     if not rows:
         return good
-    side = F.broadcast(failed) if fits_broadcast(rows, 256) else failed
+    side = small(failed, rows, 256)
     return good.join(side, good[host] == side["_failed_host"], "left_anti")

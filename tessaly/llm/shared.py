@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times the given row width stay below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -32,3 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def fits_broadcast(rows: int, row_bytes: int) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
+
+
+#: Rows of a narrow table that one task takes.
+TASK_ROWS = 250_000
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in about as many tasks as its counted rows are worth, where the session has more shuffle partitions than that."""
+    return df.coalesce(max(8, rows // TASK_ROWS))
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df marked for broadcast if its counted rows fit; else as it is, and Spark shuffles."""
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
