@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tessaly.operators import gates as G
 from tessaly.plans.tables import table
 
-_I = F.col("event_id")
-
 
 def _e(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
@@ -26,23 +24,23 @@ def sane_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_reasons(spark: SparkSession, d: str) -> DataFrame:
-    r = G.review_reasons(F.col("value") / 100, F.lit(0.9), _I % 4 != 0, F.lit(10.0), F.lit(10.0) + (_I % 8))
+    r = G.review_reasons(F.col("value") / 100, F.lit(0.9), F.col("event_id") % 4 != 0, F.lit(10.0), F.lit(10.0) + (F.col("event_id") % 8))
     return _e(spark, d).groupBy(F.array_join(r, ";").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def auto_approval(spark: SparkSession, d: str) -> DataFrame:
-    checked = F.when(_I % 5 == 0, "disagree").when(_I % 5 == 1, "agree")
-    return _e(spark, d).groupBy(G.auto_approved(F.col("value") / 50, _I % 3 != 0, F.lit(0.85), checked).alias("approved")).agg(F.count(F.lit(1)).alias("n"))
+    checked = F.when(F.col("event_id") % 5 == 0, "disagree").when(F.col("event_id") % 5 == 1, "agree")
+    return _e(spark, d).groupBy(G.auto_approved(F.col("value") / 50, F.col("event_id") % 3 != 0, F.lit(0.85), checked).alias("approved")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def publish_gate(spark: SparkSession, d: str) -> DataFrame:
-    word = F.element_at(F.array(*[F.lit(x) for x in ("12", "not_found", "not_stated", "odd", "7")]), (_I % 5 + 1).cast("int"))
-    p = G.published(F.when(_I % 31 == 0, "reject").otherwise("ok"), _I % 29 != 0, F.when(_I % 23 != 0, "s"), word, _I % 2 == 0, word != "odd", F.when(_I % 7 != 0, 1.0), F.col("value") < 90)
+    word = F.element_at(F.array(*[F.lit(x) for x in ("12", "not_found", "not_stated", "odd", "7")]), (F.col("event_id") % 5 + 1).cast("int"))
+    p = G.published(F.when(F.col("event_id") % 31 == 0, "reject").otherwise("ok"), F.col("event_id") % 29 != 0, F.when(F.col("event_id") % 23 != 0, "s"), word, F.col("event_id") % 2 == 0, word != "odd", F.when(F.col("event_id") % 7 != 0, 1.0), F.col("value") < 90)
     return _e(spark, d).groupBy(p["status"].alias("status"), p["reason"].alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def usable_scrapes(spark: SparkSession, d: str) -> DataFrame:
-    s = _e(spark, d).select("event_id", "user_id", F.when(_I % 6 == 0, 404).otherwise(200).alias("status"), F.when(F.col("user_id") % 3 == 0, 2).otherwise(_I % 3 + 1).alias("tier"), F.when(_I % 7 == 0, " ").otherwise("x").alias("content"))
+    s = _e(spark, d).select("event_id", "user_id", F.when(F.col("event_id") % 6 == 0, 404).otherwise(200).alias("status"), F.when(F.col("user_id") % 3 == 0, 2).otherwise(F.col("event_id") % 3 + 1).alias("tier"), F.when(F.col("event_id") % 7 == 0, " ").otherwise("x").alias("content"))
     return G.usable_scrapes(s, "user_id", "event_id").select("user_id", "event_id")
 
 
@@ -67,7 +65,7 @@ def discovery_telemetry(spark: SparkSession, d: str) -> DataFrame:
 
 def blocker_recheck(spark: SparkSession, d: str) -> DataFrame:
     blocked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("domain"))
-    probes = _e(spark, d).select(F.col("user_id").alias("domain"), F.when(_I % 2 == 0, 200).otherwise(503).alias("status"), (F.col("value") * 16).alias("length")).where("event_type = 'purchase'")
+    probes = _e(spark, d).select(F.col("user_id").alias("domain"), F.when(F.col("event_id") % 2 == 0, 200).otherwise(503).alias("status"), (F.col("value") * 16).alias("length")).where("event_type = 'purchase'")
     cleared, kept = G.rechecked(blocked, probes)
     return cleared.withColumn("verdict", F.lit("cleared")).unionByName(kept.withColumn("verdict", F.lit("kept")))
 

@@ -126,3 +126,10 @@ def test_entry_and_the_guard(spark, monkeypatch):
     assert set(entry.oracle_sql()) <= set(named)
     monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
     assert "rankings" in entry.queries() and not [n for n in entry.queries() if n.startswith("op")]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+
+    listed = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True)
+    assert listed.returncode == 0, listed.stderr
