@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaly.llm.shared import written
+from tessaly.llm.shared import few, small, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -21,16 +21,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
     links = written(links, "links")
     before = _state(links)
-    while before[0]:
+    while (rows := before[0]) > 0:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low")).select("at", F.least("at", "low").alias("low"))
-        large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low"))
-        small = large.join(low, F.col("a") == F.col("at")).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        links = written(small.union(low.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct(), "links")
+        least = few(both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low")), rows).select("at", F.least("at", "low").alias("low"))
+        large = both.where(F.col("b") > F.col("a")).join(small(least, 2 * rows, 32), F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = written(few(large.distinct(), rows), "links")
+        low = few(large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low")), rows)
+        below = large.join(small(low, rows, 32), F.col("a") == F.col("at")).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        links = written(few(below.union(low.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct(), rows), "links")
         after = _state(links)
         if after == before:
             break
         before = after
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return ends.union(links.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return ends.union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

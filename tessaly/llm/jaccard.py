@@ -9,8 +9,9 @@
    only (one pair for each row), the links found merge classes, and pivots change until the pairs left between different
    components are few for the rows there are; then all of those are met. So a group of near copies costs about its
    size, and no pair that could join two components is left out.
-4. Pairs are discarded by size (p max <= 100 min), then by the bound that the bitmaps' distance puts on the overlap;
-   the overlap of what is left is counted over the whole sets.
+4. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
+   they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), then by the bound that the
+   bitmaps' distance puts on the overlap; the overlap of what is left is counted over the whole sets.
 
 Words are maximal runs without x20 and x09-x0D, A-Z lower-cased. Defined results: a text with fewer words than the
 n-gram's width is one n-gram; a text without words, or null, has size 0 and links with nothing; repeated rows are
@@ -30,17 +31,17 @@ from pyspark.sql import functions as F
 
 from tessaly.llm.bpe import Remembered
 from tessaly.llm.components import connected_components
-from tessaly.llm.shared import fits_broadcast, written
+from tessaly.llm.shared import few, fits_broadcast, small, written
 
 WIDTH = 4
 PERCENT = 85
 #: The frequency sketch: two rows of 2**SKETCH_BITS counters, LANES of them in a row of the table that sums them.
-SKETCH_BITS = 20
+SKETCH_BITS = 19
 LANES = 16
 PARITY_BITS = 2048
-#: Pairs left between components, for each row of the blocks, at which pivots end; and how often pivots change at most.
-PAIRS_A_ROW = 4
-PIVOT_ROUNDS = 5
+#: Pivots end when so few pairs are left between components for each row of the blocks, or when the last pivots didn't
+#: halve them.
+PAIRS_A_ROW = 40
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
@@ -147,64 +148,86 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     return some.mapInArrow(run, f"node {kind}, hashes array<long>")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, n_classes: int, docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
     """The pairs (a, b) that link, by the size and bitmap bounds and then the whole sets."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
+    side = lambda x: small(classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")), n_classes, 64 + PARITY_BITS // 8)
     apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
     able = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * F.floor((total - apart) / 2) >= percent * total).select("a", "b", "n_a", "n_b")
     able = written(able, "pairs")
-    wanted = written(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    n_able = able.count()
+    wanted = written(few(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n_able), "wanted")
     sets = _sets(docs, wanted, doc_id, text, width)
     met = able.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
     overlap = F.size(F.array_intersect("h_a", "h_b"))
     return met.where((100 + percent) * overlap >= percent * total).select("a", "b")
 
 
+def _reach(n, other, percent: int):
+    """The last place (from 0) at which a set of n n-grams must share one with a set of other n-grams that it links to:
+    n - ceil(percent (n + other) / (100 + percent))."""
+    return n - F.floor((percent * (n + other) + 99 + percent) / (100 + percent))
+
+
+def _blocks(first: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """gram, node, n, at, short: the prefix n-grams that several documents hold, with the classes that hold them and its
+    place in them; short where an equal or larger set can link through it. And the number of rows."""
+    by_id = written(first.select("doc_id", "n", "print").join(copies, "print").select("doc_id", "node", "n"), "nodes")
+    rows = first.select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    short = F.col("at") <= _reach(F.col("n"), F.col("n"), percent)
+    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(short.cast("int")).alias("short")).where("k > 1 AND short = 1").select("gram")
+    found = rows.select("doc_id", "at", "gram").join(held, "gram").join(small(by_id, by_id.count(), 48), "doc_id")
+    blocks = written(found.select("gram", "node", "n", "at").distinct().withColumn("short", short), "blocks")
+    return blocks, blocks.count()
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
     docs = docs.select(docs[doc_id], docs[text])
     table = written(described(docs, doc_id, text, percent, width), "sets")
     part = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = written(part.groupBy("print").agg(F.min("doc_id").alias("node")), "copies")
-    first = part.where(F.col("prefix").isNotNull())
-    by_id = written(first.select("doc_id", "print").join(copies, "print").select("doc_id", "node").distinct(), "nodes")
-    classes = written(first.select("doc_id", "n", "parity").join(by_id, "doc_id").groupBy("node", "n").agg(F.min("parity").alias("parity")), "classes")
-
-    rows = first.select("doc_id", "n", F.explode("prefix").alias("gram"))
-    held = rows.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("gram")
-    block_rows = rows.join(held, "gram").join(by_id, "doc_id").select("gram", "node", "n").distinct()
-    blocks = written(block_rows, "blocks")
-    n_rows = blocks.count()
-
-    links = None
-    label = blocks.select("node").distinct().withColumn("component", F.col("node"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        lined = blocks.join(label, "node")
-        sizes = lined.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"))
-        sizes = sizes.groupBy("gram").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "k", "kk")
-        left = sizes.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if not left:
+    blocks, n_rows = _blocks(part.where(F.col("prefix").isNotNull()), copies, percent)
+
+    label = written(few(blocks.select("node").distinct(), n_rows).withColumn("component", F.col("node")), "labels")
+    n_nodes = label.count()
+    # the bitmaps of the classes in blocks; a class's first copy in some task has one
+    able = part.where(F.col("parity").isNotNull()).select("n", "print", "parity").join(small(copies.join(small(label, n_nodes, 48), "node", "left_semi"), n_nodes, 64), "print")
+    classes = written(few(able.groupBy("node", "n").agg(F.min("parity").alias("parity")), n_nodes * 8), "classes")
+
+    links, before, last, turn = None, None, False, -1
+    while not last:
+        turn += 1
+        lined = blocks.join(small(label, n_nodes, 48), "node")
+        # pairs of a short row with any row of another component
+        sizes = few(lined.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("s")), n_rows)
+        sizes = sizes.groupBy("gram").agg((F.sum("s") * F.sum("k") - F.sum(F.col("s") * F.col("k"))).alias("pairs"), F.count(F.lit(1)).alias("c"))
+        sizes = written(few(sizes, n_rows).where("c > 1 AND pairs > 0").select("gram", "pairs"), "sizes")
+        left, n_open = sizes.agg(F.sum("pairs"), F.count(F.lit(1))).first()
+        if not n_open:
             break
-        last = left <= PAIRS_A_ROW * n_rows or turn == PIVOT_ROUNDS
-        lined = lined.join(sizes.select("gram"), "gram", "left_semi")
+        last = left <= PAIRS_A_ROW * n_rows or before is not None and left > before / 2
+        before = left
+        lined = lined.join(small(sizes.select("gram"), n_open, 32), "gram", "left_semi")
         if last:
-            mine = lined
+            mine = lined.drop("short")
         else:
-            mine = lined.groupBy("gram").agg(F.min_by(F.struct("node", "n", "component"), F.xxhash64("node", F.lit(turn))).alias("p")).select("gram", "p.*")
-        other = lined.select("gram", F.col("node").alias("o"), F.col("n").alias("n_o"), F.col("component").alias("c_o"))
+            # the class with the fewest rarer n-grams: of near copies the one nearest to their origin
+            pivot = F.min_by(F.struct("node", "n", "at", "component"), F.struct("at", F.xxhash64("node", "gram", F.lit(turn)))).alias("p")
+            mine = small(few(lined.groupBy("gram").agg(pivot), n_rows).select("gram", "p.*"), n_open, 80)
+        other = lined.select("gram", F.col("node").alias("o"), F.col("n").alias("n_o"), F.col("at").alias("at_o"), F.col("component").alias("c_o"))
+        n, n_o = F.col("n"), F.col("n_o")
         fits = (100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")) & (F.col("component") != F.col("c_o"))
+        fits &= (F.col("at") <= _reach(n, n_o, percent)) & (F.col("at_o") <= _reach(n_o, n, percent))
         if last:
             fits &= F.col("node") < F.col("o")
-        pairs = mine.join(other, "gram").where(fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
-        found = linked(pairs, classes, docs, doc_id, text, percent, width)
+        pairs = few(mine.join(other, "gram").where(fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), n_rows)
+        found = linked(pairs, classes, n_nodes, docs, doc_id, text, percent, width)
         links = written(found if links is None else links.union(found), "links")
-        label = label.select("node").join(connected_components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        label = written(label, "labels")
-        if last:
-            break
+        joined = connected_components(links)
+        label = written(label.select("node").join(small(joined, n_nodes, 48), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
-    named = copies.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    named = copies.join(small(label, n_nodes, 48), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = [F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"]
     sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     alone = table.where(~sound).withColumn("component_id", F.col("doc_id"))
