@@ -1,8 +1,12 @@
 """Each stage of the corpus pipeline on what the one before it kept."""
 
+import random
+import re
+from itertools import combinations
+
 import corpus_pipeline
 from tessaly.llm.shared import written
-from tests.llm.test_pairs_and_packing import brute_sets
+from tests.llm.test_pairs_and_packing import DOCS, brute_sets, union_find
 from tests.llm.test_texts import brute_quality
 
 
@@ -27,3 +31,23 @@ def test_stages(spark):
     assert single.columns == docs.columns and {r["doc_id"] for r in single.collect()} == set(up.values())
     packed = stages["packing"](spark, single, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == set(up.values())
+
+
+def five_words(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_take_five_words_and_four_fifths(spark):
+    r = random.Random(8)
+    texts = []
+    for n in (60, 150, 400):
+        base = [f"w{r.randrange(5000)}" for _ in range(n)]
+        # an added passage of 15 to 30 percent of the length, and copies with changed words
+        texts += [" ".join(base + [f"x{r.randrange(5000)}" for _ in range(n * share // 100)]) for share in (0, 15, 19, 22, 24, 27, 30)]
+        texts += [" ".join(w if r.random() > rate else "changed" for w in base) for rate in (0.01, 0.02, 0.05)]
+    sets = [five_words(t) for t in texts]
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    kept = {x["doc_id"] for x in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "").collect()}
+    assert kept == set(union_find(len(texts), links)) and len(kept) < len(texts)
