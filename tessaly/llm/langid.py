@@ -2,12 +2,14 @@
 
 A text's subwords (letter n-grams of 1 to 4 inside words with marked ends) are hashed into buckets; the mean of their
 embeddings goes through a linear softmax. The model is trained by stochastic gradient descent in numpy on a bounded,
-hashed sample of labelled rows; a temperature and the rejection threshold are calibrated on a part of it that training
-didn't see.
+hashed sample of labelled rows; a temperature and two limits of rejection are calibrated on a part of it that training
+didn't see: the score, and the share of the text's subwords of KNOWN_ORDERS letters that training met. The softmax only
+tells the learnt languages apart, so a text of another one can score high; it is told by subwords that were never met.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null label
 are never trained on; labels that aren't strings are taken as strings; with no label at all every text is ``und``;
-repeated rows get equal results; an empty table gives an empty result; other columns stay, one named like an output is
+repeated rows get equal results; where no row is left to calibrate on (fewer than five, or none of them right), only
+texts without a letter are rejected; an empty table gives an empty result; other columns stay, one named like an output is
 replaced.
 """
 
@@ -33,8 +35,13 @@ LABELS = 200
 EPOCHS = 12
 BATCH = 64
 RATE = 2.0
-#: Of the calibration rows that the model gets right, the share that rejection may cost.
+#: Of the calibration rows that the model gets right, the share that each limit may cost, and the part of the value
+#: under which they lie that is the limit.
 REJECT_SHARE = 0.001
+MARGIN = 0.9
+#: The subwords whose share that training met is the second limit, and the size of the table of those met.
+KNOWN_ORDERS = (3, 4)
+KNOWN_BITS = 22
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint64)
 
 
@@ -46,17 +53,23 @@ def _letters() -> np.ndarray:
 
 def subwords(text: str) -> np.ndarray:
     """Counts of the text's hashed subwords in BUCKETS; all 0 where the text has no letter."""
+    return measured(text)[0]
+
+
+def measured(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The counts, and the places of the text's subwords of KNOWN_ORDERS in the table of those met."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _letters()[codes]
     counts = np.zeros(BUCKETS, np.float32)
     if not inside.any():
-        return counts
+        return counts, np.empty(0, np.int32)
     # one mark (0) on either side of each word
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     marked = np.where(inside, codes, 0)[keep].astype(np.uint64)
     marked = np.concatenate([np.zeros(1, np.uint64), marked, np.zeros(1, np.uint64)])
     ends = marked == 0
+    places = [np.empty(0, np.int32)]
     for order in ORDERS:
         n = len(marked) - order + 1
         if n <= 0:
@@ -70,8 +83,11 @@ def subwords(text: str) -> np.ndarray:
             sound &= ~ends[i : i + n]
         if order == 2:
             sound &= ~(ends[:n] & ends[1 : 1 + n])
-        counts += np.bincount((mixed[sound] >> np.uint64(13)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-    return counts
+        mixed = mixed[sound]
+        counts += np.bincount((mixed >> np.uint64(13)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+        if order in KNOWN_ORDERS:
+            places.append((mixed >> np.uint64(64 - KNOWN_BITS)).astype(np.int32))
+    return counts, np.concatenate(places)
 
 
 @dataclass(frozen=True)
@@ -82,6 +98,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    met: np.ndarray
+    least_known: float
+
+    def known_share(self, places: np.ndarray) -> float:
+        """Of a text's subwords, the share that training met; 1 for a text that is too short to have any."""
+        return float(self.met[places].mean()) if len(places) else 1.0
 
     def logits(self, shares: np.ndarray) -> np.ndarray:
         return shares @ self.embeddings @ self.weights + self.bias
@@ -92,8 +114,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(shares: np.ndarray, labels: list[str], seed: int = 7) -> Model:
-    """Train on four fifths of the rows and calibrate on the rest. shares: subword counts over their sum."""
+def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
+    """Train on four fifths of the rows and calibrate on the rest. shares: subword counts over their sum; places: of each
+    row the distinct places in the table of met subwords, and how often each is there."""
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels], np.int64)
     random = np.random.default_rng(seed)
@@ -119,17 +142,28 @@ def fit(shares: np.ndarray, labels: list[str], seed: int = 7) -> Model:
             e -= rate * 20 * to_e
             done += 1
         train = random.permutation(train)
-    model = Model(names, e, w, b, 1.0, 0.0)
+    met = np.zeros(2**KNOWN_BITS, bool)
+    for row in train:
+        met[places[row][0]] = True
     check = held if len(held) else train
-    logits = model.logits(shares[check])
+    logits = shares[check] @ e @ w + b
     # the temperature with the least log loss, and of those tried the softer one in ties
     tried = np.geomspace(0.25, 8, 41)
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in tried]
     temperature = float(tried[int(np.argmin(loss))])
     p = softmax(logits / temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
-    threshold = float(min(right[int(len(right) * REJECT_SHARE)], 0.5)) * 0.9 if len(right) else 0.0
-    return Model(names, e, w, b, temperature, threshold)
+    right = p.argmax(axis=1) == y[check]
+
+    def limit(values: np.ndarray) -> float:
+        if not len(held) or not len(values):
+            return 0.0
+        least = float(np.sort(values)[int(len(values) * REJECT_SHARE)])
+        # rows too few to show the share lower the odds by as much as they are too few
+        few = min(1.0, len(values) * REJECT_SHARE)
+        return min(MARGIN * least, few * least / (few * least + 1 - least))
+
+    known = np.array([float(met[at] @ n / n.sum()) if len(at) else 1.0 for at, n in (places[k] for k in check[right])])
+    return Model(names, e, w, b, temperature, limit(p.max(axis=1)[right]), met, limit(known))
 
 
 def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows_a_label: int = ROWS_A_LABEL) -> Model | None:
@@ -146,28 +180,32 @@ def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, where, what = [], [], [], []
+            ids, labels, where, what, places, often = [], [], [], [], [], []
             for i, t, name in zip(*(c.to_pylist() for c in batch.columns)):
-                counts = subwords(t or "")
+                counts, place = measured(t or "")
                 held = np.flatnonzero(counts)
                 if len(held):
                     ids.append(i)
                     labels.append(name)
                     where.append(held.astype(np.int16))
                     what.append(counts[held])
-            kinds = [batch.schema.field(0).type, pa.string(), pa.list_(pa.int16()), pa.list_(pa.float32())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, where, what), kinds)], names=["id", "label", "at", "n"])
+                    place, n = np.unique(place, return_counts=True)
+                    places.append(place)
+                    often.append(n.astype(np.int32))
+            ints = pa.list_(pa.int32())
+            kinds = [batch.schema.field(0).type, pa.string(), pa.list_(pa.int16()), pa.list_(pa.float32()), ints, ints]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, where, what, places, often), kinds)], names=["id", "label", "at", "n", "place", "often"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     limit = 2 * rows_a_label * len(counts)
-    found = some.mapInArrow(run, f"id {kind}, label string, at array<smallint>, n array<float>").limit(limit).toArrow().to_pandas()
+    found = some.mapInArrow(run, f"id {kind}, label string, at array<smallint>, n array<float>, place array<int>, often array<int>").limit(limit).toArrow().to_pandas()
     if not len(found):
         return None
     found = found.assign(size=[float(x.sum()) for x in found["n"]]).sort_values(["id", "label", "size"], kind="stable")
     shares = np.zeros((len(found), BUCKETS), np.float32)
     for row, (at, n) in enumerate(zip(found["at"], found["n"])):
         shares[row, at] = n / n.sum()
-    return fit(shares, found["label"].tolist())
+    return fit(shares, list(zip(found["place"], found["often"])), found["label"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -183,7 +221,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                counts = np.stack([subwords(x.as_py() or "") for x in batch.column(batch.num_columns - 1)])
+                found = [measured(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
+                counts = np.stack([x for x, _ in found])
                 size = counts.sum(axis=1, keepdims=True)
                 known = (size[:, 0] > 0) & (m is not None)
                 names, scores = [UNKNOWN] * len(counts), np.zeros(len(counts))
@@ -191,7 +230,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                     p = softmax(m.logits(counts / np.maximum(size, 1)) / m.temperature)
                     names = [m.labels[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), known)]
                     scores = np.where(known, p.max(axis=1), 0.0).astype(np.float64)
-                gone = ~known | (scores < (m.threshold if m is not None else 0))
+                gone = ~known
+                if m is not None:
+                    gone |= (scores < m.threshold) | np.array([m.known_share(x) < m.least_known for _, x in found])
                 yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(names, pa.string()), pa.array(scores), pa.array(gone)], names=[f.name for f in schema.fields])
 
     return plain.mapInArrow(run, schema)

@@ -114,6 +114,25 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
 
 
+UNLEARNT = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    "qzxv wkjq pfgh zzkw xqjv hjkq vbnm wqrt xzcv plkj kqwz jxvq gthy wvxz qqkz rtzp mnbx cvkq",
+    "x7f3kq-99zt kqz81-wv xj4-pq0 zzq-kd93 vvx_q71 hq-w82kz jx55-qpz kvw-0z9q xzq-71kk",
+]
+
+
+def test_language_id_rejects_what_it_never_learnt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame(list(enumerate(UNLEARNT)), "doc_id long, text string")
+    for learnt in (docs, docs.where("lang IN ('de', 'en')"), docs.where("lang = 'en'")):
+        model = train(learnt, ~held_out())
+        assert {r["doc_id"] for r in predict(odd, model).collect() if r["rejected"]} == set(range(len(UNLEARNT)))
+        assert predict(learnt.where(held_out()), model).where("rejected").count() <= 0.02 * learnt.where(held_out()).count()
+
+
 def test_subwords_depend_on_letters_only():
     assert subwords("Ab, cd!").tolist() == subwords("ab cd").tolist() and subwords("1 2 3").sum() == 0
     assert subwords("ab").sum() == 2 + 3 + 2 + 1  # a b; _a ab b_; _ab ab_; _ab_
