@@ -95,7 +95,7 @@ def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
-    """doc_id, n, print (of the set), prefix, parity; the last two only for the first copy in a task."""
+    """doc_id, n, print (of the set), prefix, parity; the last two only for the first copy in a task that has an id."""
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, width))
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -113,11 +113,12 @@ def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int)
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sizes, prints, prefixes, parities = [], [], [], []
-                for x in batch.column(1):
+                for i, x in zip(batch.column(0), batch.column(1)):
                     hashes = shingles(x.as_py(), width)
                     mark = xxhash.xxh3_128_digest(hashes.tobytes())
-                    first = len(hashes) > 0 and mark not in met
-                    met.add(mark)
+                    first = i.is_valid and len(hashes) > 0 and mark not in met
+                    if first:
+                        met.add(mark)
                     prefix, parity = one(hashes) if first else (None, None)
                     for out, value in ((sizes, len(hashes)), (prints, mark), (prefixes, prefix), (parities, parity)):
                         out.append(value)

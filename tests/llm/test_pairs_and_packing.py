@@ -96,6 +96,16 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 9] or sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 9]
 
 
+def test_jaccard_null_id_before_a_sound_copy(spark):
+    base = [f"w{i}" for i in range(60)]
+    text, near = " ".join(base), " ".join([*base, "more"])
+    rows = [(None, text), (5, text), (None, text), (2, near), (None, "other words stand here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_components(docs).collect()}
+    assert got == {(None, None), (5, 2), (2, 2)}
+    assert sorted(r["doc_id"] or -1 for r in distinct_documents(docs).collect()) == [-1, -1, -1, 2]
+
+
 def test_shingles_lower_only_ascii_and_split_only_at_the_six():
     assert len(shingles("A B C D")) == 1 and (shingles("A B C D") == shingles("a\tb\nc\x0bd")).all()
     assert not np.array_equal(shingles("É b c d"), shingles("é b c d"))
