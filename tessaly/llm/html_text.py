@@ -5,7 +5,7 @@ visible and keeps the layout: blocks on lines of their own, a blank line around
 list items with marks and indents, table cells padded to columns, white space collapsed except in preformatted text.
 
 Defined results: null and empty pages give an empty text; a page without tags is its own text; unclosed, stray and
-badly nested tags never fail; tables inside tables are rendered inside their cell's text; depth and size of a page
+badly nested tags never fail; head and body tags may be left out; tables inside tables are rendered inside their cell's text; depth and size of a page
 aren't limited; repeated rows give equal texts; other columns stay, one named like the output is replaced.
 """
 
@@ -26,9 +26,11 @@ NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
-HIDDEN = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "svg", "math", "datalist"}
+HIDDEN = {"script", "style", "head", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "datalist"}
+#: What an open head holds; any other start tag, and text, ends it.
+HEAD_CONTENT = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
     "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol",
@@ -48,7 +50,6 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
-    "body": ({"head"}, {"html"}),
 }
 #: Elements that an open p doesn't outlive, and those across whose borders no end tag reaches.
 CLOSES_P = BLOCKS - {"html", "body", "option", "optgroup", "caption", "legend", "summary"}
@@ -73,6 +74,7 @@ def parse(page: str) -> Element:
     """The tree of a page; texts are strings among the children."""
     root = Element("html")
     stack = [root]
+    begun = False  # a head was met, or what no head holds
 
     def end(tags: set[str], within: set[str]) -> None:
         """Close the outermost open element of tags that is nearer than any of within."""
@@ -91,6 +93,10 @@ def parse(page: str) -> Element:
         found = TOKEN.search(page, at)
         if found is None or found.start() > at:
             stop = found.start() if found else len(page)
+            if page[at:stop].strip(" \t\n\r\f"):
+                begun = True
+                if stack[-1].tag == "head":
+                    stack.pop()
             stack[-1].children.append(html.unescape(page[at:stop]))
         if found is None:
             break
@@ -112,8 +118,12 @@ def parse(page: str) -> Element:
                 if stack[k].tag in borders and not (tag in ("tr", "tbody", "thead", "tfoot", "table") and stack[k].tag in ("td", "th")):
                     break
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]) or tag == "html":
+        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]) or tag == "html" or tag == "head" and begun:
             continue
+        if tag not in HEAD_CONTENT:
+            begun = True
+            if stack[-1].tag == "head":
+                stack.pop()
         if tag in CLOSES_P:
             end({"p"}, BORDERS | {"button"})
         if tag in ENDS:
@@ -137,7 +147,7 @@ def hidden(e: Element) -> bool:
     if not a:
         return False
     lowered = a.lower()
-    if "hidden" in lowered and (e.get("hidden") is not None or (e.get("aria-hidden") or "").lower() == "true"):
+    if "hidden" in lowered and e.get("hidden") is not None:
         return True
     if e.tag == "input" or "style" in lowered and HIDING_STYLE.search(e.get("style") or ""):
         return True

@@ -147,6 +147,14 @@ def test_html():
     assert visible_text("<div>" * 5000 + "deep") == "deep" and visible_text("<table><tr><td>" * 200 + "deep") == "deep"
 
 
+def test_html_head_and_body_tags_may_be_left_out():
+    assert visible_text("<!doctype html><head><title>T</title><p>Hello <b>you</b>") == "Hello you"
+    assert visible_text("<head>\n<meta charset=utf-8><link rel=x><script>s</script>\n<style>s</style>Plain text<p>more</p>") == "Plain text\n\nmore"
+    assert visible_text("<title>T</title><h1>A</h1>b") == "A\n\nb" and visible_text("<html><head><title>T</title><body>x") == "x"
+    assert visible_text("<head><title>T</title></head>a<head>b") == "ab" and visible_text("<p>a<head>b") == "ab"
+    assert visible_text("a <span aria-hidden=true>b</span> <math><mi>x</mi><annotation>no</annotation></math> <object data=y><param name=z>fallback</object><i hidden>no</i>") == "a b x fallback"
+
+
 def test_html_keeps_every_visible_word(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in extract(pages).collect():
