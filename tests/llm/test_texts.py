@@ -86,6 +86,23 @@ def test_licenses(spark):
     assert {r["license"] for r in scan_licenses(df, {}).collect()} == {None}
 
 
+def test_licenses_over_several_lines(spark):
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
+    long = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and its documentation files,\n\nto deal in the software without restriction, including\nthe rights to use, copy, modify, merge, publish and sell copies."
+    filler = " ".join(f"w{i} stands here" for i in range(80))
+    files = [
+        ("a/LICENSE", "This work is\nlicensed under the\nGNU General\nPublic License,\nversion 3."), ("a/x.py", "code"), ("b/x.c", "/*\n * Released\n * under the\n * MIT License.\n */\n\n" + filler),
+        ("c/x.txt", f"{filler}. {gpl} {filler}"), ("d/LICENSE", long), ("d/x.py", "code"), ("e/x.py", "# " + long.replace("\n", "\n# ") + "\n\n" + filler), ("f/x.txt", filler + "\nthe license is public"),
+    ]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "file_id long, path string, text string")
+    got = {r["file_id"]: (r["own_license"], r["license"], r["own_score"]) for r in scan_licenses(df, {"MIT": mit, "GPL-3.0": gpl, "LONG": long}).collect()}
+    assert [got[i][:2] for i in range(8)] == [("GPL-3.0",) * 2, (None, "GPL-3.0"), ("MIT",) * 2, ("GPL-3.0",) * 2, ("LONG",) * 2, (None, "LONG"), ("LONG",) * 2, (None, None)]
+    assert all(got[i][2] == 1 for i in (0, 2, 3, 4, 6))
+    # a block that isn't a whole template
+    part = spark.createDataFrame([(0, "g/x.py", "/* granted free of charge to any person obtaining a copy of this software\n * and documentation to deal in the software without restriction\n * including rights to use copy modify merge publish and sell copies */")], df.schema)
+    assert scan_licenses(part, {"LONG": long}).first()["own_license"] == "LONG"
+
+
 def test_bpe_is_the_library(spark):
     library, own = Tokenizer.from_file(PATH), BytePairs(PATH)
     for t in ODD:
