@@ -10,9 +10,9 @@ from tessaly.llm.url_filter import filter_urls
 RULES = [
     ("com/en/", "block"),
     ("example.com/en/7", "allow"),
-    ("net/de/", "block"),
+    ("net/de/", "allow"),
     ("example.net/de/8", "block"),
-    ("org/es/", "allow"),
+    ("org/es/", "block"),
 ]
 
 
@@ -32,7 +32,7 @@ WITH p AS (
          coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path,
          row_number() OVER () AS row_no
   FROM pages),
-r(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'block'), ('example.net/de/8', 'block'), ('org/es/', 'allow')),
+r(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 s AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rhost, substr(rule, instr(rule, '/')) AS rpath FROM r),
 m AS (
   SELECT p.row_no, s.rule, s.verdict, row_number() OVER (PARTITION BY p.row_no ORDER BY length(s.rule) DESC, s.verdict, s.rule) AS k

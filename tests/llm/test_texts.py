@@ -14,6 +14,7 @@ from tessaly.llm.chat import final_messages, format_chats, read_back, under_loss
 from tessaly.llm.html_text import extract, visible_text
 from tessaly.llm.langid import held_out, language_kept, predict, subwords, train
 from tessaly.llm.licenses import scan_licenses
+from tessaly.llm.q_url_filter import op2_url_filter
 from tessaly.llm.quality import measure, quality_kept, quality_verdicts
 from tessaly.llm.url_filter import filter_urls
 
@@ -25,11 +26,11 @@ ODD += ["\x1c a\x1c \x1d b", "\x85 a", "tab\t\tb \t c", "a\r\nb  \n\n c ", "x ",
 def test_url_filter(spark):
     urls = ["http://a.Example.COM/en/7x?q#f", "https://example.com/en/", "http://notexample.net/de/8", "http://example.net/de/81", "http://x.org/es/", "http://x.org/es", None, "no scheme", "://", "http://", "http://h?x/en/", "http://EN.com/en/é", "http://x.com/en/a\nb"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(urls * 2)], "page_id long, url string, token string, host string")
-    rules = spark.createDataFrame([("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "allow"), ("org/*x/", "block"), (None, "block")], "rule string, verdict string")
+    rules = spark.createDataFrame([("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), ("org/*x/", "block"), (None, "block")], "rule string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages, rules).collect()}
     want = [
-        ("a.example.com", "/en/7x", "example.com/en/7", "allow"), ("example.com", "/en/", "com/en/", "block"), ("notexample.net", "/de/8", "net/de/", "block"), ("example.net", "/de/81", "example.net/de/8", "block"),
-        ("x.org", "/es/", "org/es/", "allow"), ("x.org", "/es", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "", None, "allow"),
+        ("a.example.com", "/en/7x", "example.com/en/7", "allow"), ("example.com", "/en/", "com/en/", "block"), ("notexample.net", "/de/8", "net/de/", "allow"), ("example.net", "/de/81", "example.net/de/8", "block"),
+        ("x.org", "/es/", "org/es/", "block"), ("x.org", "/es", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("h", "", None, "allow"),
         ("en.com", "/en/é", "com/en/", "block"), ("x.com", "/en/a\nb", "com/en/", "block"),
     ]
     assert [got[i] for i in range(len(urls))] == want and [got[i + len(urls)] for i in range(len(urls))] == want
@@ -37,6 +38,27 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+#: The contract's rules as it words them.
+CONTRACT = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+
+
+def test_url_query_follows_the_contract(spark):
+    rules = [x.split() for x in CONTRACT.split(", ")]
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    seen = Counter()
+    for r in op2_url_filter(spark, "/root/testdata/sf0.01").collect():
+        host, path = "", ""
+        if "://" in (pages[r["page_id"]] or ""):
+            rest = re.split(r"[?#]", pages[r["page_id"]].split("://", 1)[1])[0]
+            host, slash, path = rest.partition("/")
+            host, path = host.lower(), slash + path
+        fit = [(len(rule), rule, verdict) for verdict, rule in rules if f".{host}".endswith("." + rule.split("/")[0]) and path.startswith("/" + rule.split("/", 1)[1])]
+        _, rule, verdict = max(fit, default=(0, None, "allow"))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+        seen[rule] += 1
+    assert set(seen) == {x for _, x in rules} | {None}
+
+
 def test_url_filter_rules_without_literals(spark):
     pages = spark.createDataFrame([(1, "http://a.b/secret/x"), (2, "http://a.b/open")], "page_id long, url string")
     rules = spark.createDataFrame([("/sec*", "block"), ("b", "block"), ("a.b/", "allow")], "rule string, verdict string")
