@@ -24,10 +24,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     while (rows := before[0]) > 0:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = few(both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low")), rows).select("at", F.least("at", "low").alias("low"))
-        large = both.where(F.col("b") > F.col("a")).join(small(least, 2 * rows, 32), F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = both.where(F.col("b") > F.col("a")).join(small(least, 2 * rows), F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = written(few(large.distinct(), rows), "links")
         low = few(large.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("low")), rows)
-        below = large.join(small(low, rows, 32), F.col("a") == F.col("at")).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        below = large.join(small(low, rows), F.col("a") == F.col("at")).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         links = written(few(below.union(low.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct(), rows), "links")
         after = _state(links)
         if after == before:

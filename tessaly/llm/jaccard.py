@@ -1,27 +1,31 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-1. Every task counts its documents' n-grams into a frequency sketch of fixed size; the sum orders all n-grams, rare
-   ones first (any order gives the same links; this one keeps passages that many documents share out of step 3).
-2. Every document gets a fingerprint of its n-gram set, a parity bitmap of it, and its prefix: a set of n n-grams can
-   only link to sets that share one of the first n - ceil(n p / 100) + 1 n-grams in that order. Documents with equal
-   fingerprints form a class; from here on a class is one row.
-3. A prefix n-gram and the classes that hold it are a block of the incidence matrix. Blocks first meet their pivot
-   only (one pair for each row), the links found merge classes, and pivots change until the pairs left between different
-   components are few for the rows there are; then all of those are met. So a group of near copies costs about its
-   size, and no pair that could join two components is left out.
-4. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
-   they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), then by the bound that the
-   bitmaps' distance puts on the overlap; the overlap of what is left is counted over the whole sets.
+1. Every document gets a fingerprint of its n-gram set and a parity bitmap of it. Documents with equal fingerprints form
+   a class; from here on a class is one row.
+2. Of one n-gram in COUNTED, chosen by hash, it is found out whether a single class holds it. All n-grams are ordered:
+   these single ones, then those not looked at, then the rest. A set of n n-grams can only link to sets that share one of
+   its first n - ceil(n p / 100) + 1 in that order, its prefix; single ones are shared by none, so most sets whose text
+   isn't a copy have nothing left there. What is counted goes to as many tasks as it is worth; nothing is broadcast.
+3. A prefix n-gram and the classes that hold it are a block of the incidence matrix. Every block first meets its pivot
+   only (one pair for each row), and the links found merge classes; groups of near copies are one component after that.
+4. Two classes that no block holds in different components need no look. The sets of all others are written once, all
+   their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots while
+   that halves the pairs left between components, then all of their pairs, accumulating the overlap within the prefixes.
+5. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
+   they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), by what the overlap so far
+   and the places after the last shared n-gram leave possible, then by the bound that the bitmaps' distance puts on the
+   overlap; the overlap of what is left is counted over the whole sets.
 
 Words are maximal runs without x20 and x09-x0D, A-Z lower-cased. Defined results: a text with fewer words than the
 n-gram's width is one n-gram; a text without words, or null, has size 0 and links with nothing; repeated rows are
 equal sets; rows with a null id get their size and a null component, and take no part in links; rows that share an id
-are one document with the links of each; an empty table gives an empty result; other columns don't matter.
+are one document with the links of each; a text of any length is one set, whole; an empty table gives an empty result;
+other columns don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +39,11 @@ from tessaly.llm.shared import few, fits_broadcast, small, written
 
 WIDTH = 4
 PERCENT = 85
-#: The frequency sketch: two rows of 2**SKETCH_BITS counters, LANES of them in a row of the table that sums them.
-SKETCH_BITS = 19
-LANES = 16
+#: One n-gram in so many is looked at in step 2. Any number gives the same links.
+COUNTED = 5
 PARITY_BITS = 2048
-#: Pivots end when so few pairs are left between components for each row of the blocks, or when the last pivots didn't
-#: halve them.
-PAIRS_A_ROW = 40
+#: Fingerprints that a task remembers; a copy that comes after they were forgotten only gets its prefix once more.
+REMEMBERED = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
@@ -64,71 +66,41 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(2**SKETCH_BITS - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(SKETCH_BITS)) & mask).astype(np.int64)
-
-
-def frequency_sketch(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Two rows of counters over all documents; 2**(SKETCH_BITS + 1) numbers, whatever the number of rows."""
-    size = 2**SKETCH_BITS
-    names = [f"c{i}" for i in range(LANES)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, size), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingles(x.as_py(), width) for x in batch.column(0).slice(at, 256)]
-                for row, where in enumerate(_buckets(np.concatenate(sets))):
-                    counts[row] += np.bincount(where, minlength=size)
-        table = counts.reshape(-1, LANES)
-        lines = np.flatnonzero(table.any(axis=1))
-        for at in range(0, len(lines), 8192):
-            part = lines[at : at + 8192]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array(table[part, i]) for i in range(LANES))], names=["line", *names])
-
-    found = docs.select(text).mapInArrow(run, "line long, " + ", ".join(f"{x} long" for x in names))
-    summed = found.groupBy("line").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-    table = np.zeros((2 * size // LANES, LANES), np.int64)
-    table[summed["line"].to_numpy()] = np.stack([summed[x].to_numpy() for x in names], axis=1)
-    return table.reshape(2, size)
+def prefix_size(n, percent: int):
+    return n - (n * percent + 99) // 100 + 1
 
 
 def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
-    """doc_id, n, print (of the set), prefix, parity; the last two only for the first copy in a task that has an id."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, text, width))
+    """doc_id, n, print (of the set), and for the first copy in a task that has an id: prefix (the first of the n-grams
+    that aren't looked at, in the order of their hashes), counted (those that are) and parity."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def one(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = _buckets(hashes)
-        seen = np.minimum(sketch.value[0][low], sketch.value[1][high])
-        n = len(hashes)
-        prefix = hashes[np.lexsort((hashes, seen))][: n - (n * percent + 99) // 100 + 1]
+    def one(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chosen = hashes % np.uint64(COUNTED) == 0
         parity = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-        return prefix.view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)
+        prefix = hashes[~chosen][: prefix_size(len(hashes), percent)]
+        return prefix.view(np.int64), hashes[chosen].view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                sizes, prints, prefixes, parities = [], [], [], []
+                rows = []
                 for i, x in zip(batch.column(0), batch.column(1)):
                     hashes = shingles(x.as_py(), width)
                     mark = xxhash.xxh3_128_digest(hashes.tobytes())
                     first = i.is_valid and len(hashes) > 0 and mark not in met
                     if first:
+                        if len(met) >= REMEMBERED:
+                            met.clear()
                         met.add(mark)
-                    prefix, parity = one(hashes) if first else (None, None)
-                    for out, value in ((sizes, len(hashes)), (prints, mark), (prefixes, prefix), (parities, parity)):
-                        out.append(value)
+                    rows.append((len(hashes), mark, *(one(hashes) if first else (None,) * 3)))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, longs), pa.array(parities, longs)],
-                    names=["doc_id", "n", "print", "prefix", "parity"],
-                )
+                columns = [pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.binary(), longs, longs, longs))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n", "print", "prefix", "counted", "parity"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, print binary, prefix array<long>, parity array<long>")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, print binary, prefix array<long>, counted array<long>, parity array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
@@ -136,7 +108,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     n = wanted.count()
     side = wanted.select(F.col("node").alias("_wanted"))
     some = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    some = some.join(F.broadcast(side) if fits_broadcast(n, 64) else side, F.col("node") == F.col("_wanted"), "left_semi")
+    some = some.join(F.broadcast(side) if fits_broadcast(side, n) else side, F.col("node") == F.col("_wanted"), "left_semi")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,17 +121,25 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int
     return some.mapInArrow(run, f"node {kind}, hashes array<long>")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, n_classes: int, docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) that link, by the size and bitmap bounds and then the whole sets."""
-    side = lambda x: small(classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")), n_classes, 64 + PARITY_BITS // 8)
+def linked(pairs: DataFrame, classes: DataFrame, n_classes: int, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the bitmap bound and then the whole sets (node, hashes), which sets gives for a
+    table of nodes."""
+    pairs = written(pairs, "met")
+    n_pairs = pairs.count()
+    narrow = fits_broadcast(classes, n_classes, PARITY_BITS // 8)
+
+    def with_class(df: DataFrame, x: str, more: int) -> DataFrame:
+        side = classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
+        return df.join(F.broadcast(side), x) if narrow else side.join(small(df, n_pairs, more), x)
+
     apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n_a") + F.col("n_b")
-    able = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * F.floor((total - apart) / 2) >= percent * total).select("a", "b", "n_a", "n_b")
-    able = written(able, "pairs")
+    able = with_class(with_class(pairs, "a", 0), "b", PARITY_BITS // 8)
+    able = written(few(able.where((100 + percent) * F.floor((total - apart) / 2) >= percent * total).select("a", "b", "n_a", "n_b"), n_pairs), "pairs")
     n_able = able.count()
     wanted = written(few(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n_able), "wanted")
-    sets = _sets(docs, wanted, doc_id, text, width)
-    met = able.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
+    there = sets(wanted)
+    met = there.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")).join(small(able, n_able), "b").join(there.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
     overlap = F.size(F.array_intersect("h_a", "h_b"))
     return met.where((100 + percent) * overlap >= percent * total).select("a", "b")
 
@@ -173,15 +153,76 @@ def _reach(n, other, percent: int):
 def _blocks(first: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, int]:
     """gram, node, n, at, short: the prefix n-grams that several documents hold, with the classes that hold them and its
     place in them; short where an equal or larger set can link through it. And the number of rows."""
-    by_id = written(first.select("doc_id", "n", "print").join(copies, "print").select("doc_id", "node", "n"), "nodes")
-    rows = first.select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+    first = first.withColumn("mark", F.xxhash64("print"))
+    looked = first.select("mark", F.explode("counted").alias("gram")).groupBy("gram").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
+    single = written(looked.where("mark = other").groupBy("mark").agg(F.count(F.lit(1)).alias("u")), "single")
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
+    some = first.select("doc_id", "mark", "n", "prefix", "counted").join(small(single, single.count()), "mark", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    some = some.where(F.col("u") < size)
+    rows = some.select("doc_id", "n", "u", F.posexplode(F.slice("prefix", 1, (size - F.col("u")).cast("int"))).alias("at", "gram"))
+    # sets so small that the n-grams that were looked at lie in the prefix: the least place that these can have
+    rest = F.col("n") - F.size("counted")
+    late = some.where(F.col("u") + rest < size).select("doc_id", "n", "u", rest.alias("at"), F.explode("counted").alias("gram"))
+    rows = rows.select("doc_id", "n", (F.col("u") + F.col("at")).alias("at"), "gram").union(late.select("doc_id", "n", F.col("u") + F.col("at"), "gram"))
+    rows = written(rows, "rows")
     short = F.col("at") <= _reach(F.col("n"), F.col("n"), percent)
-    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(short.cast("int")).alias("short")).where("k > 1 AND short = 1").select("gram")
-    found = rows.select("doc_id", "at", "gram").join(held, "gram").join(small(by_id, by_id.count(), 48), "doc_id")
+    held = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(short.cast("int")).alias("short")).where("k > 1 AND short = 1").select("gram"), "held")
+    by_id = first.select("doc_id", "n", "print").join(copies, "print").select("doc_id", "node")
+    found = rows.join(small(held, held.count()), "gram").join(by_id, "doc_id")
     blocks = written(found.select("gram", "node", "n", "at").distinct().withColumn("short", short), "blocks")
     return blocks, blocks.count()
 
 
+def _counted_blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """What _blocks gives, for the sets (node, hashes) of some classes and with their n-grams in the order of their
+    exact counts there. An n-gram of one set takes one of its first places, whichever."""
+    rows = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("gram"))
+    shared = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared")
+    held = rows.join(small(shared, shared.count()), "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("k", "gram"))).alias("held"))
+    placed = held.select("node", "n", F.posexplode("held").alias("place", "of"), F.size("held").alias("size"))
+    at = (F.col("n") - F.col("size") + F.col("place")).alias("at")
+    last = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
+    blocks = placed.select("of.gram", "node", "n", at).where(F.col("at") <= last).withColumn("short", F.col("at") <= _reach(F.col("n"), F.col("n"), percent))
+    blocks = written(blocks, "counted-blocks")
+    return blocks, blocks.count()
+
+
+def _open(blocks: DataFrame, n_rows: int, label: DataFrame, n_nodes: int) -> tuple[DataFrame, int, int]:
+    """The rows of the blocks that hold pairs of different components of which one row is short, with the component;
+    the number of those blocks, and of those pairs."""
+    lined = blocks.join(small(label, n_nodes), "node")
+    sizes = few(lined.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("s")), n_rows)
+    sizes = sizes.groupBy("gram").agg((F.sum("s") * F.sum("k") - F.sum(F.col("s") * F.col("k"))).alias("pairs"), F.count(F.lit(1)).alias("c"))
+    sizes = written(few(sizes, n_rows).where("c > 1 AND pairs > 0").select("gram", "pairs"), "sizes")
+    left, n_open = sizes.agg(F.sum("pairs"), F.count(F.lit(1))).first()
+    return lined.join(small(sizes.select("gram"), n_open), "gram", "left_semi"), n_open, left or 0
+
+
+def _fitting(mine: DataFrame, lined: DataFrame, percent: int) -> DataFrame:
+    """Rows of blocks that can link to the rows of mine: o, n_o, at_o beside gram, node, n, at."""
+    other = lined.select("gram", F.col("node").alias("o"), F.col("n").alias("n_o"), F.col("at").alias("at_o"), F.col("component").alias("c_o"))
+    n, n_o = F.col("n"), F.col("n_o")
+    fits = (100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")) & (F.col("component") != F.col("c_o"))
+    return mine.join(other, "gram").where(fits & (F.col("at") <= _reach(n, n_o, percent)) & (F.col("at_o") <= _reach(n_o, n, percent)))
+
+
+def _with_pivots(lined: DataFrame, n_rows: int, n_open: int, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of every row with its block's pivot: the class with the fewest rarer n-grams, which of near copies is
+    the one nearest to their origin."""
+    pivot = F.min_by(F.struct("node", "n", "at", "component"), F.struct("at", F.xxhash64("node", "gram", F.lit(turn)))).alias("p")
+    mine = small(few(lined.groupBy("gram").agg(pivot), n_rows).select("gram", "p.*"), n_open)
+    return few(_fitting(mine, lined, percent).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), n_rows)
+
+
+def _with_all(lined: DataFrame, n_rows: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the blocks that can reach the overlap that a link needs. All n-grams that two sets share up to the
+    last one met lie in both prefixes, so their number is exact."""
+    met = _fitting(lined.drop("short"), lined, percent).where("node < o")
+    met = few(met.groupBy(F.col("node").alias("a"), F.col("o").alias("b"), "n", "n_o").agg(F.count(F.lit(1)).alias("k"), F.max("at").alias("at"), F.max("at_o").alias("at_o")), n_rows)
+    most = F.col("k") + F.least(F.col("n") - F.col("at"), F.col("n_o") - F.col("at_o")) - 1
+    return met.where((100 + percent) * most >= percent * (F.col("n") + F.col("n_o"))).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
     docs = docs.select(docs[doc_id], docs[text])
@@ -193,42 +234,36 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     label = written(few(blocks.select("node").distinct(), n_rows).withColumn("component", F.col("node")), "labels")
     n_nodes = label.count()
     # the bitmaps of the classes in blocks; a class's first copy in some task has one
-    able = part.where(F.col("parity").isNotNull()).select("n", "print", "parity").join(small(copies.join(small(label, n_nodes, 48), "node", "left_semi"), n_nodes, 64), "print")
+    able = part.where(F.col("parity").isNotNull()).select("n", "print", "parity").join(small(copies.join(small(label, n_nodes), "node", "left_semi"), n_nodes, 32), "print")
     classes = written(few(able.groupBy("node", "n").agg(F.min("parity").alias("parity")), n_nodes * 8), "classes")
+    read = lambda wanted: _sets(docs, wanted, doc_id, text, width)
 
-    links, before, last, turn = None, None, False, -1
-    while not last:
-        turn += 1
-        lined = blocks.join(small(label, n_nodes, 48), "node")
-        # pairs of a short row with any row of another component
-        sizes = few(lined.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("s")), n_rows)
-        sizes = sizes.groupBy("gram").agg((F.sum("s") * F.sum("k") - F.sum(F.col("s") * F.col("k"))).alias("pairs"), F.count(F.lit(1)).alias("c"))
-        sizes = written(few(sizes, n_rows).where("c > 1 AND pairs > 0").select("gram", "pairs"), "sizes")
-        left, n_open = sizes.agg(F.sum("pairs"), F.count(F.lit(1))).first()
-        if not n_open:
-            break
-        last = left <= PAIRS_A_ROW * n_rows or before is not None and left > before / 2
-        before = left
-        lined = lined.join(small(sizes.select("gram"), n_open, 32), "gram", "left_semi")
-        if last:
-            mine = lined.drop("short")
-        else:
-            # the class with the fewest rarer n-grams: of near copies the one nearest to their origin
-            pivot = F.min_by(F.struct("node", "n", "at", "component"), F.struct("at", F.xxhash64("node", "gram", F.lit(turn)))).alias("p")
-            mine = small(few(lined.groupBy("gram").agg(pivot), n_rows).select("gram", "p.*"), n_open, 80)
-        other = lined.select("gram", F.col("node").alias("o"), F.col("n").alias("n_o"), F.col("at").alias("at_o"), F.col("component").alias("c_o"))
-        n, n_o = F.col("n"), F.col("n_o")
-        fits = (100 * F.least("n", "n_o") >= percent * F.greatest("n", "n_o")) & (F.col("component") != F.col("c_o"))
-        fits &= (F.col("at") <= _reach(n, n_o, percent)) & (F.col("at_o") <= _reach(n_o, n, percent))
-        if last:
-            fits &= F.col("node") < F.col("o")
-        pairs = few(mine.join(other, "gram").where(fits).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), n_rows)
-        found = linked(pairs, classes, n_nodes, docs, doc_id, text, percent, width)
-        links = written(found if links is None else links.union(found), "links")
+    def merged(links: DataFrame) -> DataFrame:
         joined = connected_components(links)
-        label = written(label.select("node").join(small(joined, n_nodes, 48), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-
-    named = copies.join(small(label, n_nodes, 48), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+        return written(label.select("node").join(small(joined, n_nodes), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+
+    lined, n_open, _ = _open(blocks, n_rows, label, n_nodes)
+    if n_open:
+        links = written(linked(_with_pivots(lined, n_rows, n_open, percent, 0), classes, n_nodes, read, percent), "links")
+        label = merged(links)
+        lined, n_open, _ = _open(blocks, n_rows, label, n_nodes)
+    if n_open:
+        sets = written(read(written(few(lined.select("node").distinct(), n_rows), "open")), "open-sets")
+        blocks, n_rows = _counted_blocks(sets, percent)
+        before, last, turn = None, False, 0
+        while not last:
+            turn += 1
+            lined, n_open, left = _open(blocks, n_rows, label, n_nodes)
+            if not n_open:
+                break
+            last = before is not None and left > before / 2
+            before = left
+            pairs = _with_all(lined, n_rows, percent) if last else _with_pivots(lined, n_rows, n_open, percent, turn)
+            kept = lambda wanted: sets.join(wanted, "node", "left_semi")
+            links = written(links.union(linked(pairs, classes, n_nodes, kept, percent)), "links")
+            label = merged(links)
+
+    named = copies.join(small(label, n_nodes), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = [F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"]
     sound = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     alone = table.where(~sound).withColumn("component_id", F.col("doc_id"))
@@ -242,9 +277,9 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     gone = written(found.where("_id <> component_id").select("_id").distinct(), "gone")
     again = written(found.where("_id = component_id").groupBy("_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("_id"), "again")
     n_gone, n_again = gone.count(), again.count()
-    kept = docs.join(F.broadcast(gone) if fits_broadcast(n_gone, 32) else gone, docs[doc_id] == gone["_id"], "left_anti")
+    kept = docs.join(F.broadcast(gone) if fits_broadcast(gone, n_gone) else gone, docs[doc_id] == gone["_id"], "left_anti")
     if not n_again:
         return kept
-    side = F.broadcast(again) if fits_broadcast(n_again, 32) else again
+    side = F.broadcast(again) if fits_broadcast(again, n_again) else again
     once = kept.join(side, kept[doc_id] == side["_id"], "left_semi").dropDuplicates([doc_id])
     return kept.join(side, kept[doc_id] == side["_id"], "left_anti").unionByName(once)

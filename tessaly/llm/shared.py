@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows times the given row width stay below this.
+#: A side of a join is broadcast only when its counted rows, at what a row takes in a hashed relation, stay below this.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
@@ -31,8 +31,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(rows: int, row_bytes: int) -> bool:
-    return rows * row_bytes <= BROADCAST_BYTES
+def fits_broadcast(df: DataFrame, rows: int, more_bytes: int = 0) -> bool:
+    """Whether counted rows of df stay below the bound as a hashed relation. A row takes 8 bytes of head and 8 a column,
+    its place in the hash table up to 40; more_bytes: of texts and arrays in a row."""
+    return rows * (48 + 8 * len(df.columns) + more_bytes) <= BROADCAST_BYTES
 
 
 #: Rows of a narrow table that one task takes.
@@ -44,6 +46,6 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(8, rows // TASK_ROWS))
 
 
-def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+def small(df: DataFrame, rows: int, more_bytes: int = 0) -> DataFrame:
     """df marked for broadcast if its counted rows fit; else as it is, and Spark shuffles."""
-    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
+    return F.broadcast(df) if fits_broadcast(df, rows, more_bytes) else df
