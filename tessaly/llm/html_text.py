@@ -5,15 +5,18 @@ visible and keeps the layout: blocks on lines of their own, a blank line around
 list items with marks and indents, table cells padded to columns, white space collapsed except in preformatted text.
 
 Defined results: null and empty pages give an empty text; a page without tags is its own text; unclosed, stray and
-badly nested tags never fail; head and body tags may be left out; tables inside tables are rendered inside their cell's text; depth and size of a page
-aren't limited; repeated rows give equal texts; other columns stay, one named like the output is replaced.
+badly nested tags never fail; head and body tags may be left out; tables inside tables are rendered inside their cell's
+text; what a style makes invisible is left out but for what is made visible inside it; drawings give their text; depth
+and size of a page aren't limited, and parsing takes time in proportion to it; repeated rows give equal texts; other columns stay, one named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,11 +27,12 @@ from tessaly.llm.bpe import with_column
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z][^>]*>?", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
-HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
-HIDDEN = {"script", "style", "head", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "datalist"}
+HIDDEN = {"script", "style", "head", "title", "noscript", "template", "iframe", "annotation", "annotation-xml", "datalist", "defs", "desc", "metadata", "symbol", "clippath"}
 #: What an open head holds; any other start tag, and text, ends it.
 HEAD_CONTENT = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 BLOCKS = {
@@ -54,7 +58,8 @@ ENDS = {
 #: Elements that an open p doesn't outlive, and those across whose borders no end tag reaches.
 CLOSES_P = BLOCKS - {"html", "body", "option", "optgroup", "caption", "legend", "summary"}
 BORDERS = {"table", "td", "th", "html"}
-NESTED = 30
+#: Inside a drawing only these hold text that is drawn.
+DRAWN = {"text", "foreignobject"}
 
 
 class Element:
@@ -74,19 +79,24 @@ def parse(page: str) -> Element:
     """The tree of a page; texts are strings among the children."""
     root = Element("html")
     stack = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag in the stack
     begun = False  # a head was met, or what no head holds
 
+    def nearest(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def close(k: int) -> None:
+        for x in stack[k:]:
+            places[x.tag].pop()
+        del stack[k:]
+
     def end(tags: set[str], within: set[str]) -> None:
-        """Close the outermost open element of tags that is nearer than any of within."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in within:
-                break
-            if stack[k].tag in tags:
-                lowest = k
-                while lowest > 1 and stack[lowest - 1].tag in tags and stack[lowest - 1].tag not in within:
-                    lowest -= 1
-                del stack[lowest:]
-                break
+        """Close the outermost open element of tags that is nearer than any of within and below others of tags only."""
+        k = nearest(tags)
+        if k > nearest(within):
+            while k > 1 and stack[k - 1].tag in tags and stack[k - 1].tag not in within:
+                k -= 1
+            close(k)
 
     at = 0
     while at < len(page):
@@ -96,7 +106,7 @@ def parse(page: str) -> Element:
             if page[at:stop].strip(" \t\n\r\f"):
                 begun = True
                 if stack[-1].tag == "head":
-                    stack.pop()
+                    close(len(stack) - 1)
             stack[-1].children.append(html.unescape(page[at:stop]))
         if found is None:
             break
@@ -110,20 +120,16 @@ def parse(page: str) -> Element:
             if tag == "br":
                 stack[-1].children.append(Element("br"))
                 continue
-            borders = BORDERS - {tag}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in borders and not (tag in ("tr", "tbody", "thead", "tfoot", "table") and stack[k].tag in ("td", "th")):
-                    break
+            borders = BORDERS - {tag} - ({"td", "th"} if tag in ("tr", "tbody", "thead", "tfoot", "table") else set())
+            if (k := nearest({tag})) > nearest(borders):
+                close(k)
             continue
-        if tag in ("html", "body") and any(x.tag == tag for x in stack[1:]) or tag == "html" or tag == "head" and begun:
+        if tag == "body" and places[tag] or tag == "html" or tag == "head" and begun:
             continue
         if tag not in HEAD_CONTENT:
             begun = True
             if stack[-1].tag == "head":
-                stack.pop()
+                close(len(stack) - 1)
         if tag in CLOSES_P:
             end({"p"}, BORDERS | {"button"})
         if tag in ENDS:
@@ -131,11 +137,12 @@ def parse(page: str) -> Element:
         element = Element(tag, token[name.end() :].rstrip(">"))
         stack[-1].children.append(element)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
-            stop = close.start() if close else len(page)
+            ending = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
+            stop = ending.start() if ending else len(page)
             element.children.append(html.unescape(page[at:stop]) if tag in ("textarea", "title") else page[at:stop])
-            at = close.end() if close else len(page)
+            at = ending.end() if ending else len(page)
         elif tag not in VOID and not (token.endswith("/>") and tag not in BLOCKS):
+            places[tag].append(len(stack))
             stack.append(element)
     return root
 
@@ -145,15 +152,25 @@ def hidden(e: Element) -> bool:
         return True
     a = e.attributes
     if not a:
-        return False
+        return e.tag == "dialog"
     lowered = a.lower()
     if "hidden" in lowered and e.get("hidden") is not None:
         return True
-    if e.tag == "input" or "style" in lowered and HIDING_STYLE.search(e.get("style") or ""):
+    if e.tag == "input" or "style" in lowered and NOT_DISPLAYED.search(e.get("style") or ""):
         return True
     return e.tag == "dialog" and e.get("open") is None
 
 
+def shown(e: Element, before: bool) -> bool:
+    """Whether text in an element is visible, if that around it is or isn't."""
+    if e.tag == "svg":
+        return False
+    if e.tag in DRAWN:
+        return True
+    style = VISIBILITY.findall(e.get("style") or "") if "visibility" in e.attributes.lower() else None
+    return style[-1].lower() == "visible" if style else before
+
+
 def columns_wide(text: str) -> int:
     return sum(2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
@@ -166,8 +183,8 @@ class Page:
         self.line = ""
         self.space = False  # collapsed white space waits for a next word
         self.blank = False  # a blank line waits for a next line
-        self.indents: list[str] = [""]
-        self.mark = ""  # of a list item that has no text yet
+        self.indents: list[str] = []  # of the open lists and quotes, each one's own
+        self.mark: tuple[int, str] | None = None  # of a list item that has no text yet: what stands before it, and it
 
     def text(self, text: str, preformatted: bool) -> None:
         if preformatted:
@@ -194,9 +211,9 @@ class Page:
             if self.blank and self.lines and self.lines[-1] != "":
                 self.lines.append("")
             self.blank = False
-            lead = self.indents[-1]
+            lead = "".join(self.indents)
             if self.mark and line:
-                lead, self.mark = self.mark, ""
+                lead, self.mark = "".join(self.indents[: self.mark[0]]) + self.mark[1], None
             self.lines.append((lead + line).rstrip())
 
     def rendering(self) -> str:
@@ -241,14 +258,14 @@ def _cell(child) -> Element:
     return cell
 
 
-def table_lines(table: Element, nested: int) -> tuple[list[str], list[str]]:
+def table_lines(table: Element, seen: bool) -> tuple[list[str], list[str]]:
     """The captions, and the rows with cells padded to columns and two spaces between; a cell's lines stay apart."""
     captions, rows = table_rows(table)
     grid: list[list[list[str]]] = []
     for row in rows:
         cells = []
         for cell in row:
-            cells.append(render(cell, nested).split("\n"))
+            cells.append(render(cell, shown(cell, seen)).split("\n"))
             span = cell.get("colspan") or "1"
             cells += [[""]] * (min(int(span), 1000) - 1 if span.isdecimal() and int(span) > 1 else 0)
         if any(any(x) for x in cells):
@@ -263,44 +280,46 @@ def table_lines(table: Element, nested: int) -> tuple[list[str], list[str]]:
         for k in range(max(map(len, cells))):
             parts = [(c[k] if k < len(c) else "") for c in cells]
             lines.append("  ".join(p + " " * (widths[i] - columns_wide(p)) for i, p in enumerate(parts)).rstrip())
-    return [render(c, nested) for c in captions], lines
+    return [render(c, shown(c, seen)) for c in captions], lines
 
 
-def render(root: Element, nested: int = 0) -> str:
-    """All visible text below an element. Works through an own stack, so depth isn't limited; tables nested deeper than
-    NESTED are rendered as plain blocks."""
+def render(root: Element, seen: bool = True) -> str:
+    """All visible text below an element; seen: whether text in it is. Works through an own stack, and calls itself for
+    cells only."""
     page = Page()
-    # (what to do, element, parent, preformatted, list depth)
-    todo: list[tuple] = [("in", c, root, False, 0) for c in reversed(root.children)]
+    # (what to do, element, parent, preformatted, list depth, whether text is visible)
+    todo: list[tuple] = [("in", c, root, False, 0, seen) for c in reversed(root.children)]
     numbers: dict[int, int] = {}
     while todo:
-        what, e, parent, pre, depth = todo.pop()
+        what, e, parent, pre, depth, seen = todo.pop()
         if isinstance(e, str):
-            page.text(e, pre)
+            if seen:
+                page.text(e, pre)
             continue
         tag = e.tag
         if what == "out":
             page.flush()
             if tag in ("li", "blockquote", "dd"):
                 page.indents.pop()
-                page.mark = ""
+                page.mark = None
             if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and depth):
                 page.blank = True
             continue
         if hidden(e):
             continue
+        seen = shown(e, seen)
         if tag == "br":
             if page.line:
                 page.flush()
             elif page.lines:
                 page.blank = True
         elif tag == "img":
-            if alt := (e.get("alt") or "").strip():
+            if seen and (alt := (e.get("alt") or "").strip()):
                 page.text(alt, False)
-        elif tag == "table" and nested < NESTED:
+        elif tag == "table":
             page.flush()
             page.blank = True
-            captions, lines = table_lines(e, nested + 1)
+            captions, lines = table_lines(e, seen)
             for line in "\n".join([*captions, *lines]).split("\n"):
                 page.line = line
                 page.flush()
@@ -318,24 +337,33 @@ def render(root: Element, nested: int = 0) -> str:
                 number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else numbers.get(id(parent), int(first) - 1 if re.fullmatch(r"-?\d{1,9}", first) else 0) + 1
                 numbers[id(parent)] = number
                 mark = list_mark(e, parent, number, max(0, depth - 1))
-                page.mark = page.indents[-1] + mark
-                page.indents.append(page.indents[-1] + " " * len(mark))
+                page.mark = (len(page.indents), mark)
+                page.indents.append(" " * len(mark))
             elif tag == "blockquote":
-                page.indents.append(page.indents[-1] + "> ")
+                page.indents.append("> ")
             elif tag == "dd":
-                page.indents.append(page.indents[-1] + "    ")
-            todo.append(("out", e, parent, pre, depth))
-            todo += [("in", c, e, pre or tag == "pre", below) for c in reversed(e.children)]
-        elif tag in ("td", "th"):
+                page.indents.append("    ")
+            todo.append(("out", e, parent, pre, depth, seen))
+            todo += [("in", c, e, pre or tag == "pre", below, seen) for c in reversed(e.children)]
+        elif tag in ("td", "th", "text", "svg"):
             page.space = True
-            todo += [("in", c, e, pre, depth) for c in reversed(e.children)]
+            todo.append(("in", " ", e, False, depth, True))
+            todo += [("in", c, e, pre, depth, seen) for c in reversed(e.children)]
         else:
-            todo += [("in", c, e, pre or tag in ("textarea", "xmp"), depth) for c in reversed(e.children)]
+            todo += [("in", c, e, pre or tag in ("textarea", "xmp"), depth, seen) for c in reversed(e.children)]
     return page.rendering()
 
 
 def visible_text(page: str | None) -> str:
-    return render(parse(page)) if page else ""
+    if not page:
+        return ""
+    # render() and table_lines() call each other once for each level of tables
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 1000 + 4 * page.lower().count("<table")))
+    try:
+        return render(parse(page))
+    finally:
+        sys.setrecursionlimit(before)
 
 
 def extract(pages: DataFrame, source: str = "html", out: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ tells the learnt languages apart, so a text of another one can score high; it is
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null label
 are never trained on; labels that aren't strings are taken as strings; with no label at all every text is ``und``;
-repeated rows get equal results; where no row is left to calibrate on (fewer than five, or none of them right), only
+repeated rows get equal results; texts of any length are read whole; where no row is left to calibrate on (fewer than five, or none of them right), only
 texts without a letter are rejected; an empty table gives an empty result; other columns stay, one named like an output is
 replaced.
 """
@@ -25,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaly.llm.shared import small
+
 UNKNOWN = "und"
 BUCKETS = 4096
 DIMENSIONS = 16
 ORDERS = (1, 2, 3, 4)
-#: Labelled rows of each label that the model is fitted on, at most about so many; and labels, at most.
+#: Labelled rows of each label that the model is fitted on, at most; and of all labels together, from which every label
+#: gets an equal share, one row at least. All labels are learnt, however many there are.
 ROWS_A_LABEL = 1500
-LABELS = 200
+SAMPLE_ROWS = 60_000
 EPOCHS = 12
 BATCH = 64
 RATE = 2.0
@@ -167,41 +170,44 @@ def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels:
 
 
 def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows_a_label: int = ROWS_A_LABEL) -> Model | None:
-    """A model from the eligible rows with a label: for each label about rows_a_label of them, those whose hashed ids
-    are smallest. Only their subword counts come to the driver, at most LABELS * rows_a_label rows in all."""
+    """A model from the eligible rows with a label: for each label at most rows_a_label of them, and SAMPLE_ROWS in all,
+    those whose hashed ids are smallest (of rows with the same id and label, the one with the smallest text). Only their
+    subword counts come to the driver."""
     rows = docs.where(eligible & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    # the most frequent labels, smaller ones first in ties
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label").limit(LABELS).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, rows_a_label / r["n"]))])
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each label; with more labels than SAMPLE_ROWS one row of each is learnt
+    n_labels = counts.count()
+    each = max(1, min(rows_a_label, SAMPLE_ROWS // max(1, n_labels)))
+    # some more than each, from which the smallest are taken
+    share = counts.select("label", ((each + 5 * each**0.5) / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("id"), F.lit(2**40)) / float(2**40)
-    some = rows.where(F.col("label").isin([r["label"] for r in counts])).where(place < F.element_at(share, F.col("label")))
+    some = rows.join(small(share, n_labels, 64), "label").where(place < F.col("share")).groupBy("id", "label").agg(F.min("text").alias("text"), F.min(place).alias("place"))
+    some = some.select("id", "text", "label", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, where, what, places, often = [], [], [], [], [], []
-            for i, t, name in zip(*(c.to_pylist() for c in batch.columns)):
+            ids, labels, ranks, where, what, places, often = [], [], [], [], [], [], []
+            for i, t, name, rank in zip(*(c.to_pylist() for c in batch.columns)):
                 counts, place = measured(t or "")
                 held = np.flatnonzero(counts)
                 if len(held):
                     ids.append(i)
                     labels.append(name)
+                    ranks.append(rank)
                     where.append(held.astype(np.int16))
                     what.append(counts[held])
                     place, n = np.unique(place, return_counts=True)
                     places.append(place)
                     often.append(n.astype(np.int32))
             ints = pa.list_(pa.int32())
-            kinds = [batch.schema.field(0).type, pa.string(), pa.list_(pa.int16()), pa.list_(pa.float32()), ints, ints]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, where, what, places, often), kinds)], names=["id", "label", "at", "n", "place", "often"])
+            kinds = [batch.schema.field(0).type, pa.string(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.float32()), ints, ints]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, ranks, where, what, places, often), kinds)], names=["id", "label", "rank", "at", "n", "place", "often"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    limit = 2 * rows_a_label * len(counts)
-    found = some.mapInArrow(run, f"id {kind}, label string, at array<smallint>, n array<float>, place array<int>, often array<int>").limit(limit).toArrow().to_pandas()
+    found = some.mapInArrow(run, f"id {kind}, label string, rank double, at array<smallint>, n array<float>, place array<int>, often array<int>").toArrow().to_pandas()
     if not len(found):
         return None
-    found = found.assign(size=[float(x.sum()) for x in found["n"]]).sort_values(["id", "label", "size"], kind="stable")
+    found = found.sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
     shares = np.zeros((len(found), BUCKETS), np.float32)
     for row, (at, n) in enumerate(zip(found["at"], found["n"])):
         shares[row, at] = n / n.sum()

@@ -5,7 +5,7 @@ host's failure rate is shrunk towards a beta prior fitted to all hosts by moment
 above a limit loses its remaining documents too.
 
 Defined results: a null text counts as no words (and so fails the base rule); rows with a null host form no host and
-are judged by the base rule alone; repeated rows are measured and counted one by one; an empty table gives an empty
+are judged by the base rule alone; repeated rows are measured and counted one by one; texts of any length are measured whole; an empty table gives an empty
 result; columns of the input named like a measure are replaced, all others stay.
 """
 
@@ -129,10 +129,15 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def quality_kept(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that both rules keep. Texts are measured twice and never shuffled while the failed hosts fit a broadcast."""
-    judged = measured(docs, text, [host]).withColumn("base_failed", base_rule())
-    failed = written(host_verdicts(judged, host).where("host_failed").select(F.col(host).alias("_failed_host")), "failed-hosts")
-    good = measured(docs, text).where(~base_rule()).select(*docs.columns)
+    """The rows of docs that both rules keep. Texts are measured and written once, those that the base rule fails without
+    their text, and never shuffled while the failed hosts fit a broadcast."""
+    judged = measured(docs.withColumns({f"_{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}), text, [f"_{i}" for i in range(len(docs.columns))])
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    judged = judged.withColumn("_failed", base_rule()).withColumn(names[text], F.when(~F.col("_failed"), F.col(names[text])))
+    judged = written(judged.select(*names.values(), "_failed"), "judged")
+    hosts = host_verdicts(judged.select(F.col(names[host]).alias("_host"), F.col("_failed").alias("base_failed")), "_host")
+    failed = written(hosts.where("host_failed").select(F.col("_host").alias("_failed_host")), "failed-hosts")
+    good = judged.where(~F.col("_failed")).select(*[F.col(x).alias(c) for c, x in names.items()])
     rows = failed.count()
     if not rows:
         return good
