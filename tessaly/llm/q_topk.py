@@ -17,7 +17,7 @@ QUERIES = {"op9_topk": op9_topk}
 
 ORACLE_SQL = {
     "op9_topk": """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id,

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 from tessaly.llm.components import connected_components
 from tessaly.llm.jaccard import distinct_documents, jaccard_components, shingles
 from tessaly.llm.packing import cuts, pack_documents, sum_of_squares
-from tessaly.llm.topk import exact_scores, integer_vectors, top_k
+from tessaly.llm.topk import best_of, exact_scores, integer_vectors, top_k
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -157,11 +158,29 @@ def brute_top(vectors, queries, k):
     return out
 
 
+def test_top_k_scores_few_pairs_of_skewed_vectors():
+    """Lengths that fall off and components that mostly lie in a few directions: most pairs fall to the bounds."""
+    r = np.random.default_rng(4)
+    shape = r.normal(0, 1, (2000, 64)) @ (np.diag(np.exp(-np.arange(64) / 6)) @ r.normal(0, 1, (64, 64)))
+    x = np.floor(256 * shape * (r.pareto(1.5, 2000) + 0.05)[:, None])
+    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+    block = pd.DataFrame({"vec_id": np.arange(2000), "v": list(x)})
+    asked = block.iloc[::50].assign(row=np.arange(40), floor=np.nan)
+    scored = []
+    got = best_of(asked, block, basis, 5, scored)
+    exact = (x[::50] @ x.T).astype(np.int64)
+    want = {(50 * i, j, exact[i, j]) for i in range(40) for j in sorted((j for j in range(2000) if j != 50 * i), key=lambda j: (-exact[i, j], j))[:5]}
+    assert {tuple(t) for t in got[["query_id", "vec_id", "score"]].to_numpy()} == want
+    assert sum(scored) < 0.4 * 40 * 2000
+    # a floor that nothing reaches leaves nothing to score
+    assert not len(best_of(asked.assign(floor=1e30), block, basis, 5, none := [])) and sum(none) == 0
+
+
 @pytest.mark.parametrize("blocks", [(7, 3), (4096, 1024)])
 def test_top_k_is_brute_force(spark, blocks):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 1 + i % 5, 24)], "a") for i in range(60)] + [(60 + i, [0.5] * 24, "b") for i in range(12)]
-    rows += [(90, None, ""), (91, [], ""), (92, [1.0, float("nan")], ""), (93, [None, 1.0], ""), (94, [float("inf")], ""), (None, [1.0], ""), (95, [2.0, -1.0], ""), (0, rows[0][1], "again")]
+    rows += [(90, None, ""), (91, [], ""), (92, [1.0, float("nan")], ""), (93, [None, 1.0], ""), (94, [float("inf")], ""), (None, [1.0], ""), (95, [2.0, -1.0], "")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string")
     vectors = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     from pyspark.sql import functions as F
@@ -170,6 +189,14 @@ def test_top_k_is_brute_force(spark, blocks):
     assert {tuple(x) for x in got} == brute_top(vectors, [i for i in vectors if i % 10 == 0], 5) and len(got) == len(set(map(tuple, got)))
 
 
+def test_top_k_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, [2.0]), (0, [2.0]), (1, [3.0]), (1, [3.0]), (2, [1.0])]
+    got = top_k(integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") == 0, 3).collect()
+    assert sorted(tuple(x)[1:3] for x in got) == [(1, 1), (1, 1), (2, 1), (2, 1), (3, 2), (3, 2)]
+
+
 def test_top_k_edges(spark):
     from pyspark.sql import functions as F
 
