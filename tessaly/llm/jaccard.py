@@ -9,8 +9,8 @@
 3. A prefix n-gram and the classes that hold it are a block of the incidence matrix. Every block first meets its pivot
    only (one pair for each row), and the links found merge classes; groups of near copies are one component after that.
 4. Two classes that no block holds in different components need no look. The sets of all others are written once, all
-   their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots while
-   that halves the pairs left between components, then all of their pairs, accumulating the overlap within the prefixes.
+   their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots until few
+   pairs are left between components or their number no longer halves, then all of their pairs, accumulating the overlap within the prefixes.
 5. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
    they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), by what the overlap so far
    and the places after the last shared n-gram leave possible, then by the bound that the bitmaps' distance puts on the
@@ -42,6 +42,8 @@ PERCENT = 85
 #: One n-gram in so many is looked at in step 2. Any number gives the same links.
 COUNTED = 5
 PARITY_BITS = 2048
+#: Pivots end when so few pairs are left between components for each row of the blocks, or when they no longer halve them.
+PAIRS_A_ROW = 4
 #: Fingerprints that a task remembers; a copy that comes after they were forgotten only gets its prefix once more.
 REMEMBERED = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -137,6 +139,8 @@ def linked(pairs: DataFrame, classes: DataFrame, n_classes: int, sets: Callable[
     able = with_class(with_class(pairs, "a", 0), "b", PARITY_BITS // 8)
     able = written(few(able.where((100 + percent) * F.floor((total - apart) / 2) >= percent * total).select("a", "b", "n_a", "n_b"), n_pairs), "pairs")
     n_able = able.count()
+    if not n_able:
+        return able.select("a", "b")
     wanted = written(few(able.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n_able), "wanted")
     there = sets(wanted)
     met = there.select(F.col("node").alias("b"), F.col("hashes").alias("h_b")).join(small(able, n_able), "b").join(there.select(F.col("node").alias("a"), F.col("hashes").alias("h_a")), "a")
@@ -256,12 +260,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             lined, n_open, left = _open(blocks, n_rows, label, n_nodes)
             if not n_open:
                 break
-            last = before is not None and left > before / 2
+            last = left <= PAIRS_A_ROW * n_rows or before is not None and left > before / 2
             before = left
             pairs = _with_all(lined, n_rows, percent) if last else _with_pivots(lined, n_rows, n_open, percent, turn)
             kept = lambda wanted: sets.join(wanted, "node", "left_semi")
-            links = written(links.union(linked(pairs, classes, n_nodes, kept, percent)), "links")
-            label = merged(links)
+            new = written(linked(pairs, classes, n_nodes, kept, percent), "links")
+            if not new.isEmpty():
+                links = written(links.union(new), "links")
+                label = merged(links)
 
     named = copies.join(small(label, n_nodes), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = [F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"]
