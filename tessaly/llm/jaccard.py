@@ -8,8 +8,9 @@
    isn't a copy have nothing left there. What is counted goes to as many tasks as it is worth; nothing is broadcast.
 3. A prefix n-gram and the classes that hold it are a block of the incidence matrix. Every block first meets its pivot
    only (one pair for each row), and the links found merge classes; groups of near copies are one component after that.
-4. Two classes that no block holds in different components need no look. The sets of all others are written once, all
-   their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots until few
+4. Two classes that no block holds in different components need no look. Blocks that hold few pairs of them for their
+   rows meet all of these. The sets of the classes in other blocks are written once; step 2, done again for half of the
+   n-grams of these alone, leaves classes of which most n-grams are shared. All of their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots until few
    pairs are left between components or their number no longer halves, then all of their pairs, accumulating the overlap within the prefixes.
 5. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
    they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), by what the overlap so far
@@ -154,26 +155,31 @@ def _reach(n, other, percent: int):
     return n - F.floor((percent * (n + other) + 99 + percent) / (100 + percent))
 
 
-def _blocks(first: DataFrame, copies: DataFrame, percent: int) -> tuple[DataFrame, int]:
-    """gram, node, n, at, short: the prefix n-grams that several documents hold, with the classes that hold them and its
-    place in them; short where an equal or larger set can link through it. And the number of rows."""
-    first = first.withColumn("mark", F.xxhash64("print"))
+def _rows(first: DataFrame, percent: int) -> DataFrame:
+    """node, n, at, gram: the prefixes of sets (node, mark, n, prefix, counted), without the single n-grams, that are held
+    by sets of one mark, at their start. Only n-grams that several sets hold, one of them in a short place."""
     looked = first.select("mark", F.explode("counted").alias("gram")).groupBy("gram").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
     single = written(looked.where("mark = other").groupBy("mark").agg(F.count(F.lit(1)).alias("u")), "single")
     size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    some = first.select("doc_id", "mark", "n", "prefix", "counted").join(small(single, single.count()), "mark", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    some = some.where(F.col("u") < size)
-    rows = some.select("doc_id", "n", "u", F.posexplode(F.slice("prefix", 1, (size - F.col("u")).cast("int"))).alias("at", "gram"))
+    some = first.join(small(single, single.count()), "mark", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") < size)
+    rows = some.select("node", "n", "u", F.posexplode(F.slice("prefix", 1, (size - F.col("u")).cast("int"))).alias("at", "gram"))
     # sets so small that the n-grams that were looked at lie in the prefix: the least place that these can have
     rest = F.col("n") - F.size("counted")
-    late = some.where(F.col("u") + rest < size).select("doc_id", "n", "u", rest.alias("at"), F.explode("counted").alias("gram"))
-    rows = rows.select("doc_id", "n", (F.col("u") + F.col("at")).alias("at"), "gram").union(late.select("doc_id", "n", F.col("u") + F.col("at"), "gram"))
-    rows = written(rows, "rows")
-    short = F.col("at") <= _reach(F.col("n"), F.col("n"), percent)
-    held = written(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(short.cast("int")).alias("short")).where("k > 1 AND short = 1").select("gram"), "held")
-    by_id = first.select("doc_id", "n", "print").join(copies, "print").select("doc_id", "node")
-    found = rows.join(small(held, held.count()), "gram").join(by_id, "doc_id")
-    blocks = written(found.select("gram", "node", "n", "at").distinct().withColumn("short", short), "blocks")
+    late = some.where(F.col("u") + rest < size).select("node", "n", "u", rest.alias("at"), F.explode("counted").alias("gram"))
+    rows = written(rows.union(late).select("node", "n", (F.col("u") + F.col("at")).alias("at"), "gram"), "rows")
+    held = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.max(_short(percent).cast("int")).alias("short"))
+    held = written(held.where("k > 1 AND short = 1").select("gram"), "held")
+    return rows.join(small(held, held.count()), "gram")
+
+
+def _short(percent: int):
+    """Whether an equal or larger set can link through a row."""
+    return F.col("at") <= _reach(F.col("n"), F.col("n"), percent)
+
+
+def _blocks(rows: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """gram, node, n, at, short: the rows written as blocks, and their number."""
+    blocks = written(rows.select("gram", "node", "n", "at").distinct().withColumn("short", _short(percent)), "blocks")
     return blocks, blocks.count()
 
 
@@ -186,20 +192,19 @@ def _counted_blocks(sets: DataFrame, percent: int) -> tuple[DataFrame, int]:
     placed = held.select("node", "n", F.posexplode("held").alias("place", "of"), F.size("held").alias("size"))
     at = (F.col("n") - F.col("size") + F.col("place")).alias("at")
     last = F.col("n") - F.floor((F.col("n") * percent + 99) / 100)
-    blocks = placed.select("of.gram", "node", "n", at).where(F.col("at") <= last).withColumn("short", F.col("at") <= _reach(F.col("n"), F.col("n"), percent))
-    blocks = written(blocks, "counted-blocks")
-    return blocks, blocks.count()
+    return _blocks(placed.select("of.gram", "node", "n", at).where(F.col("at") <= last), percent)
 
 
 def _open(blocks: DataFrame, n_rows: int, label: DataFrame, n_nodes: int) -> tuple[DataFrame, int, int]:
-    """The rows of the blocks that hold pairs of different components of which one row is short, with the component;
-    the number of those blocks, and of those pairs."""
+    """The rows of the blocks that hold pairs of different components of which one row is short, with the component, and
+    whether these are more than PAIRS_A_ROW for each row of the block; the number of those blocks, and of those pairs."""
     lined = blocks.join(small(label, n_nodes), "node")
     sizes = few(lined.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("s")), n_rows)
-    sizes = sizes.groupBy("gram").agg((F.sum("s") * F.sum("k") - F.sum(F.col("s") * F.col("k"))).alias("pairs"), F.count(F.lit(1)).alias("c"))
-    sizes = written(few(sizes, n_rows).where("c > 1 AND pairs > 0").select("gram", "pairs"), "sizes")
+    pairs = (F.sum("s") * F.sum("k") - F.sum(F.col("s") * F.col("k"))).alias("pairs")
+    sizes = few(sizes.groupBy("gram").agg(pairs, F.sum("k").alias("k"), F.count(F.lit(1)).alias("c")), n_rows)
+    sizes = written(sizes.where("c > 1 AND pairs > 0").select("gram", (F.col("pairs") > PAIRS_A_ROW * F.col("k")).alias("large"), "pairs"), "sizes")
     left, n_open = sizes.agg(F.sum("pairs"), F.count(F.lit(1))).first()
-    return lined.join(small(sizes.select("gram"), n_open), "gram", "left_semi"), n_open, left or 0
+    return lined.join(small(sizes.select("gram", "large"), n_open), "gram"), n_open, left or 0
 
 
 def _fitting(mine: DataFrame, lined: DataFrame, percent: int) -> DataFrame:
@@ -218,13 +223,13 @@ def _with_pivots(lined: DataFrame, n_rows: int, n_open: int, percent: int, turn:
     return few(_fitting(mine, lined, percent).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct(), n_rows)
 
 
-def _with_all(lined: DataFrame, n_rows: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of the blocks that can reach the overlap that a link needs. All n-grams that two sets share up to the
-    last one met lie in both prefixes, so their number is exact."""
-    met = _fitting(lined.drop("short"), lined, percent).where("node < o")
+def _with_all(lined: DataFrame, n_rows: int, percent: int, whole: bool) -> DataFrame:
+    """Pairs (a, b) of the blocks. If these are the whole prefixes, only those that can reach the overlap that a link
+    needs: all n-grams that two sets share up to the last one met lie in both prefixes, so their number is exact."""
+    met = _fitting(lined, lined, percent).where("node < o")
     met = few(met.groupBy(F.col("node").alias("a"), F.col("o").alias("b"), "n", "n_o").agg(F.count(F.lit(1)).alias("k"), F.max("at").alias("at"), F.max("at_o").alias("at_o")), n_rows)
     most = F.col("k") + F.least(F.col("n") - F.col("at"), F.col("n_o") - F.col("at_o")) - 1
-    return met.where((100 + percent) * most >= percent * (F.col("n") + F.col("n_o"))).select("a", "b")
+    return met.where(((100 + percent) * most >= percent * (F.col("n") + F.col("n_o"))) | F.lit(not whole)).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -233,7 +238,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     table = written(described(docs, doc_id, text, percent, width), "sets")
     part = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     copies = written(part.groupBy("print").agg(F.min("doc_id").alias("node")), "copies")
-    blocks, n_rows = _blocks(part.where(F.col("prefix").isNotNull()), copies, percent)
+    first = part.where(F.col("prefix").isNotNull())
+    rows = _rows(first.select(F.col("doc_id").alias("node"), F.xxhash64("print").alias("mark"), "n", "prefix", "counted"), percent).withColumnRenamed("node", "doc_id")
+    blocks, n_rows = _blocks(rows.join(first.select("doc_id", "print").join(copies, "print").select("doc_id", "node"), "doc_id"), percent)
 
     label = written(few(blocks.select("node").distinct(), n_rows).withColumn("component", F.col("node")), "labels")
     n_nodes = label.count()
@@ -242,19 +249,30 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = written(few(able.groupBy("node", "n").agg(F.min("parity").alias("parity")), n_nodes * 8), "classes")
     read = lambda wanted: _sets(docs, wanted, doc_id, text, width)
 
-    def merged(links: DataFrame) -> DataFrame:
-        joined = connected_components(links)
-        return written(label.select("node").join(small(joined, n_nodes), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+    links = None
+
+    def join(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> None:
+        nonlocal links, label
+        found = written(linked(pairs, classes, n_nodes, sets, percent), "links")
+        if not found.isEmpty():
+            links = found if links is None else written(links.union(found), "links")
+            joined = connected_components(links)
+            label = written(label.select("node").join(small(joined, n_nodes), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
     lined, n_open, _ = _open(blocks, n_rows, label, n_nodes)
     if n_open:
-        links = written(linked(_with_pivots(lined, n_rows, n_open, percent, 0), classes, n_nodes, read, percent), "links")
-        label = merged(links)
+        join(_with_pivots(lined, n_rows, n_open, percent, 0), read)
         lined, n_open, _ = _open(blocks, n_rows, label, n_nodes)
     if n_open:
-        sets = written(read(written(few(lined.select("node").distinct(), n_rows), "open")), "open-sets")
-        blocks, n_rows = _counted_blocks(sets, percent)
-        before, last, turn = None, False, 0
+        join(_with_all(lined.where("NOT large"), n_rows, percent, False), read)
+        # what stands in large blocks with another component still, and hasn't met all of it
+        lined, _, _ = _open(blocks, n_rows, label, n_nodes)
+        sets = written(read(written(few(lined.where("large").select("node").distinct(), n_rows), "open")), "open-sets")
+        looked = lambda x: F.pmod(x, F.lit(COUNTED)) < COUNTED // 2 + 1
+        again = sets.select("node", F.xxhash64("node").alias("mark"), F.size("hashes").cast("long").alias("n"), F.filter("hashes", lambda x: ~looked(x)).alias("prefix"), F.filter("hashes", looked).alias("counted"))
+        left = written(few(_rows(again, percent).select("node").distinct(), n_rows), "left")
+        blocks, n_rows = _counted_blocks(sets.join(small(left, left.count()), "node", "left_semi"), percent)
+        before, last, turn = None, n_rows == 0, 0
         while not last:
             turn += 1
             lined, n_open, left = _open(blocks, n_rows, label, n_nodes)
@@ -262,12 +280,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 break
             last = left <= PAIRS_A_ROW * n_rows or before is not None and left > before / 2
             before = left
-            pairs = _with_all(lined, n_rows, percent) if last else _with_pivots(lined, n_rows, n_open, percent, turn)
-            kept = lambda wanted: sets.join(wanted, "node", "left_semi")
-            new = written(linked(pairs, classes, n_nodes, kept, percent), "links")
-            if not new.isEmpty():
-                links = written(links.union(new), "links")
-                label = merged(links)
+            pairs = _with_all(lined, n_rows, percent, True) if last else _with_pivots(lined, n_rows, n_open, percent, turn)
+            join(pairs, lambda wanted: sets.join(wanted, "node", "left_semi"))
 
     named = copies.join(small(label, n_nodes), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = [F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id"]
