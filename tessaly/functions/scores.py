@@ -73,14 +73,17 @@ def truth_of(raw: Column) -> Column:
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 
-def indicator_score(fn: Column, direction: Column, number: Column, text: Column, truth: Column, unlimited: Column, low: Column, high: Column, mean: Column, stddev: Column, rubric: Column) -> Column:
-    """Dispatch over the normalisation function; a missing value gives null, 'no limit' 100 or 0."""
+def indicator_score(fn: Column, direction: Column, number: Column, text: Column, truth: Column, unlimited: Column, low: Column, high: Column, mean: Column, stddev: Column, rubric: Column, annotated: Column | None = None, regional: Column | None = None) -> Column:
+    """Dispatch over the normalisation function; a missing value gives null, 'no limit' 100 or 0. annotated: the boolean
+    of an annotated value; regional: the score that the country's region stands in with."""
     return (
         F.when(unlimited & fn.isin("min_max", "z_score"), F.when(direction == LOWER, 0.0).otherwise(100.0))
         .when(fn == "min_max", min_max(number, low, high, direction))
         .when(fn == "z_score", z_score(number, mean, stddev, direction))
         .when(fn == "categorical", categorical(text, rubric))
         .when(fn == "boolean", boolean(truth, direction))
+        .when(fn == "boolean_with_annotation", boolean(F.lit(None).cast("boolean") if annotated is None else annotated, direction))
+        .when(fn == "country_substitute_regional", F.lit(None).cast("double") if regional is None else regional)
     )
 
 

@@ -22,10 +22,15 @@ def drifted(df: DataFrame, key: str, time: str, tie: str, value: str, since: Col
 
 
 def without_recent(df: DataFrame, keys: list[str], time: str, tie: str, days: int) -> DataFrame:
-    """Rows without an earlier row of the same keys in the days before them."""
-    w = Window.partitionBy(*keys).orderBy(time, tie)
-    before = F.lag(time).over(w)
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < F.col(time) - F.expr(f"INTERVAL {days} DAYS"))).drop("_before")
+    """The rows that are written if a row is left out while a written one of the same keys is younger than days. What is
+    left out counts for nothing later, so a key's rows are folded in their order; a row is written at most once in days."""
+    order = [time, tie]
+    row = F.struct(*order, *[c for c in df.columns if c not in [*keys, *order]])
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    none = F.slice("_rows", 1, 0)
+    last = lambda kept: F.try_element_at(kept, F.lit(-1))[time]
+    take = lambda kept, x: F.when(last(kept).isNull() | (last(kept) <= x[time] - F.expr(f"INTERVAL {days} DAYS")), F.concat(kept, F.array(x))).otherwise(kept)
+    return rows.select(*keys, F.inline(F.aggregate("_rows", none, take))).select(*df.columns)
 
 
 def feed(changes: DataFrame, where: Column, time: str, tie: str, severity: str, limit: int = 200) -> DataFrame:

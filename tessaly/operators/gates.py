@@ -80,9 +80,9 @@ def registry_urls(sources: DataFrame, programs: DataFrame, as_of: Column, days:
 
 
 def with_fallback(left: DataFrame, first: DataFrame, first_keys: list[str], second: DataFrame, second_keys: list[str], payload: str) -> DataFrame:
-    """left with the payload of the first table, else of the second; either has one row for its keys."""
-    one = first.select(*first_keys, F.col(payload).alias("_one"))
-    two = second.select(*second_keys, F.col(payload).alias("_two"))
+    """left with the payload of the first table, else of the second; of several rows for a key the largest payload."""
+    one = first.groupBy(*first_keys).agg(F.max(payload).alias("_one"))
+    two = second.groupBy(*second_keys).agg(F.max(payload).alias("_two"))
     return left.join(one, first_keys, "left").join(two, second_keys, "left").withColumn(payload, F.coalesce("_one", "_two")).drop("_one", "_two")
 
 

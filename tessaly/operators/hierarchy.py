@@ -76,11 +76,13 @@ def penalised(score: Column, present: Column, of: int) -> Column:
 def score_cohort(values: DataFrame, entities: DataFrame, indicators: list[Indicator], profile: Profile = REFERENCE, entity: str = "entity") -> DataFrame:
     """entity, sub_scores, pillar_scores and coverage (maps), paq, cme, composite, flagged for every entity.
 
-    values (entity, key, score): indicator scores, null or absent where missing; the last of repeated keys in value
-    order counts. entities (entity, cme): a null cme is 0.
+    values (entity, key, score): indicator scores, null or absent where missing; of repeated keys the one with the
+    largest value in a column place counts, which comes last, or without that column the largest score. entities
+    (entity, cme): a null cme is 0.
     """
+    place = F.col("place") if "place" in values.columns else F.col("score")
     keys = [i.key for i in indicators]
-    wide = values.where(F.col("key").isin(keys)).groupBy(entity).agg(*[F.max(F.when(F.col("key") == k, F.col("score"))).alias(f"v{n}") for n, k in enumerate(keys)])
+    wide = values.where(F.col("key").isin(keys)).groupBy(entity).agg(*[F.max_by("score", F.when(F.col("key") == k, place)).alias(f"v{n}") for n, k in enumerate(keys)])
     rows = entities.select(entity, F.coalesce("cme", F.lit(0.0)).alias("cme")).join(wide, entity, "left")
     value = {k: F.col(f"v{n}") for n, k in enumerate(keys)}
 

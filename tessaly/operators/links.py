@@ -15,12 +15,12 @@ def _index(column: str, values: list[str]) -> Column:
 
 
 def merged_urls(urls: DataFrame, key: list[str]) -> DataFrame:
-    """One row for each key: registry, then proven if absent, then fresh and field-proven over both; the first place
-    stays. urls (key..., origin, position, payload columns)."""
+    """One row for each key: registry, then proven if absent, then fresh and field-proven over both; of one origin the
+    last row counts, of proven ones the first; the first place stays. urls (key..., origin, position, payload columns)."""
     payload = F.struct(*[F.col(c) for c in urls.columns if c not in key and c != "position"])
     # proven only counts where no registry row is there, so it ranks below it
     strength = F.when(F.col("origin") == "proven", 0).otherwise(_index("origin", ORIGIN_STRENGTH))
-    best = urls.groupBy(*key).agg(F.max_by(payload, F.struct(strength, -F.col("position"))).alias("_p"), F.min("position").alias("position"))
+    best = urls.groupBy(*key).agg(F.max_by(payload, F.struct(strength, F.when(F.col("origin") == "proven", -F.col("position")).otherwise(F.col("position")))).alias("_p"), F.min("position").alias("position"))
     return best.select(*key, "_p.*", "position")
 
 
@@ -80,8 +80,12 @@ def reconciled(journal: DataFrame, disk: DataFrame, name: str, checksum: str) ->
     return j.join(d, name, "full_outer").select(name, verdict.alias("verdict"))
 
 
-def upserted(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """existing with the incoming rows in place of those of the same key."""
+def upserted(existing: DataFrame, incoming: DataFrame, key: list[str], order: list[Column] | None = None) -> DataFrame:
+    """existing with the incoming rows in place of those of the same key; of several for a key the first in order, or
+    without an order any one."""
+    from tessaly.operators.rows import first_per_key
+
+    incoming = first_per_key(incoming, key, order) if order else incoming.dropDuplicates(key)
     return existing.join(incoming.select(*key).distinct(), key, "left_anti").unionByName(incoming)
 
 

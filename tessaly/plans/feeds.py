@@ -90,7 +90,7 @@ def review_decisions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "click", "reject").when(F.col("event_type") == "view", "edit").otherwise("unapprove")
     decisions = e.select(F.col("user_id").alias("id"), "ts", "event_id", kind.alias("decision"), F.when(kind == "edit", F.concat(F.lit("v"), "event_id")).alias("edited_raw"))
-    rows = table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("id"), F.lit("pending").alias("status"), F.lit("raw").alias("value_raw"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("pending").alias("status"), F.lit("raw").alias("value_raw"))
     return O.decided(rows, decisions, "id", "ts", "event_id")
 
 
@@ -117,7 +117,11 @@ SELECT o_orderkey, CASE WHEN NOT c OR x IS NULL THEN 'minor' WHEN abs(x) > 5 THE
     "changes_feed": """
 SELECT o_orderkey, severity FROM (SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'breaking' WHEN '2' THEN 'material' WHEN '3' THEN 'minor' ELSE 'url_broken' END AS severity
   FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 1000 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200) WHERE severity <> 'url_broken'""",
-    "dedupe_30d": "SELECT event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR b < ts - INTERVAL 30 DAY",
+    "dedupe_30d": """
+WITH RECURSIVE e AS (SELECT user_id, event_type, {'t': ts, 'i': event_id} AS x FROM events),
+r AS (SELECT user_id, event_type, min(x) AS x FROM e GROUP BY ALL UNION ALL
+      SELECT r.user_id, r.event_type, min(e.x) FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.x.t >= r.x.t + INTERVAL 30 DAY GROUP BY ALL)
+SELECT x.i AS event_id FROM r""",
     "digest": f"WITH {_RECIPIENTS} SELECT recipient, event_id FROM events, r WHERE ts BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-30' AND {_WANTED}",
     "digest_body": f"WITH {_RECIPIENTS} SELECT recipient, string_agg(event_type || ' ' || event_id, chr(10) ORDER BY event_type, ts DESC, event_id) AS body FROM events, r WHERE ts BETWEEN TIMESTAMP '2024-01-29 22:00:00' AND TIMESTAMP '2024-01-30' AND {_WANTED} GROUP BY recipient",
     "review_tabs": """
@@ -138,7 +142,7 @@ FROM (SELECT event_id, (epoch_us(TIMESTAMP '2024-01-30 23:59:59') - epoch_us(ts)
     "review_decisions": """
 WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)
 SELECT c_custkey AS id, CASE WHEN event_type IN ('purchase', 'view') THEN 'approved' WHEN event_type = 'click' THEN 'rejected' ELSE 'pending' END AS status,
-  CASE WHEN event_type = 'view' THEN 'v' || event_id ELSE 'raw' END AS value_raw FROM customer LEFT JOIN l ON user_id = c_custkey WHERE c_custkey <= 200""",
+  CASE WHEN event_type = 'view' THEN 'v' || event_id ELSE 'raw' END AS value_raw FROM customer LEFT JOIN l ON user_id = c_custkey""",
     "change_audit": """
 SELECT CASE WHEN p = '1' THEN 'provenance' WHEN p = '2' OR (k AND o_orderstatus = 'F') THEN 'countries' WHEN NOT k THEN 'methodology' ELSE 'data' END AS bucket, count(*) AS n
 FROM (SELECT substr(o_orderpriority, 1, 1) AS p, o_orderkey % 3 <> 0 AS k, o_orderstatus FROM orders) GROUP BY 1""",

@@ -32,7 +32,7 @@ def yield_score(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_coverage(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return L.pair_coverage(li.where("l_quantity > 49"), "c_nationkey", "s_nationkey", 25)
+    return L.pair_coverage(li, "c_nationkey", "s_nationkey", 25)
 
 
 def both_ways(spark: SparkSession, d: str) -> DataFrame:
@@ -68,22 +68,23 @@ def inserted_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kept_tier(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey < 80").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("tier"), F.col("c_mktsegment").alias("category"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 3).alias("tier"), F.col("c_mktsegment").alias("category"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 2 + 1).alias("tier"), F.lit("new").alias("category"))
     return L.kept_tier_upsert(c, s, ["k"], "tier", "category")
 
 
 def summary_dense(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").where("p_retailprice > 1500").withColumn("rank", F.col("p_size"))
+    p = table(spark, d, "part").withColumn("rank", F.col("p_size"))
     keys = table(spark, d, "part").select("p_brand").distinct().union(spark.range(1).select(F.lit("none").alias("p_brand")))
     out = L.dense_summary(p, keys, "p_brand", "rank", [10, 20, 50])
     return out.withColumn("best", F.when(F.col("best") < float("inf"), F.col("best")))
 
 
 def residual_join(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of other customers of the same nation: an equi join with an inequality besides, aggregated by customer."""
-    c = table(spark, d, "customer").where("c_custkey <= 60")
-    return c.alias("a").join(c.alias("b"), (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_custkey") != F.col("b.c_custkey"))).groupBy(F.col("a.c_custkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    """How many other customers each one's nation has: those of the nation less itself, without meeting any pair."""
+    c = table(spark, d, "customer")
+    n = c.groupBy("c_nationkey").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return c.join(n, "c_nationkey").where("n > 0").select(F.col("c_custkey").alias("k"), "n")
 
 
 def archived_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -114,12 +115,12 @@ r AS (SELECT *, row_number() OVER (ORDER BY later, CASE WHEN later THEN CASE tie
 SELECT s_suppkey, tier, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20""",
     "merged_urls": """
 WITH u AS (SELECT user_id AS key, event_id % 4 AS o, event_id AS position, event_type FROM events),
-r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE o WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END, position) AS k, min(position) OVER (PARTITION BY key) AS first FROM u)
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE o WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END, CASE WHEN o = 1 THEN position ELSE -position END) AS k, min(position) OVER (PARTITION BY key) AS first FROM u)
 SELECT key, ['registry', 'proven', 'fresh', 'field_proven'][o + 1] AS origin, event_type, first AS position FROM r WHERE k = 1""",
     "url_yield": f"WITH {_YIELD} SELECT user_id, event_type, attempts, yielded, round(mean_confidence, 6) AS mean_confidence, round(best, 6) AS best, any_yield FROM y",
     "yield_score": f"WITH {_YIELD} SELECT user_id, round(sum(yielded * coalesce(mean_confidence, 0.5)), 6) AS score FROM y GROUP BY 1",
     "pair_coverage": """
-WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS x, greatest(c_nationkey, s_nationkey) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 49 AND c_nationkey <> s_nationkey)
+WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS x, greatest(c_nationkey, s_nationkey) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)
 SELECT CAST(300 AS BIGINT) AS pairs, (SELECT count(*) FROM p) AS modelled, (SELECT count(DISTINCT e) FROM (SELECT x AS e FROM p UNION ALL SELECT y FROM p)) AS touched""",
     "both_ways": """
 WITH p AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, n_name AS source FROM nation)
@@ -132,13 +133,12 @@ SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'UNAPPLIED' WHEN p_partkey %
     "upserted": "SELECT c_custkey, round(c_acctbal, 2) AS v FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, round(s_acctbal, 2) FROM supplier",
     "inserted_new": "SELECT s_suppkey AS k, 'supplier' AS origin FROM supplier UNION ALL SELECT user_id, 'event' || min(event_id) FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) GROUP BY user_id",
     "kept_tier": """
-WITH c AS (SELECT * FROM customer WHERE c_custkey < 80)
-SELECT coalesce(c_custkey, s_suppkey) AS k, least(c_custkey % 3, s_suppkey % 2 + 1) AS tier, coalesce(c_mktsegment, 'new') AS category FROM c FULL JOIN supplier ON c_custkey = s_suppkey""",
+SELECT coalesce(c_custkey, s_suppkey) AS k, least(c_custkey % 3, s_suppkey % 2 + 1) AS tier, coalesce(c_mktsegment, 'new') AS category FROM customer FULL JOIN supplier ON c_custkey = s_suppkey""",
     "summary_dense": """
-WITH p AS (SELECT * FROM part WHERE p_retailprice > 1500), k AS (SELECT DISTINCT p_brand FROM part UNION ALL SELECT 'none')
+WITH p AS (SELECT * FROM part), k AS (SELECT DISTINCT p_brand FROM part UNION ALL SELECT 'none')
 SELECT k.p_brand, count(p.p_brand) AS total, CAST(min(p_size) AS DOUBLE) AS best, count(*) FILTER (WHERE p_size <= 10) AS within_10, count(*) FILTER (WHERE p_size <= 20) AS within_20, count(*) FILTER (WHERE p_size <= 50) AS within_50
 FROM k LEFT JOIN p ON p.p_brand = k.p_brand GROUP BY 1""",
-    "residual_join": "SELECT a.c_custkey AS k, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey <= 60 AND b.c_custkey <= 60 GROUP BY 1",
+    "residual_join": "SELECT a.c_custkey AS k, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey GROUP BY 1",
     "archived_latest": "SELECT user_id, 'p/' || event_id AS storage_path FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'view') WHERE k = 1",
     "deleted_rows": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
 }

@@ -16,7 +16,7 @@ INDICATORS = [H.Indicator("a1", "A", "A.1", 0.6), H.Indicator("a2", "A", "A.1",
 
 
 def minmax_score(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_quantity < 10")
+    li = table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_partkey", F.round(S.min_max(F.col("l_quantity"), F.lit(2.0), F.lit(8.0), F.lit(S.LOWER)), 6).alias("score"))
 
 
@@ -50,7 +50,7 @@ def raw_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def geometric_mean(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_suppkey % 10 = 1").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), (F.max("l_discount") * 100).alias("x"), F.when(F.col("l_suppkey") % 20 == 1, F.min("l_tax")).otherwise(F.max("l_tax")).alias("t"))
+    li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("q"), (F.max("l_discount") * 100).alias("x"), F.when(F.col("l_suppkey") % 20 == 1, F.min("l_tax")).otherwise(F.max("l_tax")).alias("t"))
     return li.select("l_suppkey", F.round(H.geometric_mean([(F.col("q"), 0.5), (F.col("x"), 0.3), (F.col("t"), 0.2)]), 6).alias("score"))
 
 
@@ -199,7 +199,7 @@ _RHO = "1 - 6 * sum(power(base_rank - new_rank, 2)) / (count(*) * (power(count(*
 _SHIFT = "CAST(sum((base_rank <> new_rank)::INT + (base_rank > 10)::INT) FILTER (WHERE new_rank <= 10) AS BIGINT)"
 
 ORACLE_SQL = {
-    "minmax_score": "SELECT l_orderkey, l_partkey, round(greatest(0, least(100, 100 * (1 - (l_quantity - 2) / 6))), 6) AS score FROM lineitem WHERE l_quantity < 10",
+    "minmax_score": "SELECT l_orderkey, l_partkey, round(greatest(0, least(100, 100 * (1 - (l_quantity - 2) / 6))), 6) AS score FROM lineitem",
     "zscore_score": """
 WITH z AS (SELECT s_suppkey, (s_acctbal - 4500) / 3000 AS z FROM supplier), t AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS t FROM z),
 u AS (SELECT *, exp(-z * z / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) AS tail FROM t)
@@ -209,7 +209,7 @@ SELECT s_suppkey, round(greatest(0, least(100, 100 * CASE WHEN z >= 0 THEN 1 - t
     "annotated_boolean_score": "SELECT event_id, CASE WHEN CAST(props ->> '$.k' AS INT) % 2 = 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events",
     "raw_values": "SELECT o_orderkey, round(o_totalprice, 2) AS number, CASE WHEN o_orderstatus = 'F' THEN true END AS truth, o_orderkey % 2 = 0 AS unlimited FROM orders",
     "geometric_mean": """
-WITH g AS (SELECT l_suppkey, avg(l_quantity) AS q, max(l_discount) * 100 AS x, CASE WHEN l_suppkey % 20 = 1 THEN min(l_tax) ELSE max(l_tax) END AS t FROM lineitem WHERE l_suppkey % 10 = 1 GROUP BY l_suppkey)
+WITH g AS (SELECT l_suppkey, avg(l_quantity) AS q, max(l_discount) * 100 AS x, CASE WHEN l_suppkey % 20 = 1 THEN min(l_tax) ELSE max(l_tax) END AS t FROM lineitem GROUP BY l_suppkey)
 SELECT l_suppkey, round(CASE WHEN q <= 0 OR x <= 0 OR t <= 0 THEN 0 ELSE exp(0.5 * ln(nullif(greatest(q, 0), 0)) + 0.3 * ln(nullif(greatest(x, 0), 0)) + 0.2 * ln(nullif(greatest(t, 0), 0))) END, 6) AS score FROM g""",
     "weighted_mean": "SELECT l_suppkey, round(CASE WHEN l_suppkey % 3 <> 0 THEN avg(l_quantity) * 0.5 / 0.7 + avg(l_discount) * 100 * 0.2 / 0.7 ELSE avg(l_quantity) END, 6) AS score FROM lineitem GROUP BY l_suppkey",
     "missing_penalty": "SELECT l_suppkey, round(CASE WHEN present = total THEN q ELSE q * sqrt(present / total) END, 6) AS score, round(present / total, 6) AS coverage FROM (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R') AS present, count(*) AS total, avg(l_quantity) AS q FROM lineitem GROUP BY 1)",

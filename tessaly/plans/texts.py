@@ -44,7 +44,7 @@ def link_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", F.array_join(T.keywords(F.substring("text", 1, 60)), "|").alias("keywords"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.keywords(F.col("text")), "|").alias("keywords"))
 
 
 def gap_class(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 100 ELSE 300 END AS k F
 SELECT CASE WHEN event_id % 19 = 0 THEN 'TIMEOUT' WHEN c IN (404, 410) THEN 'GONE' WHEN c >= 500 THEN 'ERROR_5xx' WHEN c >= 400 THEN 'ERROR_4xx' WHEN c >= 300 THEN 'REDIRECT' WHEN value * 60 < 1500 THEN 'SOFT_404' ELSE 'LIVE' END AS status, count(*) AS n
 FROM (SELECT *, [200, 301, 404, 410, 403, 500][event_id % 6 + 1] AS c FROM events) GROUP BY 1""",
     "keywords": r"""
-WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(substr(text, 1, 60)), '[\s/(),\-–]+')) AS w, generate_subscripts(regexp_split_to_array(lower(substr(text, 1, 60)), '[\s/(),\-–]+'), 1) AS i FROM benchmark),
+WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[\s/(),\-–]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[\s/(),\-–]+'), 1) AS i FROM benchmark),
 k AS (SELECT item_id, w, min(i) AS i FROM w WHERE length(w) >= 3 AND w NOT IN ('and', 'or', 'the', 'a', 'an', 'of', 'for', 'in', 'on', 'to', 'by', 'as', 'at', 'with', 'from', 'vs', 'per', 'no', 'not') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS n FROM k)
 SELECT b.item_id, coalesce(string_agg(w, '|' ORDER BY i), '') AS keywords FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND n <= 4 GROUP BY 1""",

@@ -40,9 +40,13 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_archive(df: DataFrame, path: str, country: str, time: Column) -> None:
-    """Content-addressed rows below country and date, so reads prune by both."""
-    df.withColumn("date", F.to_date(time)).withColumn("country", F.col(country)).write.mode("append").partitionBy("country", "date").parquet(path)
+def write_archive(df: DataFrame, path: str, country: str, time: Column, hash_column: str, archived: DataFrame | None = None) -> None:
+    """Content-addressed rows below country and date, so reads prune by both. Of rows with one hash one is written, and
+    none whose hash is archived already, so a rerun adds nothing."""
+    new = df.dropDuplicates([hash_column])
+    if archived is not None:
+        new = new.join(archived.select(hash_column).distinct(), hash_column, "left_anti")
+    new.withColumn("date", F.to_date(time)).withColumn("country", F.col(country)).write.mode("append").partitionBy("country", "date").parquet(path)
 
 
 def latest_archived(archive: DataFrame, keys: list[str], time: str, tie: str, place: str = "storage_path") -> DataFrame:

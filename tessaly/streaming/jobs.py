@@ -6,7 +6,6 @@ how the tests and queries hold a stream against its batch twin.
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +26,11 @@ def source(spark: SparkSession, path: str, files_a_trigger: int = 4) -> DataFram
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its input into the folder for checkpoints and read the result."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessaly-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessaly-stream-")
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -67,40 +70,41 @@ def changes_of_value(stream: DataFrame, key: str, time: str, tie: str, value: st
 
 
 SIGNALS = "domain string, signal string, seq long"
+SEEN = "first_path string, several boolean, hashes array<string>, again boolean, thin long, challenges long, flagged boolean"
 
 
-def first_signal(rows: list[tuple], seen: dict | None = None) -> tuple[dict, tuple[str, int] | None]:
-    """Fold observations (seq, url, hash, thin, challenge) of one domain: with two paths or more, a content hash seen
-    twice, then two thin pages, then two challenge pages flag it once."""
-    s = seen or {"paths": [], "hashes": {}, "thin": 0, "challenge": 0, "flagged": False}
-    for seq, url, content, thin, challenge in rows:
-        if s["flagged"]:
-            break
-        if url not in s["paths"] and len(s["paths"]) < 2:
-            s["paths"].append(url)
-        if content:
-            s["hashes"][content] = s["hashes"].get(content, 0) + 1
-        s["thin"] += bool(thin)
-        s["challenge"] += bool(challenge)
-        if len(s["paths"]) < 2:
-            continue
-        signal = "hash_equality" if any(n > 1 for n in s["hashes"].values()) else "thin_fanout" if s["thin"] > 1 else "challenge_fanout" if s["challenge"] > 1 else None
-        if signal:
-            s["flagged"] = True
-            return s, (signal, seq)
-    return s, None
+def signals(rows: pd.DataFrame, first_path: str | None, hashes: set[str], met_again: bool, thin: int, challenges: int) -> pd.Series:
+    """For each observation of a domain in its order, the signal that the counts up to it give, or null: with more than
+    one path, a content hash that came before; else a second thin page; else a second challenge page."""
+    several = rows["url"].ne(rows["url"].iloc[0] if first_path is None else first_path).cummax()
+    content = rows["content_hash"].where(rows["content_hash"].fillna("") != "")
+    again = (met_again | content.notna() & (content.duplicated() | content.isin(hashes))).cummax()
+    out = pd.Series(None, index=rows.index, dtype=object)
+    out[challenges + rows["challenge"].fillna(False).astype(int).cumsum() > 1] = "challenge_fanout"
+    out[thin + rows["thin"].fillna(False).astype(int).cumsum() > 1] = "thin_fanout"
+    out[again] = "hash_equality"
+    return out.where(several)
 
 
 def blocked_domains(stream: DataFrame) -> DataFrame:
-    """domain, signal, seq for the first signal of each domain. stream: domain, seq, url, content_hash, thin, challenge."""
+    """domain, signal, seq for the first signal of each domain. stream: domain, seq, url, content_hash, thin, challenge.
+    The state is counters and the hashes met, and nothing but the flag once a domain is flagged."""
+
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        seen = json.loads(state.get[0]) if state.exists else None
-        columns = [rows[c].tolist() for c in ("seq", "url", "content_hash", "thin", "challenge")]
-        seen, found = first_signal(list(zip(*columns)), seen)
-        if seen["flagged"]:
-            seen = {"paths": [], "hashes": {}, "thin": 0, "challenge": 0, "flagged": True}
-        state.update((json.dumps(seen),))
-        yield pd.DataFrame([(group[0], *found)] if found else [], columns=["domain", "signal", "seq"])
-
-    return stream.groupBy("domain").applyInPandasWithState(run, SIGNALS, "seen string", "append", GroupStateTimeout.NoTimeout)
+        path, several, hashes, again, thin, challenges, flagged = state.get if state.exists else (None, False, [], False, 0, 0, False)
+        if flagged:
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)
+        # a path that no url has stands for those met where there are several
+        found = signals(rows, "\0" if several else path, set(hashes), again, thin, challenges).dropna()
+        if len(found):
+            state.update((None, True, [], True, 0, 0, True))
+            yield pd.DataFrame({"domain": [group[0]], "signal": found.iloc[:1].tolist(), "seq": [rows["seq"][found.index[0]]]})
+        else:
+            path = rows["url"].iloc[0] if path is None else path
+            content = rows["content_hash"].dropna()
+            content = content[content != ""]
+            again = bool(again or content.duplicated().any() or content.isin(hashes).any())
+            state.update((path, bool(several or (rows["url"] != path).any()), sorted({*hashes, *content}), again, int(thin + rows["thin"].sum()), int(challenges + rows["challenge"].sum()), False))
+
+    return stream.groupBy("domain").applyInPandasWithState(run, SIGNALS, SEEN, "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 import importlib
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,11 +103,26 @@ def test_upsert_and_insert_ignore(spark):
 
 
 def test_blocker_state_is_the_same_in_parts():
-    rows_ = [(1, "/a", "h", False, False), (2, "/a", "h", True, False), (3, "/b", "i", True, False), (4, "/c", "j", True, True)]
-    assert jobs.first_signal(rows_)[1] == ("hash_equality", 3)
-    seen, found = jobs.first_signal(rows_[:2])
-    assert found is None and jobs.first_signal(rows_[2:], seen)[1] == ("hash_equality", 3)
-    assert jobs.first_signal([(1, "/a", "", True, False), (2, "/b", "", True, False)])[1] == ("thin_fanout", 2)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["url", "content_hash", "thin", "challenge"])
+    rows_ = [("/a", "h", False, False), ("/a", "h", True, False), ("/b", "i", True, False), ("/c", "j", True, True)]
+    told = lambda *given: [x if isinstance(x, str) else None for x in jobs.signals(*given)]
+    assert told(frame(*rows_), None, set(), False, 0, 0) == [None, None, "hash_equality", "hash_equality"]
+    assert told(frame(*rows_[2:]), "/a", {"h"}, True, 1, 0) == ["hash_equality"] * 2
+    assert told(frame(*rows_[2:]), "/a", {"j"}, False, 0, 1) == [None, "hash_equality"]
+    assert told(frame(("/a", "", True, False), ("/b", "", True, False)), None, set(), False, 0, 0) == [None, "thin_fanout"]
+    assert told(frame(("/b", None, False, True)), "/a", set(), False, 1, 1) == ["challenge_fanout"]
+
+
+def test_dedupe_looks_at_written_rows_only(spark):
+    rows = [("k", f"2024-01-{1 + d:02d}" if d < 31 else f"2024-02-{d - 30:02d}", d, "x") for d in (0, 20, 45, 50)] + [("m", "2024-01-01", 1, "y"), ("m", "2024-01-31", 2, "z")]
+    df = spark.createDataFrame(rows, "k string, at string, id int, more string").withColumn("at", F.to_timestamp("at"))
+    assert {(r["k"], r["id"]) for r in feeds.without_recent(df, ["k"], "at", "id", 30).collect()} == {("k", 0), ("k", 45), ("m", 1), ("m", 2)}
+
+
+def test_last_of_an_origin_counts(spark):
+    data = [("a", "registry", 1, "r1"), ("a", "registry", 2, "r2"), ("b", "proven", 3, "p1"), ("b", "proven", 4, "p2"), ("c", "fresh", 5, "f1"), ("c", "fresh", 6, "f2")]
+    got = {r["key"]: (r["tag"], r["position"]) for r in links.merged_urls(spark.createDataFrame(data, "key string, origin string, position int, tag string"), ["key"]).collect()}
+    assert got == {"a": ("r2", 1), "b": ("p1", 3), "c": ("f2", 5)}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -133,3 +149,16 @@ def test_queries_are_listed_without_a_session():
 
     listed = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True)
     assert listed.returncode == 0, listed.stderr
+
+
+def test_archive_reruns_add_nothing(spark, tmp_path):
+    df = spark.createDataFrame([("AUS", "2024-01-01 10:00:00", "h1"), ("AUS", "2024-01-01 11:00:00", "h1"), ("SGP", "2024-01-02 10:00:00", "h2")], "iso string, at string, hash string").withColumn("at", F.to_timestamp("at"))
+    path = str(tmp_path / "archive")
+    files.write_archive(df, path, "iso", F.col("at"), "hash")
+    files.write_archive(df, path, "iso", F.col("at"), "hash", spark.read.parquet(path))
+    assert sorted(r["hash"] for r in spark.read.parquet(path).collect()) == ["h1", "h2"]
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "k int, v string")
+    assert sorted(tuple(r) for r in links.upserted(old, new, ["k"], [F.col("v").desc()]).collect()) == [(1, "c"), (2, "d")]
