@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,30 +61,36 @@ def flattened(df: DataFrame, key: str, record: str) -> DataFrame:
     return df.select(key, record).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, path string, value string")
 
 
+#: Between parts of a window.
+GAP = "\n[...]\n"
+
+
 def content_window(content: str, terms: list[str], most: int, chunk: int = 2000, stride: int = 1800, head: int = 1500, tail: int = 800) -> str:
-    """At most about most characters of a long text: its two ends, then the chunks with most terms while they fit; in
-    text order, with overlaps joined and a mark between gaps."""
+    """At most most characters of a longer text: the chunks that touch its first head and last tail characters, then those
+    with most whole-word terms (in lower case) while they fit. A chunk costs what it adds to the window: neighbours share
+    their overlap and have no gap between. Without terms the text's beginning."""
     if len(content) <= most:
         return content
-    lowered, spans, used = content.lower(), [(0, head), (len(content) - tail, len(content))], head + tail
-    scored = []
-    for at in range(0, len(content), stride):
-        piece = lowered[at : at + chunk]
-        if n := sum(piece.count(t) for t in terms):
-            scored.append((-n, at))
-    for _, at in sorted(scored):
-        size = min(chunk, len(content) - at)
-        if used + size <= most:
-            spans.append((at, at + size))
-            used += size
-    spans.sort()
-    joined = [spans[0]]
-    for start, stop in spans[1:]:
-        if start <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(stop, joined[-1][1]))
-        else:
-            joined.append((start, stop))
-    return "\n[...]\n".join(content[a:b] for a, b in joined)
+    if not terms:
+        return content[:most]
+    n = max(0, -(-(len(content) - chunk) // stride)) + 1
+    ends = [min(i * stride + chunk, len(content)) for i in range(n)]
+
+    def found(i: int) -> int:
+        piece = content[i * stride : ends[i]].lower()
+        return sum(len(re.findall(rf"\b{re.escape(t)}\b", piece, re.ASCII)) for t in terms)
+
+    def spans(chosen: set[int]) -> list[tuple[int, int]]:
+        firsts = [i for i in sorted(chosen) if i - 1 not in chosen]
+        lasts = [i for i in sorted(chosen) if i + 1 not in chosen]
+        return [(a * stride, ends[b]) for a, b in zip(firsts, lasts)]
+
+    chosen = {i for i in range(n) if i * stride < head or ends[i] > len(content) - tail}
+    for score, i in sorted((-found(i), i) for i in range(n) if i not in chosen):
+        parts = spans(chosen | {i})
+        if score and sum(b - a for a, b in parts) + len(GAP) * (len(parts) - 1) <= most:
+            chosen.add(i)
+    return GAP.join(content[a:b] for a, b in spans(chosen))[:most]
 
 
 def content_windows(df: DataFrame, key: str, content: str, terms: list[str], most: int) -> DataFrame:
