@@ -86,6 +86,22 @@ def test_jaccard_components_are_brute_force_ones(spark):
     assert len(set(want)) < len(want) - 50
 
 
+def test_jaccard_of_documents_that_share_passages(spark):
+    """Documents with a passage in common that don't link, families of near misses, and a hub that joins its copies."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(4000)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(150)]
+    texts = [" ".join(passage + [word() for _ in range(r.choice([8, 30, 90]))]) for _ in range(120)]
+    texts += [" ".join(w if r.random() > rate else word() for w in base) for rate in (0.01, 0.02, 0.03, 0.05) for _ in range(30)]
+    texts += ["a b c d e", "a b c d e f", "a b c d e f g h i j k", "x " + " ".join(passage)]
+    sets = [brute_sets(t) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    want = union_find(len(texts), links)
+    assert got == dict(enumerate(want)) and 5 < len(links) < 2000 and want[:100] != [0] * 100
+
+
 def test_jaccard_edges(spark):
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(3, "a b c d e", "n"), (3, "a b c d e", "n"), (None, "a b c d e", "n"), (1, "a b c d e", "n"), (9, None, "x")]
