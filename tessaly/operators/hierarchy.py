@@ -139,3 +139,29 @@ def rebalanced(weights: dict[str, float], changed: str, value: float) -> dict[st
     if others:
         out[others[-1]] += 1 - sum(out.values())
     return {k: out[k] for k in weights}
+
+
+def indicator_scores(values: DataFrame, definitions: DataFrame, substitutes: DataFrame, entity: str = "entity") -> DataFrame:
+    """entity, key, score, place: raw values (entity, key, raw, status, place) through their fields' functions.
+
+    definitions (key, fn, direction, low, high, mean, stddev, rubric) and substitutes (key, region, value, score) are
+    configuration and broadcast. Rows that aren't approved, have no value or say {"notApplicable": true} take no part. A
+    regional value names its region, or else is one of the substitutes' values (of equal ones the first region's). What
+    can't be scored is null, which score_cohort takes as missing.
+    """
+    from tessaly.functions import scores as S
+
+    by_region = substitutes.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("region", "score"))).alias("by_region"))
+    first = substitutes.groupBy("key", "value").agg(F.min_by("score", "region").alias("score"))
+    by_value = first.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("value", "score"))).alias("by_value"))
+    rows = values.where((F.col("status") == "approved") & F.col("raw").isNotNull()).join(F.broadcast(definitions), "key")
+    rows = rows.join(F.broadcast(by_region), "key", "left").join(F.broadcast(by_value), "key", "left")
+    rows = rows.withColumn("fields", F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", "map<string,string>")))
+    field = lambda k: F.try_element_at("fields", k)
+    region = field(F.lit("region"))
+    regional = F.when(region.isNotNull(), F.try_element_at("by_region", region)).otherwise(F.try_element_at("by_value", F.trim("raw")))
+    annotated = F.when(field(F.col("key")) == "true", True).when(field(F.col("key")) == "false", False)
+    c = F.col
+    score = S.indicator_score(c("fn"), c("direction"), S.number_of(c("raw")), F.trim("raw"), S.truth_of(c("raw")), S.no_limit(c("raw")), c("low"), c("high"), c("mean"), c("stddev"), c("rubric"), annotated, regional)
+    applies = F.coalesce(field(F.lit("notApplicable")) != "true", F.lit(True))
+    return rows.where(applies).select(entity, "key", score.alias("score"), "place")

@@ -132,3 +132,14 @@ def token_costs(usage: DataFrame, prices: DataFrame, kinds: list[str], model: st
     rows = usage.join(F.broadcast(price), F.col(model) == F.col("_m"), "left").crossJoin(F.broadcast(base))
     cost = sum((F.col(k) * F.coalesce(f"_{k}", f"_f_{k}") / 1e6 for k in kinds), F.lit(0.0))
     return rows.groupBy(*(by or []), model).agg(F.sum(cost).alias("cost"))
+
+
+def rescored_sensitivity(base: DataFrame, rescored: dict[float, DataFrame], entity: str = "entity") -> DataFrame:
+    """factor, rho and shift of the rankings that scaled normalisation parameters give. base and rescored (by factor):
+    entity, composite."""
+    old = base.select(entity, F.col("composite").alias("_base"))
+    parts = [df.select(F.lit(f).alias("factor"), entity, F.col("composite").alias("_new")) for f, df in rescored.items()]
+    new = parts[0]
+    for part in parts[1:]:
+        new = new.union(part)
+    return _perturbed(new.join(old, entity), "factor", entity)

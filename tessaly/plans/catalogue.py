@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.plans import feeds, ingest, links, rankings, rollups, scoring, streams, texts
+from tessaly.plans import feeds, ingest, links, programmes, rankings, rollups, scoring, streams, texts
 
-_MODULES = (rankings, scoring, feeds, links, texts, ingest, rollups, streams)
+_MODULES = (rankings, scoring, feeds, links, texts, ingest, rollups, programmes, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
