@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessaly.llm import q_bpe, q_chat, q_html, q_jaccard, q_langid, q_licenses, q_packing, q_periodic, q_quality, q_simhash, q_topk, q_url_filter
+from tessaly.llm import q_bpe, q_chat, q_html, q_jaccard, q_langid, q_licenses, q_packing, q_periodic, q_quality, q_simhash, q_topk, q_url_filter, q_variants
 
-_MODULES = (q_packing, q_url_filter, q_jaccard, q_chat, q_licenses, q_bpe, q_langid, q_html, q_topk, q_quality, q_simhash, q_periodic)
+_MODULES = (q_packing, q_url_filter, q_jaccard, q_chat, q_licenses, q_bpe, q_langid, q_html, q_topk, q_quality, q_variants, q_simhash, q_periodic)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
