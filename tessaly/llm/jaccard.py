@@ -264,10 +264,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         join(_with_pivots(lined, n_rows, n_open, percent, 0), read)
         lined, n_open, _ = _open(blocks, n_rows, label, n_nodes)
     if n_open:
+        # blocks that are large here are met below, however few pairs the links of the others leave in them
+        unmet = written(few(lined.where("large").select("gram").distinct(), n_rows), "unmet")
         join(_with_all(lined.where("NOT large"), n_rows, percent, False), read)
-        # what stands in large blocks with another component still, and hasn't met all of it
+        # what stands in such a block with another component still
         lined, _, _ = _open(blocks, n_rows, label, n_nodes)
-        sets = written(read(written(few(lined.where("large").select("node").distinct(), n_rows), "open")), "open-sets")
+        lined = lined.join(small(unmet, unmet.count()), "gram", "left_semi")
+        sets = written(read(written(few(lined.select("node").distinct(), n_rows), "open")), "open-sets")
         looked = lambda x: F.pmod(x, F.lit(COUNTED)) < COUNTED // 2 + 1
         again = sets.select("node", F.xxhash64("node").alias("mark"), F.size("hashes").cast("long").alias("n"), F.filter("hashes", lambda x: ~looked(x)).alias("prefix"), F.filter("hashes", looked).alias("counted"))
         left = written(few(_rows(again, percent).select("node").distinct(), n_rows), "left")

@@ -222,3 +222,47 @@ def test_top_k_edges(spark):
     assert top_k(integer_vectors(table.limit(0)), F.col("vec_id") == 0).count() == 0
     assert top_k(integer_vectors(table), F.col("vec_id") == 77).count() == 0
     assert exact_scores(np.array([[2.0**30, 1]]), np.array([[2.0**30, 3]])).tolist() == [[2**60 + 3]]
+
+
+def passages_that_lead(width, groups):
+    """Groups of seven documents of 23 n-grams and some: five windows over one text, each a word further, and two that
+    differ in their last word. Hashes are chosen so that one n-gram (P) leads all seven, another (Y) the windows, and
+    their last one each of the two: P's block alone can bring the two together, and it shrinks once Y's has been met."""
+    r = random.Random(11)
+    made = []
+    n = 20 + width - 1
+    word = lambda: f"w{r.randrange(10**9)}"
+    small_one = lambda hashes: hashes[0] % np.uint64(5) and hashes[0] < np.uint64(2**64 // 500)
+
+    def lucky(start, count):
+        while True:
+            new = [word() for _ in range(count)]
+            if small_one(shingles(" ".join(start + new), width)):
+                return new
+
+    while len(made) < groups:
+        p, y = lucky([], width), lucky([], width)
+        whole = [word() for _ in range(n + 4)]
+        whole[5 : 5 + width], whole[12 : 12 + width] = p, y
+        windows = [whole[i : i + n] for i in range(5)]
+        body = p + [word() for _ in range(n - width - 1)]
+        tail = body[len(body) - width + 1 :] if width > 1 else []
+        two = [body + lucky(tail, 1) for _ in range(2)]
+        first = lambda words, k: set(shingles(" ".join(words), width)[:k].tolist())
+        both = first(p, 1) | first(y, 1)
+        if all(first(x, 2) == both for x in windows) and all(first(x, 2) == first(p, 1) | first(x[n - width :], 1) for x in two):
+            made.append([" ".join(x) for x in [*windows, *two]])
+    return made
+
+
+@pytest.mark.parametrize("width", [1, 4])
+def test_blocks_that_shrink_are_met(spark, width):
+    groups = passages_that_lead(width, 12)
+    texts = [x for group in groups for x in group]
+    sets = [set(shingles(x, width).tolist()) for x in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = union_find(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_components(docs, width=width).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert all(got[7 * g + 6] == got[7 * g + 5] != got[7 * g] for g in range(len(groups)))
