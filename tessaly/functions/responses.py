@@ -81,30 +81,32 @@ def quote_place(content: Column, quote: Column) -> Column:
     return F.when(exact > 0, exact - 1).when(plain == "", -1).otherwise(loose - 1)
 
 
+#: Fields of an extraction response and what they must be: a text, an object, a count (0 or more) or a share (0 to 1).
+RESPONSE_FIELDS = (("valueRaw", "text"), ("sourceSentence", "text"), ("characterOffsets", "object"), ("characterOffsets.start", "count"), ("characterOffsets.end", "count"), ("extractionConfidence", "share"))
+
+
 def response_errors(response: Column) -> Column:
-    """What is wrong with an extraction response (JSON), in order; empty for a sound one. A value that was found must
-    come with its sentence and a span."""
+    """What is wrong with an extraction response (JSON), as field:rule codes in the order of RESPONSE_FIELDS; empty for a
+    sound one. A value that was found (not blank, confidence above 0) must be bound: to a sentence that isn't blank, to
+    offsets that aren't both 0, and the end not before the start. An array counts as an object, here and as offsets;
+    anything else has the one code response:object. Offsets inside what isn't an object aren't looked at."""
     doc = F.try_parse_json(response)
-    text = lambda k: F.try_variant_get(doc, f"$.{k}", "string")
     kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{k}", "variant")), F.lit("VOID"))
-    number = lambda k: F.when(kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(doc, f"$.{k}", "double"))
-    start, end, sure = number("characterOffsets.start"), number("characterOffsets.end"), number("extractionConfidence")
-    spans = kind("characterOffsets").startswith("OBJECT")
-    is_text = lambda k: kind(k) == "STRING"
-    bound = is_text("valueRaw") & (F.trim(text("valueRaw")) != "") & (sure > 0)
-    rules = [
-        (~is_text("valueRaw"), "valueRaw must be a string"),
-        (~is_text("sourceSentence"), "sourceSentence must be a string"),
-        (~spans, "characterOffsets must be an object"),
-        (spans & F.coalesce(start < 0, F.lit(True)), "characterOffsets.start must be a finite number >= 0"),
-        (spans & F.coalesce(end < 0, F.lit(True)), "characterOffsets.end must be a finite number >= 0"),
-        (F.coalesce(~sure.between(0, 1), F.lit(True)), "extractionConfidence must be a number between 0 and 1"),
-        (bound & (~is_text("sourceSentence") | (F.trim(text("sourceSentence")) == "")), "non-empty valueRaw requires a non-empty sourceSentence"),
-        (bound & (start == 0) & (end == 0), "non-empty valueRaw requires non-zero characterOffsets"),
-        (bound & (end < start), "characterOffsets.end must be >= characterOffsets.start"),
-    ]
-    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), message) for bad, message in rules]))
-    return F.when(F.coalesce(F.schema_of_variant(doc), F.lit("VOID")).startswith("OBJECT"), found).otherwise(F.array(F.lit("response is not an object")))
+    text = lambda k: F.when(kind(k) == "STRING", F.trim(F.try_variant_get(doc, f"$.{k}", "string")))
+    number = lambda k: F.when(kind(k).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(doc, f"$.{k}", "double"))
+    is_object = lambda schema: schema.rlike("^(OBJECT|ARRAY)")
+    sound = {
+        "text": lambda k: text(k).isNotNull(),
+        "object": lambda k: is_object(kind(k)),
+        "count": lambda k: ~is_object(kind(k.rpartition(".")[0])) | F.coalesce(number(k) >= 0, F.lit(False)),
+        "share": lambda k: F.coalesce(number(k).between(0, 1), F.lit(False)),
+    }
+    start, end = number("characterOffsets.start"), number("characterOffsets.end")
+    found = (text("valueRaw") != "") & (number("extractionConfidence") > 0)
+    rules = [(~sound[rule](k), f"{k}:{rule}") for k, rule in RESPONSE_FIELDS]
+    rules += [(found & (F.coalesce(text("sourceSentence"), F.lit("")) == ""), "sourceSentence:bound"), (found & (start == 0) & (end == 0), "characterOffsets:bound"), (found & (end < start), "characterOffsets:order")]
+    codes = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), code) for bad, code in rules]))
+    return F.when(is_object(F.coalesce(F.schema_of_variant(doc), F.lit("VOID"))), codes).otherwise(F.array(F.lit("response:object")))
 
 
 def reviewer_change(row_id: Column, reviewer: Column, now: Column) -> Column:

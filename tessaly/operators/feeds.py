@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaly.operators.places import ranked, running_before
+from tessaly.sources.stored import stored
+
 FEED_SEVERITIES = ["minor", "material", "breaking"]
 
 
@@ -23,14 +26,40 @@ def drifted(df: DataFrame, key: str, time: str, tie: str, value: str, since: Col
 
 def without_recent(df: DataFrame, keys: list[str], time: str, tie: str, days: int) -> DataFrame:
     """The rows that are written if a row is left out while a written one of the same keys is younger than days. What is
-    left out counts for nothing later, so a key's rows are folded in their order; a row is written at most once in days."""
-    order = [time, tie]
-    row = F.struct(*order, *[c for c in df.columns if c not in [*keys, *order]])
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    none = F.slice("_rows", 1, 0)
-    last = lambda kept: F.try_element_at(kept, F.lit(-1))[time]
-    take = lambda kept, x: F.when(last(kept).isNull() | (last(kept) <= x[time] - F.expr(f"INTERVAL {days} DAYS")), F.concat(kept, F.array(x))).otherwise(kept)
-    return rows.select(*keys, F.inline(F.aggregate("_rows", none, take))).select(*df.columns)
+    left out counts for nothing later, so a row is written at most once in days. Rows without a time aren't written.
+
+    The rows of a key are numbered by time; after each of them the next that could be written is the first at least days
+    later, found by counting the rows before that time. The written ones are those that these pointers reach from a key's
+    first row. Pointers double their length in each round, so a chain of n rows takes about log2(n) joins, and no task
+    holds a whole key.
+    """
+    dated = df.where(F.col(time).isNotNull())
+    order = [F.col(time).asc(), F.col(tie).asc()]
+    rows = stored(ranked(dated, order, "_place", keys), "placed")
+    point = lambda at, kind: rows.select(*keys, at.alias("_t"), F.lit(kind).alias("_kind"), F.col(tie).alias("_tie"), "_place", F.lit(kind).cast("long").alias("_one"))
+    # at one time the question comes before the rows, so it counts those before only
+    both = point(F.col(time) + F.expr(f"INTERVAL {days} DAYS"), 0).union(point(F.col(time), 1))
+    before = running_before(both, keys, [F.col("_t").asc(), F.col("_kind").asc(), F.col("_tie").asc()], "_one", "_earlier")
+    sizes = rows.groupBy(*keys).agg(F.max("_place").alias("_size"))
+    nexts = before.where("_kind = 0").select(*keys, F.col("_place").alias("_from"), (F.col("_earlier") + 1).alias("_to"))
+    jumps = stored(_same_keys(nexts, sizes, keys).where("_to <= _size").select(*keys, "_from", "_to"), "jumps")
+    written = rows.where("_place = 1").select(*keys, "_place")
+    while not jumps.isEmpty():
+        there = _same_keys(written, jumps, keys, F.col("_place") == F.col("_from")).select(*keys, F.col("_to").alias("_place"))
+        written = stored(written.union(there), "written")
+        on = jumps.select(*keys, F.col("_from").alias("_via"), F.col("_to").alias("_end"))
+        jumps = stored(_same_keys(jumps, on, keys, F.col("_to") == F.col("_via")).select(*keys, "_from", F.col("_end").alias("_to")), "jumps")
+    return _same_keys(rows, written.withColumnRenamed("_place", "_written"), keys, F.col("_place") == F.col("_written"), "left_semi").select(*df.columns)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], more: Column | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right where all keys, nulls too, and more are equal; right's keys go."""
+    side = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = F.lit(True) if more is None else more
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    joined = left.join(side, same, how)
+    return joined if how == "left_semi" else joined.drop(*[f"_right_{k}" for k in keys])
 
 
 def feed(changes: DataFrame, where: Column, time: str, tie: str, severity: str, limit: int = 200) -> DataFrame:

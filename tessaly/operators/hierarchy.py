@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaly.operators.places import ranked
+
 DISCLOSURE = 0.7
 
 
@@ -85,7 +87,16 @@ def score_cohort(values: DataFrame, entities: DataFrame, indicators: list[Indica
     wide = values.where(F.col("key").isin(keys)).groupBy(entity).agg(*[F.max_by("score", F.when(F.col("key") == k, place)).alias(f"v{n}") for n, k in enumerate(keys)])
     rows = entities.select(entity, F.coalesce("cme", F.lit(0.0)).alias("cme")).join(wide, entity, "left")
     value = {k: F.col(f"v{n}") for n, k in enumerate(keys)}
+    return aggregated(rows, value, indicators, profile, entity)
+
 
+def aggregated(
+    rows: DataFrame, value: dict[str, Column], indicators: list[Indicator], profile: Profile = REFERENCE, entity: str = "entity", keep: list[str] | None = None,
+    cme: Column | float | None = None, paq: Column | float | None = None, geometric: Column | None = None, dropped: Column | None = None,
+) -> DataFrame:
+    """What score_cohort gives, and the columns keep, for rows (entity, cme and more) with each indicator's score as a
+    Column over them. The weights of cme and paq, whether pillars meet in a geometric mean, and a pillar whose
+    indicators are left out may be columns, too; without, they are the profile's."""
     subs: dict[str, dict[str, list[Indicator]]] = {}
     for i in indicators:
         subs.setdefault(i.pillar, {}).setdefault(i.sub_factor, []).append(i)
@@ -97,37 +108,42 @@ def score_cohort(values: DataFrame, entities: DataFrame, indicators: list[Indica
             columns[name] = F.when(present > 0, penalised(weighted_mean([(value[i.key], i.weight) for i in of]), present, len(of))).otherwise(0.0)
         every = [i for of in own.values() for i in of]
         coverage[pillar] = total([value[i.key].isNotNull().cast("int") for i in every]) / float(len(every)) if every else F.lit(0.0)
-    rows = rows.select(entity, "cme", *[c.alias(f"s{n}") for n, c in enumerate(columns.values())], *[c.alias(f"c_{p}") for p, c in coverage.items()])
+    hidden = keep or []
+    rows = rows.select(entity, "cme", *hidden, *[c.alias(f"s{n}") for n, c in enumerate(columns.values())], *[c.alias(f"c_{p}") for p, c in coverage.items()])
     sub = {name: F.col(f"s{n}") for n, name in enumerate(columns)}
     for pillar, weights in profile.sub_factors.items():
         there = {s: w for s, w in weights.items() if s in sub}
         scale = sum(there.values())
         pillar_score[pillar] = total([sub[s] * (w / scale) for s, w in there.items()]) if scale else F.lit(0.0)
     rows = rows.select("*", *[c.alias(f"p_{p}") for p, c in pillar_score.items()])
-    scoped = [(F.col(f"p_{p}"), w) for p, w in profile.pillars.items() if any(s in sub for s in profile.sub_factors.get(p, {}))]
-    paq = geometric_mean(scoped) if profile.geometric else weighted_mean(scoped)
+    there = lambda p: F.col(f"p_{p}") if dropped is None else F.when(~F.col(f"p_{p}").isNull() & ~dropped.eqNullSafe(F.lit(p)), F.col(f"p_{p}"))
+    scoped = [(there(p), w) for p, w in profile.pillars.items() if any(s in sub for s in profile.sub_factors.get(p, {}))]
+    if geometric is None:
+        mean = geometric_mean(scoped) if profile.geometric else weighted_mean(scoped)
+    else:
+        mean = F.when(geometric, geometric_mean(scoped)).otherwise(weighted_mean(scoped))
     flagged = reduce(lambda a, b: a | b, [F.col(f"c_{p}") < profile.disclosure for p in coverage], F.lit(False))
     as_map = lambda pairs: F.create_map(*[x for k, c in pairs for x in (F.lit(k), c)])
-    return rows.withColumn("paq", paq).select(
+    weight = profile.cme if cme is None else cme, profile.paq if paq is None else paq
+    return rows.withColumn("_paq", mean).select(
         entity,
+        *hidden,
         as_map(sub.items()).alias("sub_scores"),
         as_map((p, F.col(f"p_{p}")) for p in pillar_score).alias("pillar_scores"),
         as_map((p, F.col(f"c_{p}")) for p in coverage).alias("coverage"),
-        "paq",
+        F.col("_paq").alias("paq"),
         "cme",
-        (profile.cme * F.col("cme") + profile.paq * F.col("paq")).alias("composite"),
+        (weight[0] * F.col("cme") + weight[1] * F.col("_paq")).alias("composite"),
         flagged.alias("flagged"),
     )
 
 
 def what_if(rows: DataFrame, pillars: dict[str, float], cme: float = 0.3, paq: float = 0.7, name: str = "name") -> DataFrame:
     """rows (pillar_scores, cme, name) with new weights: paq, composite and rank of those that have a composite."""
-    from pyspark.sql import Window
-
     re_paq = total([F.try_element_at("pillar_scores", F.lit(p)) * w for p, w in pillars.items()])
     scored = rows.withColumn("paq", re_paq).withColumn("composite", cme * F.col("cme") + paq * F.col("paq"))
-    order = Window.partitionBy(F.col("composite").isNull()).orderBy(F.col("composite").desc(), name)
-    return scored.withColumn("rank", F.when(F.col("composite").isNotNull(), F.row_number().over(order)))
+    placed = ranked(scored, [F.col("composite").desc_nulls_last(), F.col(name).asc()])
+    return placed.withColumn("rank", F.when(F.col("composite").isNotNull(), F.col("rank")))
 
 
 def rebalanced(weights: dict[str, float], changed: str, value: float) -> dict[str, float]:
@@ -141,13 +157,14 @@ def rebalanced(weights: dict[str, float], changed: str, value: float) -> dict[st
     return {k: out[k] for k in weights}
 
 
-def indicator_scores(values: DataFrame, definitions: DataFrame, substitutes: DataFrame, entity: str = "entity") -> DataFrame:
-    """entity, key, score, place: raw values (entity, key, raw, status, place) through their fields' functions.
+def readings(values: DataFrame, definitions: DataFrame, substitutes: DataFrame, entity: str = "entity") -> DataFrame:
+    """entity, key, fn, place, number, unlimited, score, error: raw values (entity, key, raw, status, place) through their
+    fields' functions.
 
     definitions (key, fn, direction, low, high, mean, stddev, rubric) and substitutes (key, region, value, score) are
     configuration and broadcast. Rows that aren't approved, have no value or say {"notApplicable": true} take no part. A
     regional value names its region, or else is one of the substitutes' values (of equal ones the first region's). What
-    can't be scored is null, which score_cohort takes as missing.
+    can't be scored is null, with an error that says why: one bad row doesn't stop a cohort.
     """
     from tessaly.functions import scores as S
 
@@ -162,6 +179,14 @@ def indicator_scores(values: DataFrame, definitions: DataFrame, substitutes: Dat
     regional = F.when(region.isNotNull(), F.try_element_at("by_region", region)).otherwise(F.try_element_at("by_value", F.trim("raw")))
     annotated = F.when(field(F.col("key")) == "true", True).when(field(F.col("key")) == "false", False)
     c = F.col
-    score = S.indicator_score(c("fn"), c("direction"), S.number_of(c("raw")), F.trim("raw"), S.truth_of(c("raw")), S.no_limit(c("raw")), c("low"), c("high"), c("mean"), c("stddev"), c("rubric"), annotated, regional)
+    number, unlimited = S.number_of(c("raw")), S.no_limit(c("raw"))
+    score = S.indicator_score(c("fn"), c("direction"), number, F.trim("raw"), S.truth_of(c("raw")), unlimited, c("low"), c("high"), c("mean"), c("stddev"), c("rubric"), annotated, regional)
+    why = S.error_of(c("fn"), number, F.trim("raw"), c("low"), c("high"), c("stddev"), c("rubric"))
     applies = F.coalesce(field(F.lit("notApplicable")) != "true", F.lit(True))
-    return rows.where(applies).select(entity, "key", score.alias("score"), "place")
+    rows = rows.where(applies).select(entity, "key", "fn", "place", number.alias("number"), unlimited.alias("unlimited"), score.alias("score"), why.alias("_why"))
+    return rows.withColumn("error", F.when(F.col("score").isNull(), F.coalesce("_why", F.lit("unreadable value")))).drop("_why")
+
+
+def indicator_scores(values: DataFrame, definitions: DataFrame, substitutes: DataFrame, entity: str = "entity") -> DataFrame:
+    """entity, key, score, place, error of readings; score_cohort takes a null score as missing."""
+    return readings(values, definitions, substitutes, entity).select(entity, "key", "score", "place", "error")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Origins from weakest to strongest payload, and their order inside a tier.
+#: Origins from weakest to strongest payload.
 ORIGIN_STRENGTH = ["registry", "proven", "fresh", "field_proven"]
-ORIGIN_RANK = ["field_proven", "registry", "proven", "fresh"]
 
 
 def _index(column: str, values: list[str]) -> Column:
@@ -25,11 +24,13 @@ def merged_urls(urls: DataFrame, key: list[str]) -> DataFrame:
 
 
 def tier_quotas(urls: DataFrame, group: list[str], order: list[Column], quotas: dict[int, int], cap: int, backfill: list[int], tier: str = "tier") -> DataFrame:
-    """Up to quotas rows of each tier in order, then the left over ones of the tiers in backfill order, cap in all."""
+    """Up to quotas rows of each tier in order, then the left over ones of the tiers in backfill order, cap in all. The
+    order must be total. At most cap rows of a tier reach the task that places a group."""
     in_tier = F.row_number().over(Window.partitionBy(*group, tier).orderBy(*order))
     quota = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(tier)), F.lit(0))
     later = F.array_position(F.array(*[F.lit(t) for t in backfill]), F.col(tier))
-    rows = urls.withColumn("_n", in_tier)
+    # what comes after cap rows of its own tier can't be among the first cap; Spark drops it before it shuffles
+    rows = urls.withColumn("_n", in_tier).where(F.col("_n") <= cap)
     phase = F.struct((F.col("_n") > quota).cast("int").alias("phase"), F.when(F.col("_n") > quota, later).otherwise(F.col(tier).cast("bigint")).alias("at"), F.col("_n").alias("n"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*[F.col(g) for g in group]).orderBy(phase))).where(F.col("place") <= cap).drop("_n")
 

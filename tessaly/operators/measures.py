@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.functions.scores import half_up
+from tessaly.operators.places import quantiles, ranked
+from tessaly.sources.stored import stored
 
 
 def calibrated(df: DataFrame, key: str, value: str, entity: str | None = None, least_entities: int = 0) -> DataFrame:
@@ -13,20 +15,36 @@ def calibrated(df: DataFrame, key: str, value: str, entity: str | None = None, l
     two digits. With an entity column, only if the whole frame has least_entities of them. Non-numeric values are null
     and are skipped."""
     some = df.where(F.col(value).isNotNull())
-    ends = F.percentile(value, F.array(F.lit(0.1), F.lit(0.9)))
-    out = some.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        half_up(ends[0]).alias("low"),
-        half_up(ends[1]).alias("high"),
-        half_up(F.avg(value)).alias("mean"),
-        half_up(F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("stddev"),
-    )
+    ends = quantiles(some, [key], value, {"low": 0.1, "high": 0.9}).select(F.col(key).alias("_key"), "low", "high")
+    moments = some.groupBy(key).agg(F.count(F.lit(1)).alias("n"), half_up(F.avg(value)).alias("mean"), half_up(F.coalesce(F.stddev_samp(value), F.lit(0.0))).alias("stddev"))
+    out = moments.join(ends, F.col(key).eqNullSafe(F.col("_key"))).select(key, "n", half_up(F.col("low")).alias("low"), half_up(F.col("high")).alias("high"), "mean", "stddev")
     if entity:
         seen = some.agg(F.countDistinct(entity).alias("_entities"))
         out = out.join(F.broadcast(seen), F.col("_entities") >= least_entities).drop("_entities")  # seen: one row
     return out
 
 
+#: Below so many programmes a calibration isn't used.
+CALIBRATION_PROGRAMMES = 5
+
+
+def calibrated_fields(values: DataFrame, definitions: DataFrame, programmes: DataFrame, countries: list[str] | None = None) -> DataFrame:
+    """key, fn, n, raw_min, raw_max, low, high (of min_max fields), mean, stddev (of z_score fields) from the approved
+    numeric values (programme, key, number, status) of the programmes (programme, country), of some countries or all.
+    Every row also says n_programmes, n_observations (of all fields) and meets_threshold."""
+    fields = definitions.where(F.col("fn").isin("min_max", "z_score")).select("key", "fn")  # configuration
+    some = values.where((F.col("status") == "approved") & F.col("number").isNotNull()).join(F.broadcast(fields), "key").join(programmes.select("programme", "country"), "programme")
+    if countries:
+        some = some.where(F.col("country").isin(countries))
+    some = stored(some.select("programme", "key", "fn", F.col("number").cast("double").alias("number")), "observations")
+    ends = quantiles(some.where("fn = 'min_max'"), ["key"], "number", {"low": 0.1, "high": 0.9}).select("key", half_up(F.col("low")).alias("low"), half_up(F.col("high")).alias("high"))
+    raw = some.groupBy("key", "fn").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("raw_min"), F.max("number").alias("raw_max"), F.avg("number").alias("_m"), F.coalesce(F.stddev_samp("number"), F.lit(0.0)).alias("_s"))
+    seen = some.agg(F.countDistinct("programme").alias("n_programmes"), F.count(F.lit(1)).alias("n_observations"))
+    of_z = lambda c: half_up(F.when(F.col("fn") == "z_score", F.col(c)))
+    out = raw.join(ends, "key", "left").crossJoin(F.broadcast(seen))  # seen: one row
+    return out.select("key", "fn", "n", "raw_min", "raw_max", "low", "high", of_z("_m").alias("mean"), of_z("_s").alias("stddev"), "n_programmes", "n_observations", (F.col("n_programmes") >= CALIBRATION_PROGRAMMES).alias("meets_threshold"))
+
+
 def or_default(found: DataFrame, default: DataFrame) -> DataFrame:
     """The calibrated parameters, or the default ones as a whole where there are none; with calibrated as a flag."""
     chosen = found.withColumn("calibrated", F.lit(True))
@@ -42,7 +60,7 @@ def cohort_min_max(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def medians(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.median(value).alias("median"))
+    return quantiles(df, [key], value, {"median": 0.5}).select(key, "median")
 
 
 def histogram(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -58,18 +76,30 @@ def nested_average(df: DataFrame, key: str, hit: Column) -> DataFrame:
     return shares.agg(F.avg("share").alias("mean_share"), F.count(F.lit(1)).alias("n_keys"))
 
 
-def spearman(df: DataFrame, rank_a: str, rank_b: str, by: list[str] | None = None) -> DataFrame:
+def _rho(a: str, b: str) -> Column:
     """1 - 6 sum d^2 / (n (n^2 - 1)); 1 for less than two rows."""
-    d = F.col(rank_a).cast("double") - F.col(rank_b)
+    d = F.col(a).cast("double") - F.col(b)
     n = F.count(F.lit(1)).cast("double")
-    rho = F.when(n < 2, 1.0).otherwise(1 - 6 * F.sum(d * d) / F.nullif(n * (n * n - 1), F.lit(0.0)))
-    return df.groupBy(*(by or [])).agg(n.cast("long").alias("n"), rho.alias("rho"))
+    return F.when(n < 2, 1.0).otherwise(1 - 6 * F.sum(d * d) / F.nullif(n * (n * n - 1), F.lit(0.0)))
 
 
-def top_shift(df: DataFrame, base: str, perturbed: str, n: int = 10, by: list[str] | None = None) -> DataFrame:
+def _shift(base: str, perturbed: str, n: int) -> Column:
     """Over the perturbed top n: 1 for each changed rank, and 1 more for each that wasn't in the base top n."""
     moved = (F.col(base) != F.col(perturbed)).cast("int") + (F.col(base) > n).cast("int")
-    return df.where(F.col(perturbed) <= n).groupBy(*(by or [])).agg(F.sum(moved).cast("long").alias("shift"))
+    return F.coalesce(F.sum(F.when(F.col(perturbed) <= n, moved)), F.lit(0)).cast("long")
+
+
+def spearman(df: DataFrame, rank_a: str, rank_b: str, by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), _rho(rank_a, rank_b).alias("rho"))
+
+
+def top_shift(df: DataFrame, base: str, perturbed: str, n: int = 10, by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or [])).agg(_shift(base, perturbed, n).alias("shift"))
+
+
+def rank_statistics(df: DataFrame, base: str, perturbed: str, by: list[str], top: int = 10) -> DataFrame:
+    """by, n, rho and shift, by one grouping."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _rho(base, perturbed).alias("rho"), _shift(base, perturbed, top).alias("shift"))
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -78,33 +108,39 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def split_sensitivity(base: DataFrame, splits: list[float], entity: str = "entity") -> DataFrame:
-    """split, rho and shift of the ranking when cme weighs split instead of 0.3. Perturbations explode from a literal
-    array: one job for all."""
-    ranked = base.withColumn("_base", 0.3 * F.col("cme") + 0.7 * F.col("paq"))
-    rows = ranked.withColumn("split", F.explode(F.array(*[F.lit(float(s)) for s in splits])))
-    return _perturbed(rows.withColumn("_new", F.col("split") * F.col("cme") + (1 - F.col("split")) * F.col("paq")), "split", entity)
+    """split, n, rho and shift of the ranking when cme weighs split instead of 0.3."""
+    new = F.array(*[F.struct(F.lit(float(s)).alias("split"), (float(s) * F.col("cme") + (1 - float(s)) * F.col("paq")).alias("new")) for s in splits])
+    return perturbed(base, 0.3 * F.col("cme") + 0.7 * F.col("paq"), new, "split", entity)
+
+
+def drawn_weight(trial, seed: int = 1, spread: float = 0.06):
+    """The cme weight of a trial (a number or a Column): 0.3 +- spread, by a linear congruential rule."""
+    return 0.3 - spread + 2 * spread * ((1103515245 * (trial + seed) + 12345) % 2147483648) / 2147483648.0
 
 
 def monte_carlo(base: DataFrame, trials: int = 50, spread: float = 0.06, seed: int = 1, entity: str = "entity") -> DataFrame:
-    """trial, rho and shift for cme weights drawn uniformly from 0.3 +- spread, from a hash of the seed."""
-    draw = F.pmod(F.xxhash64("trial", F.lit(seed)), F.lit(2**32)) / float(2**32)
-    rows = base.withColumn("_base", 0.3 * F.col("cme") + 0.7 * F.col("paq")).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    weight = 0.3 - spread + 2 * spread * draw
-    return _perturbed(rows.withColumn("_new", weight * F.col("cme") + (1 - weight) * F.col("paq")), "trial", entity)
+    """trial, n, rho and shift for cme weights drawn uniformly from 0.3 +- spread."""
+    weights = [(t, drawn_weight(t, seed, spread)) for t in range(1, trials + 1)]
+    new = F.array(*[F.struct(F.lit(t).alias("trial"), (w * F.col("cme") + (1 - w) * F.col("paq")).alias("new")) for t, w in weights])
+    return perturbed(base, 0.3 * F.col("cme") + 0.7 * F.col("paq"), new, "trial", entity)
 
 
 def dropout_sensitivity(base: DataFrame, pillars: dict[str, float], entity: str = "entity") -> DataFrame:
-    """pillar, rho and shift of the ranking when a pillar is left out of paq. base: entity, cme, p_<pillar> columns."""
+    """pillar, n, rho and shift of the ranking when a pillar is left out of paq. base: entity, cme, p_<pillar> columns."""
     paq = lambda names: sum((F.col(f"p_{p}") * (pillars[p] / sum(pillars[q] for q in names)) for p in names), F.lit(0.0))
-    out = [F.struct(F.lit(p).alias("pillar"), (0.3 * F.col("cme") + 0.7 * paq([q for q in pillars if q != p])).alias("new")) for p in pillars]
-    rows = base.withColumn("_base", 0.3 * F.col("cme") + 0.7 * paq(list(pillars))).withColumn("_x", F.explode(F.array(*out)))
-    return _perturbed(rows.select("*", F.col("_x.pillar").alias("pillar"), F.col("_x.new").alias("_new")).drop("_x"), "pillar", entity)
+    new = F.array(*[F.struct(F.lit(p).alias("pillar"), (0.3 * F.col("cme") + 0.7 * paq([q for q in pillars if q != p])).alias("new")) for p in pillars])
+    return perturbed(base, 0.3 * F.col("cme") + 0.7 * paq(list(pillars)), new, "pillar", entity)
 
 
-def _perturbed(rows: DataFrame, by: str, entity: str) -> DataFrame:
-    rank = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(F.col(c).desc(), entity))
-    ranked = rows.select(by, entity, rank("_base").alias("base_rank"), rank("_new").alias("new_rank"))
-    return spearman(ranked, "base_rank", "new_rank", [by]).join(top_shift(ranked, "base_rank", "new_rank", by=[by]), by)
+def perturbed(base: DataFrame, composite: Column, new: Column, by: str, entity: str, digits: int = 9) -> DataFrame:
+    """by, n, rho and shift: for each element (by, new) of the array new the ranking by it against that by composite.
+    Composites are rounded to so many digits first: sums that only differ in their last bits tie. The base ranks go with
+    the row before it explodes, so the many rows are ordered once and never joined."""
+    rows = base.select(entity, F.round(composite, digits).alias("_base"), new.alias("_new"))
+    old = ranked(rows, [F.col("_base").desc(), F.col(entity).asc()], "_rank")
+    many = old.select(entity, F.col("_rank").alias("base_rank"), F.explode("_new").alias("_x"))
+    many = many.select(entity, "base_rank", F.col(f"_x.{by}").alias(by), F.round("_x.new", digits).alias("_v"))
+    return rank_statistics(ranked(many, [F.col("_v").desc(), F.col(entity).asc()], "new_rank", [by]), "base_rank", "new_rank", [by])
 
 
 def classified_counts(df: DataFrame, by: str, label: str, labels: list[str]) -> DataFrame:
@@ -132,14 +168,3 @@ def token_costs(usage: DataFrame, prices: DataFrame, kinds: list[str], model: st
     rows = usage.join(F.broadcast(price), F.col(model) == F.col("_m"), "left").crossJoin(F.broadcast(base))
     cost = sum((F.col(k) * F.coalesce(f"_{k}", f"_f_{k}") / 1e6 for k in kinds), F.lit(0.0))
     return rows.groupBy(*(by or []), model).agg(F.sum(cost).alias("cost"))
-
-
-def rescored_sensitivity(base: DataFrame, rescored: dict[float, DataFrame], entity: str = "entity") -> DataFrame:
-    """factor, rho and shift of the rankings that scaled normalisation parameters give. base and rescored (by factor):
-    entity, composite."""
-    old = base.select(entity, F.col("composite").alias("_base"))
-    parts = [df.select(F.lit(f).alias("factor"), entity, F.col("composite").alias("_new")) for f, df in rescored.items()]
-    new = parts[0]
-    for part in parts[1:]:
-        new = new.union(part)
-    return _perturbed(new.join(old, entity), "factor", entity)

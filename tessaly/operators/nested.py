@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaly.sources.stored import stored
+
 # Keys of a provenance record.
 PROVENANCE_KEYS = [
     "sourceUrl", "geographicLevel", "sourceTier", "scrapeTimestamp", "contentHash", "sourceSentence", "characterOffsets", "extractionModel",
@@ -32,73 +29,105 @@ def missing_keys(record: Column, keys: list[str], nullable: set[str] = frozenset
     return F.array_compact(F.array(*[F.when(~F.coalesce(there(k), F.lit(False)), F.lit(k)) for k in keys]))
 
 
-def provenance_issues(record: Column, status: Column) -> Column:
-    return F.concat(missing_keys(record, PROVENANCE_KEYS), F.when(status == "approved", missing_keys(record, APPROVED_KEYS)).otherwise(F.array().cast("array<string>")))
-
-
-def flattened(df: DataFrame, key: str, record: str) -> DataFrame:
-    """key, path and value for each scalar of a JSON column; arrays stay as JSON text. Depth is open, hence pandas."""
-
-    def walk(value, path: str) -> Iterator[tuple[str, str | None]]:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                yield from walk(v, f"{path}.{k}" if path else k)
-        elif isinstance(value, (list, bool)) or value is None:
-            yield path, None if value is None else json.dumps(value)
-        else:
-            yield path, str(value)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for k, text in zip(rows[key], rows[record]):
-                try:
-                    out += [(k, p, v) for p, v in walk(json.loads(text), "")] if text else []
-                except ValueError:
-                    continue
-            yield pd.DataFrame(out, columns=[key, "path", "value"])
-
-    return df.select(key, record).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, path string, value string")
-
-
-#: Between parts of a window.
-GAP = "\n[...]\n"
-
+def _kind(record: Column, path: str) -> Column:
+    """The kind of a value in a JSON text: object, array, number, string, boolean, null, or null where nothing is."""
+    schema = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), path, "variant"))
+    number = schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL")
+    return F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(number, "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
 
-def content_window(content: str, terms: list[str], most: int, chunk: int = 2000, stride: int = 1800, head: int = 1500, tail: int = 800) -> str:
-    """At most most characters of a longer text: the chunks that touch its first head and last tail characters, then those
-    with most whole-word terms (in lower case) while they fit. A chunk costs what it adds to the window: neighbours share
-    their overlap and have no gap between. Without terms the text's beginning."""
-    if len(content) <= most:
-        return content
-    if not terms:
-        return content[:most]
-    n = max(0, -(-(len(content) - chunk) // stride)) + 1
-    ends = [min(i * stride + chunk, len(content)) for i in range(n)]
 
-    def found(i: int) -> int:
-        piece = content[i * stride : ends[i]].lower()
-        return sum(len(re.findall(rf"\b{re.escape(t)}\b", piece, re.ASCII)) for t in terms)
-
-    def spans(chosen: set[int]) -> list[tuple[int, int]]:
-        firsts = [i for i in sorted(chosen) if i - 1 not in chosen]
-        lasts = [i for i in sorted(chosen) if i + 1 not in chosen]
-        return [(a * stride, ends[b]) for a, b in zip(firsts, lasts)]
-
-    chosen = {i for i in range(n) if i * stride < head or ends[i] > len(content) - tail}
-    for score, i in sorted((-found(i), i) for i in range(n) if i not in chosen):
-        parts = spans(chosen | {i})
-        if score and sum(b - a for a, b in parts) + len(GAP) * (len(parts) - 1) <= most:
-            chosen.add(i)
-    return GAP.join(content[a:b] for a, b in spans(chosen))[:most]
+def provenance_issues(record: Column, status: Column) -> Column:
+    """What a provenance record lacks: keys, reviewer keys once it is approved, then the shapes of offsets and tier. A
+    text that isn't a JSON object has the one issue not_an_object."""
+    offsets, tier = _kind(record, "$.characterOffsets"), _kind(record, "$.sourceTier")
+    numbers = (offsets == "object") & (_kind(record, "$.characterOffsets.start") == "number") & (_kind(record, "$.characterOffsets.end") == "number")
+    bad_offsets = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(numbers, F.lit(False))
+    bad_tier = tier.isNotNull() & ~tier.isin("null", "number")
+    shapes = F.array_compact(F.array(F.when(bad_offsets, "shape:characterOffsets"), F.when(bad_tier, "shape:sourceTier")))
+    lacking = F.concat(missing_keys(record, PROVENANCE_KEYS), F.when(status == "approved", missing_keys(record, APPROVED_KEYS)).otherwise(F.array().cast("array<string>")), shapes)
+    return F.when(_kind(record, "$") == "object", lacking).otherwise(F.array(F.lit("not_an_object")))
+
+
+# Keys of a provenance record as the web pages read it.
+SHOWN_KEYS = [
+    "sourceUrl", "geographicLevel", "sourceTier", "scrapedAt", "contentHash", "sourceSentence", "charOffsets", "extractionModel",
+    "extractionConfidence", "validationModel", "validationConfidence", "crossCheckResult", "methodologyVersion",
+]
+SHOWN_REVIEW_KEYS = ["reviewer", "reviewedAt", "reviewerNotes"]
 
 
-def content_windows(df: DataFrame, key: str, content: str, terms: list[str], most: int) -> DataFrame:
-    """key and window. The greedy fill is sequential within a text, so each text is one call; texts stay in their
-    partitions."""
+def shown_provenance(record: Column, status: Column) -> Column:
+    """struct(ok, missing): the keys that a record for the pages lacks, reviewer keys only once it is approved; charOffsets
+    also lacks if it isn't a pair of numbers. Without an object or array all core keys lack."""
+    core, review = missing_keys(record, SHOWN_KEYS), F.when(status == "approved", missing_keys(record, SHOWN_REVIEW_KEYS)).otherwise(F.array().cast("array<string>"))
+    offsets = _kind(record, "$.charOffsets")
+    pair = (offsets == "array") & (_kind(record, "$.charOffsets[0]") == "number") & (_kind(record, "$.charOffsets[1]") == "number") & (F.json_array_length(F.get_json_object(record, "$.charOffsets")) == 2)
+    bad = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(pair, F.lit(False))
+    missing = F.array_distinct(F.concat(core, review, F.when(bad, F.array(F.lit("charOffsets"))).otherwise(F.array().cast("array<string>"))))
+    missing = F.when(_kind(record, "$").isin("object", "array"), missing).otherwise(F.array(*map(F.lit, SHOWN_KEYS)))
+    return F.struct((F.size(missing) == 0).alias("ok"), missing.alias("missing"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({key: rows[key], "window": [content_window(x or "", terms, most) for x in rows[content]]})
 
-    return df.select(key, content).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, window string")
+def flattened(df: DataFrame, key: str, record: str) -> DataFrame:
+    """key, path and value for each scalar of a JSON column, level by level until no object is left; arrays stay as JSON
+    text, a null value is kept, an empty object gives nothing, and so does what isn't JSON. There are as many jobs as the
+    deepest record has levels, and each explodes what the one before has left."""
+    value = F.col("_v")
+    inside = F.try_variant_get(value, "$", "map<string,variant>")
+    level = df.select(key, F.lit(None).cast("string").alias("path"), F.try_parse_json(record).alias("_v")).where("_v IS NOT NULL")
+    done = None
+    while True:
+        level = stored(level.withColumn("_object", inside.isNotNull()), "level")
+        text = F.when(F.is_variant_null(value), None).otherwise(F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")), F.to_json(value)))
+        leaves = level.where("NOT _object").select(key, F.coalesce("path", F.lit("")).alias("path"), text.alias("value"))
+        done = leaves if done is None else done.union(leaves)
+        level = level.where("_object").select(key, "path", F.explode(inside).alias("_k", "_v")).select(key, F.concat_ws(".", "path", "_k").alias("path"), "_v")
+        if level.isEmpty():
+            return done
+
+
+#: Between parts of a window, and its sizes in characters.
+GAP = "\n[...]\n"
+CHUNK, STRIDE, HEAD, TAIL = 2000, 1800, 1500, 800
+
+
+def _whole_words(text: Column, terms: Column) -> Column:
+    """How often the terms stand in text as whole words, all terms together."""
+    pattern = lambda t: F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.regexp_replace(t, r"([^A-Za-z0-9_ ])", r"\\$1"), F.lit(r"(?![A-Za-z0-9_])"))
+    return F.aggregate(terms, F.lit(0), lambda n, t: n + F.regexp_count(text, pattern(t)))
+
+
+def content_windows(df: DataFrame, key: str, content: str, terms: str, most: int) -> DataFrame:
+    """key, chunks (the numbers of those taken, null for a text that isn't cut) and window: at most most characters of a
+    text. A longer one is cut into chunks; those that touch its first HEAD and last TAIL characters are taken, then those
+    with most whole-word terms (an array of lower-cased words or phrases in the row), the first ones first, while they
+    fit; one that doesn't fit is passed over. A chunk costs what it adds: neighbours share their overlap and have no gap
+    between. Chunks without terms aren't taken; without any term given, the text's beginning is the window."""
+    text, size = F.coalesce(F.col(content), F.lit("")), F.char_length(F.coalesce(F.col(content), F.lit("")))
+    rows = df.select(key, text.alias("_text"), size.alias("_size"), F.coalesce(F.col(terms), F.array().cast("array<string>")).alias("_terms"))
+    n = F.greatest(F.lit(0), F.ceil((F.col("_size") - CHUNK) / STRIDE)).cast("int")
+    cut = (F.col("_size") > most) & (F.size("_terms") > 0)
+    end = lambda i: F.least(i * STRIDE + CHUNK, F.col("_size"))
+    piece = lambda i: F.substring(F.col("_text"), i * STRIDE + 1, end(i) - i * STRIDE)
+    base = lambda i: (i * STRIDE < HEAD) | (end(i) > F.col("_size") - TAIL)
+    every = F.sequence(F.lit(0), n)
+    rows = rows.withColumn("_base", F.when(cut, F.filter(every, base)))
+    scored = F.transform(F.filter(every, lambda i: ~base(i)), lambda i: F.struct((-_whole_words(F.lower(piece(i)), F.col("_terms"))).alias("less"), i.alias("i")))
+    rows = rows.withColumn("_ranked", F.when(cut, F.array_sort(F.filter(scored, lambda x: x["less"] < 0))))
+
+    def cost(chosen: Column, i: Column) -> Column:
+        """What chunk i adds to the window of the chosen ones."""
+        left, right = F.array_contains(chosen, i - 1), F.array_contains(chosen, i + 1)
+        own = end(i) - i * STRIDE + len(GAP)
+        return own - F.when(left, end(i - 1) - i * STRIDE + len(GAP)).otherwise(0) - F.when(right, end(i) - (i + 1) * STRIDE + len(GAP)).otherwise(0)
+
+    def take(state: Column, i: Column) -> Column:
+        return F.struct((state["total"] + cost(state["chosen"], i)).alias("total"), F.array_append(state["chosen"], i).alias("chosen"))
+
+    empty = F.struct(F.lit(-len(GAP)).alias("total"), F.array().cast("array<int>").alias("chosen"))
+    rows = rows.withColumn("_state", F.aggregate("_base", empty, take))
+    filled = F.aggregate("_ranked", F.col("_state"), lambda s, x: F.when(s["total"] + cost(s["chosen"], x["i"]) <= most, take(s, x["i"])).otherwise(s))
+    rows = rows.withColumn("chunks", F.array_sort(filled["chosen"]))
+    parts = F.transform("chunks", lambda i, k: F.when(F.array_contains("chunks", i - 1), F.substring(F.col("_text"), end(i - 1) + 1, end(i) - end(i - 1))).otherwise(F.concat(F.when(k > 0, GAP).otherwise(""), piece(i))))
+    window = F.when(F.col("_size") <= most, F.col("_text")).when(F.size("_terms") == 0, F.substring("_text", 1, most)).otherwise(F.substring(F.array_join(parts, ""), 1, most))
+    return rows.select(key, "chunks", window.alias("window"))

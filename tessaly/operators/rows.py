@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaly.operators.places import ranked
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in a total order. Spark keeps one row of a key before it shuffles."""
@@ -79,9 +81,8 @@ def left_with_zero(left: DataFrame, right: DataFrame, key: str, count: str) -> D
 
 
 def rank_positions(df: DataFrame, value: str, tie: str, place: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """Positions 1..n by descending value without gaps or ties, within each of the given keys. The frame of a whole
-    cohort is one window: for rankings, whose rows are entities, not facts."""
-    return df.withColumn(place, F.row_number().over(Window.partitionBy(*[F.col(c) for c in within or []]).orderBy(F.col(value).desc(), F.col(tie))))
+    """Positions 1..n by descending value without gaps or ties, within each of the given keys, whatever their size."""
+    return ranked(df, [F.col(value).desc(), F.col(tie).asc()], place, within)
 
 
 def until_confident(df: DataFrame, key: str, order: str, confidence: str, enough: float) -> DataFrame:

@@ -177,7 +177,7 @@ s AS (SELECT c_nationkey, count(*) AS n, round(max(c_acctbal), 2) AS best, round
 SELECT n_name, coalesce(n, 0) AS n, best_name, best, mean, coalesce(any_negative, false) AS any_negative FROM nation LEFT JOIN b ON b.c_nationkey = n_nationkey LEFT JOIN s ON s.c_nationkey = n_nationkey""",
     "leaders": "SELECT c_nationkey, round(max(c_acctbal), 2) AS best FROM customer GROUP BY c_nationkey",
     "top_n_per_group": "SELECT p_brand, CAST(place AS INTEGER) AS place, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) WHERE place <= 5",
-    "scored_rank": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(row_number() OVER (PARTITION BY s_suppkey % 5 <> 0 ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) END AS rank FROM supplier",
+    "scored_rank": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN row_number() OVER (PARTITION BY s_suppkey % 5 <> 0 ORDER BY s_acctbal DESC, s_suppkey) END AS rank FROM supplier",
     "set_difference": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "set_intersection": "SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
     "set_union_sorted": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier ORDER BY k",

@@ -152,7 +152,7 @@ def dropout_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    return M.monte_carlo(_base(spark, d).withColumn("paq", F.col("p_A")), 50)
+    return M.monte_carlo(_base(spark, d).withColumn("paq", F.col("p_A")), 50).select("trial", "n", F.round("rho", 6).alias("rho"), "shift")
 
 
 def score_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ SELECT l_suppkey, round(CASE WHEN q <= 0 OR x <= 0 OR t <= 0 THEN 0 ELSE exp(0.5
     "composite_geometric": f"WITH {_COHORT} SELECT entity, round(CASE WHEN least(pa, pb, pc) <= 0 THEN 0 ELSE exp((0.28 * ln(greatest(pa, 1e-300)) + 0.15 * ln(greatest(pb, 1e-300)) + 0.2 * ln(greatest(pc, 1e-300))) / 0.63) END, 6) AS paq FROM q",
     "whatif_rerank": f"""
 WITH {_COHORT}, x AS (SELECT entity, 0.3 * cme + 0.7 * (0.5 * pa + 0.15 * 0.5 / 0.72 * pb + 0.2 * 0.5 / 0.72 * pc) AS composite FROM q)
-SELECT entity, round(composite, 6) AS composite, CAST(row_number() OVER (ORDER BY composite DESC, entity) AS INTEGER) AS rank FROM x""",
+SELECT entity, round(composite, 6) AS composite, row_number() OVER (ORDER BY composite DESC, entity) AS rank FROM x""",
     "calibration": """
 SELECT l_returnflag, count(*) AS n, floor(quantile_cont(l_quantity, 0.1) * 100 + 0.5) / 100 AS low, floor(quantile_cont(l_quantity, 0.9) * 100 + 0.5) / 100 AS high,
   floor(avg(l_quantity) * 100 + 0.5) / 100 AS mean, floor(stddev_samp(l_quantity) * 100 + 0.5) / 100 AS stddev FROM lineitem GROUP BY 1""",
@@ -241,6 +241,11 @@ WITH {_BASE}, y AS (SELECT entity, 0.3 * cme + 0.7 * (p_A * 0.5 + p_B * 0.25 + p
 x AS (SELECT entity, ['A', 'B', 'C'][i] AS pillar, o, vs[i] AS v FROM y, (SELECT unnest([1, 2, 3]) AS i)),
 r AS (SELECT pillar, row_number() OVER (PARTITION BY pillar ORDER BY o DESC, entity) AS base_rank, row_number() OVER (PARTITION BY pillar ORDER BY v DESC, entity) AS new_rank FROM x)
 SELECT pillar, count(*) AS n, round({_RHO}, 6) AS rho, {_SHIFT} AS shift FROM r GROUP BY pillar""",
+    "monte_carlo": f"""
+WITH {_BASE}, t AS (SELECT t, 0.3 - 0.06 + 2 * 0.06 * ((1103515245 * (t + 1) + 12345) % 2147483648) / 2147483648.0::DOUBLE AS w FROM range(1, 51) r(t)),
+x AS (SELECT entity, t AS trial, round(0.3 * cme + 0.7 * p_A, 9) AS o, round(w * cme + (1 - w) * p_A, 9) AS v FROM b, t),
+r AS (SELECT trial, row_number() OVER (PARTITION BY trial ORDER BY o DESC, entity) AS base_rank, row_number() OVER (PARTITION BY trial ORDER BY v DESC, entity) AS new_rank FROM x)
+SELECT CAST(trial AS INTEGER) AS trial, count(*) AS n, round({_RHO}, 6) AS rho, {_SHIFT} AS shift FROM r GROUP BY trial""",
     "score_bands": """
 SELECT CASE WHEN s >= 70 THEN 1 WHEN s >= 60 THEN 2 WHEN s >= 50 THEN 3 WHEN s >= 40 THEN 4 ELSE 5 END AS band, CASE WHEN s < 20 THEN 0 WHEN s < 40 THEN 1 WHEN s < 60 THEN 2 WHEN s < 80 THEN 3 ELSE 4 END AS bucket, count(*) AS n
 FROM (SELECT (c_acctbal + 1000) / 110 AS s FROM customer) GROUP BY ALL""",

@@ -91,17 +91,6 @@ def currencies(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", got["code"].alias("code"), got["amount"].alias("amount"))
 
 
-def search_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Sanitised search: every word of the query must be in the text."""
-    query = "  onThe\x00 in-the "
-    words = [w for w in "".join(c if c.isalnum() else " " for c in query[:200]).lower().split()]
-    tokens = F.split(F.lower("text"), r"[^a-z0-9]+")
-    where = F.lit(True)
-    for w in words:
-        where &= F.array_contains(tokens, w)
-    return table(spark, d, "documents").where(where).select("doc_id")
-
-
 def hash_equality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("hash", F.sha2("text", 256))
     return docs.groupBy("source", "hash").agg(F.countDistinct("doc_id").alias("n")).where("n >= 2")
@@ -123,8 +112,12 @@ def json_flatten(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_select(spark: SparkSession, d: str) -> DataFrame:
-    w = N.content_windows(table(spark, d, "documents"), "doc_id", "text", ["thonor", "eine"], 6000)
-    return w.select("doc_id", F.length("window").cast("long").alias("n"))
+    """Windows of every text by the terms of its field: two words of a benchmark item."""
+    b = table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("field"), F.slice(F.split(F.lower("text"), " "), 2, 2).alias("terms"))
+    docs = table(spark, d, "documents").withColumn("field", F.col("doc_id") % 20).join(F.broadcast(b), "field", "left")
+    docs = docs.withColumn("terms", F.when(F.col("doc_id") % 7 != 0, F.col("terms")))
+    w = N.content_windows(docs, "doc_id", "text", "terms", 6000)
+    return w.select("doc_id", F.array_join(F.transform("chunks", lambda i: i.cast("string")), ",").alias("chunks"), F.length("window").cast("long").alias("n"), F.sha2("window", 256).alias("digest"))
 
 
 def archive_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +128,7 @@ def archive_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scrape_guard, visible_length, challenge_page, layered_fallback, link_status, keywords, gap_class, news_severity, mostly_foreign, unfenced_json, cache_keys, url_normalise, hostname, currencies, search_terms,
+        scrape_guard, visible_length, challenge_page, layered_fallback, link_status, keywords, gap_class, news_severity, mostly_foreign, unfenced_json, cache_keys, url_normalise, hostname, currencies,
         hash_equality, hash_tag, provenance_issues, json_flatten, window_select, archive_paths,
     )
 }
@@ -173,8 +166,32 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '([?&])(utm_[^
     "currencies": """
 SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'AUD' WHEN 2 THEN CASE WHEN c_custkey % 4 < 2 THEN 'CAD' END WHEN 3 THEN 'EUR' WHEN 4 THEN 'MYR' END AS code,
   CASE WHEN c_custkey % 6 = 5 OR (c_custkey % 6 = 2 AND c_custkey % 4 >= 2) THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS amount FROM customer""",
-    "search_terms": "SELECT doc_id FROM documents WHERE len(list_filter(['onthe', 'in', 'the'], lambda w: NOT list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), w))) = 0",
     "hash_equality": "SELECT source, sha256(text) AS hash, count(DISTINCT doc_id) AS n FROM documents GROUP BY ALL HAVING n >= 2",
     "provenance_issues": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'n,t' WHEN 1 THEN 'k,n' ELSE 'k,t' END AS missing FROM events",
+    "hash_tag": """
+SELECT doc_id, 'RV-' || printf('%06X', list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda h, c: ((CAST(CAST(CASE WHEN xor(h, c) >= 2147483648 THEN xor(h, c) - 4294967296 ELSE xor(h, c) END AS DOUBLE) * 16777619.0 AS BIGINT) % 4294967296) + 4294967296) % 4294967296, CAST(2166136261 AS BIGINT)) % 16777216) AS tag FROM documents""",
+    "json_flatten": """
+WITH r AS (SELECT event_id, '{"a":{"b":' || props || '},"c":[1,2],"d":"x"}' AS j FROM events)
+SELECT event_id, replace(substr(t.fullkey, 3), '"', '') AS path, CASE t.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN t.atom ->> '$' ELSE CAST(t.value AS VARCHAR) END AS value
+FROM r, json_tree(r.j) t WHERE t.type <> 'OBJECT' AND NOT starts_with(t.fullkey, '$.c[')""",
+    "window_select": r"""
+WITH RECURSIVE t AS (SELECT item_id AS field, list_slice(string_split(lower(text), ' '), 2, 3) AS terms FROM benchmark WHERE item_id < 20),
+d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS size, CASE WHEN doc_id % 7 <> 0 THEN coalesce(terms, []) ELSE [] END AS terms FROM documents LEFT JOIN t ON field = doc_id % 20),
+c AS (SELECT doc_id, text, size, terms, i, i * 1800 AS a, least(i * 1800 + 2000, size) AS b FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((size - 2000) / 1800) AS BIGINT)) + 1)) AS i FROM d WHERE size > 6000 AND len(terms) > 0)),
+s AS (SELECT *, a < 1500 OR b > size - 800 AS base, (SELECT sum(len(regexp_extract_all(' ' || regexp_replace(lower(substr(text, a + 1, b - a)), '([^A-Za-z0-9_])', ' \1 ', 'g') || ' ', ' ' || x || ' '))) FROM (SELECT unnest(terms) AS x)) AS score FROM c),
+o AS (SELECT doc_id, i, a, b, base, CASE WHEN base THEN i ELSE 100000 + row_number() OVER (PARTITION BY doc_id ORDER BY base DESC, score DESC, i) END AS rank FROM s WHERE base OR score > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS k FROM o),
+g(doc_id, k, total, chosen) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(-7 AS BIGINT), CAST([] AS BIGINT[]) FROM k GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN fits THEN total + cost ELSE total END, CASE WHEN fits THEN list_append(chosen, i) ELSE chosen END
+  FROM (SELECT g.doc_id, k.k, g.total, g.chosen, k.i, k.base OR g.total + x.cost <= 6000 AS fits, x.cost FROM g JOIN k ON k.doc_id = g.doc_id AND k.k = g.k + 1,
+    LATERAL (SELECT k.b - k.a + 7 - CASE WHEN list_contains(g.chosen, k.i - 1) THEN (k.i - 1) * 1800 + 2000 - k.a + 7 ELSE 0 END - CASE WHEN list_contains(g.chosen, k.i + 1) THEN k.b - (k.i + 1) * 1800 + 7 ELSE 0 END AS cost) x)),
+e AS (SELECT doc_id, list_sort(arg_max(chosen, k)) AS chosen FROM g GROUP BY doc_id),
+p AS (SELECT e.doc_id, substr(string_agg(CASE WHEN list_contains(chosen, c.i - 1) THEN substr(text, (c.i - 1) * 1800 + 2001, c.b - ((c.i - 1) * 1800 + 2000)) ELSE CASE WHEN c.i <> chosen[1] THEN chr(10) || '[...]' || chr(10) ELSE '' END || substr(text, a + 1, b - a) END, '' ORDER BY c.i), 1, 6000) AS w
+  FROM e JOIN c ON c.doc_id = e.doc_id AND list_contains(chosen, c.i) GROUP BY e.doc_id)
+SELECT d.doc_id, array_to_string(e.chosen, ',') AS chunks, length(coalesce(p.w, CASE WHEN size <= 6000 THEN text ELSE substr(text, 1, 6000) END)) AS n, sha256(coalesce(p.w, CASE WHEN size <= 6000 THEN text ELSE substr(text, 1, 6000) END)) AS digest
+FROM d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id""",
     "archive_paths": "SELECT event_id, 'AUS/' || user_id || '/' || strftime(ts, '%Y-%m-%d') || '/' || sha256(props) || '.json' AS path FROM events",
 }

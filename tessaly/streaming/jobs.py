@@ -67,44 +67,3 @@ def changes_of_value(stream: DataFrame, key: str, time: str, tie: str, value: st
     return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(
         run, f"{key} {kinds[key]}, at {kinds[time]}, previous string, current string", "last string", "append", GroupStateTimeout.NoTimeout
     )
-
-
-SIGNALS = "domain string, signal string, seq long"
-SEEN = "first_path string, several boolean, hashes array<string>, again boolean, thin long, challenges long, flagged boolean"
-
-
-def signals(rows: pd.DataFrame, first_path: str | None, hashes: set[str], met_again: bool, thin: int, challenges: int) -> pd.Series:
-    """For each observation of a domain in its order, the signal that the counts up to it give, or null: with more than
-    one path, a content hash that came before; else a second thin page; else a second challenge page."""
-    several = rows["url"].ne(rows["url"].iloc[0] if first_path is None else first_path).cummax()
-    content = rows["content_hash"].where(rows["content_hash"].fillna("") != "")
-    again = (met_again | content.notna() & (content.duplicated() | content.isin(hashes))).cummax()
-    out = pd.Series(None, index=rows.index, dtype=object)
-    out[challenges + rows["challenge"].fillna(False).astype(int).cumsum() > 1] = "challenge_fanout"
-    out[thin + rows["thin"].fillna(False).astype(int).cumsum() > 1] = "thin_fanout"
-    out[again] = "hash_equality"
-    return out.where(several)
-
-
-def blocked_domains(stream: DataFrame) -> DataFrame:
-    """domain, signal, seq for the first signal of each domain. stream: domain, seq, url, content_hash, thin, challenge.
-    The state is counters and the hashes met, and nothing but the flag once a domain is flagged."""
-
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        path, several, hashes, again, thin, challenges, flagged = state.get if state.exists else (None, False, [], False, 0, 0, False)
-        if flagged:
-            return
-        rows = pd.concat(list(batches)).sort_values("seq", ignore_index=True)
-        # a path that no url has stands for those met where there are several
-        found = signals(rows, "\0" if several else path, set(hashes), again, thin, challenges).dropna()
-        if len(found):
-            state.update((None, True, [], True, 0, 0, True))
-            yield pd.DataFrame({"domain": [group[0]], "signal": found.iloc[:1].tolist(), "seq": [rows["seq"][found.index[0]]]})
-        else:
-            path = rows["url"].iloc[0] if path is None else path
-            content = rows["content_hash"].dropna()
-            content = content[content != ""]
-            again = bool(again or content.duplicated().any() or content.isin(hashes).any())
-            state.update((path, bool(several or (rows["url"] != path).any()), sorted({*hashes, *content}), again, int(thin + rows["thin"].sum()), int(challenges + rows["challenge"].sum()), False))
-
-    return stream.groupBy("domain").applyInPandasWithState(run, SIGNALS, SEEN, "append", GroupStateTimeout.NoTimeout)

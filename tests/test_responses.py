@@ -28,9 +28,16 @@ def test_response_errors(spark):
         ('{"valueRaw": "v", "sourceSentence": "s", "characterOffsets": null, "extractionConfidence": "1"}',),
         ("{broken",),
         (None,),
+        ("[]",),
+        ('{"valueRaw": "v", "sourceSentence": " ", "characterOffsets": [1], "extractionConfidence": 0.5}',),
+        ('{"valueRaw": "v", "sourceSentence": "s", "characterOffsets": {"start": 5, "end": 2}, "extractionConfidence": 1}',),
+        ('{"valueRaw": "v", "sourceSentence": "s", "characterOffsets": {"start": 0, "end": 0}, "extractionConfidence": 1}',),
     ]
     found = _values(spark, T.response_errors(F.col("c")), rows, "c string")
-    assert found == [[], ["characterOffsets must be an object", "extractionConfidence must be a number between 0 and 1"], ["response is not an object"], ["response is not an object"]]
+    assert found[:4] == [[], ["characterOffsets:object", "extractionConfidence:share"], ["response:object"], ["response:object"]]
+    assert found[4] == ["valueRaw:text", "sourceSentence:text", "characterOffsets:object", "extractionConfidence:share"]
+    assert found[5] == ["characterOffsets.start:count", "characterOffsets.end:count", "sourceSentence:bound"]
+    assert found[6:] == [["characterOffsets:order"], ["characterOffsets:bound"]]
 
 
 def test_indicator_scores(spark):

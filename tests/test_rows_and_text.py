@@ -3,7 +3,6 @@
 import importlib
 import sys
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,23 +72,31 @@ def test_text_rules(spark):
     assert not one(spark, feeds.bulk_candidate(F.lit("0.9"), F.lit("0.9"), F.lit("false")))
 
 
-def test_content_window():
-    text = "a" * 20000 + " needle " + "b" * 20000
-    window = nested.content_window(text, ["needle"], 6300)
-    assert "needle" in window and window.startswith("a" * 2000) and window.endswith("b" * 800) and len(window) <= 6300
-    assert nested.content_window("short", ["x"], 10) == "short" and nested.content_window(text, [], 100) == "a" * 100
-    # whole words only, and neighbours cost no more than they add
-    assert "needles" not in nested.content_window("x" * 9000 + " needles " + "y" * 9000, ["needle"], 5000)
+def test_content_windows(spark):
     near = "z" * 1500 + " needle " + "z" * 2000 + " needle " + "z" * 9000
-    assert nested.content_window(near, ["needle"], 6000).startswith(near[:3800])
+    texts = [
+        ("a" * 20000 + " needle " + "b" * 20000, ["needle"]), ("short", ["x"]), ("c" * 9000, []), (None, ["x"]), ("x" * 9000 + " needles " + "y" * 9000, ["needle"]), (near, ["needle"]),
+        ("e" * 4000 + " two words " + "e" * 6000, ["two words"]), ("f" * 4000 + " c++ " + "f" * 6000, ["c++"]), ("g" * 9000, None),
+    ]
+    df = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(texts)], "id int, t string, w array<string>")
+    got = {r["id"]: r for r in nested.content_windows(df, "id", "t", "w", 6300).collect()}
+    first = got[0]["window"]
+    assert "needle" in first and first.startswith("a" * 2000) and first.endswith("b" * 800) and len(first) <= 6300
+    assert got[1]["window"] == "short" and got[1]["chunks"] is None and got[2]["window"] == "c" * 6300 and got[3]["window"] == "" and got[8]["window"] == "g" * 6300
+    # whole words only; neighbours cost no more than they add and have no gap
+    assert "needles" not in got[4]["window"] and got[5]["window"].startswith(near[:3800])
+    assert " two words " in got[6]["window"] and " c++ " in got[7]["window"]
 
 
 def test_provenance_and_flatten(spark):
     record = '{"sourceTier": null, "sourceUrl": "u", "contentHash": null}'
     got = one(spark, nested.provenance_issues(F.lit(record), F.lit("approved")))
     assert "sourceTier" not in got and "sourceUrl" not in got and "contentHash" in got and got[-3:] == nested.APPROVED_KEYS
-    flat = nested.flattened(spark.createDataFrame([(1, '{"a":{"b":2},"c":[1],"d":null}'), (2, "broken"), (3, None)], "id int, j string"), "id", "j")
-    assert {(r["path"], r["value"]) for r in flat.collect()} == {("a.b", "2"), ("c", "[1]"), ("d", None)}
+    assert one(spark, nested.provenance_issues(F.lit("[]"), F.lit("approved"))) == ["not_an_object"] == one(spark, nested.provenance_issues(F.lit(None).cast("string"), F.lit("x")))
+    texts = [(1, '{"a":{"b":2,"e":{"f":{"g":true}}},"c":[1, {"x":2}],"d":null,"h":{},"i":"t","j":1.50}'), (2, "broken"), (3, None), (4, "[1]"), (5, "7")]
+    flat = nested.flattened(spark.createDataFrame(texts, "id int, j string"), "id", "j")
+    want = {(1, "a.b", "2"), (1, "a.e.f.g", "true"), (1, "c", '[1,{"x":2}]'), (1, "d", None), (1, "i", "t"), (1, "j", "1.5"), (4, "", "[1]"), (5, "", "7")}
+    assert {tuple(r) for r in flat.collect()} == want and flat.count() == len(want)
 
 
 def test_csv_round_trip(spark, tmp_path):
@@ -107,17 +114,6 @@ def test_upsert_and_insert_ignore(spark):
     assert (2, "b") not in set(map(tuple, links.upserted(old, new, ["k"]).collect()))
 
 
-def test_blocker_state_is_the_same_in_parts():
-    frame = lambda *rows: pd.DataFrame(rows, columns=["url", "content_hash", "thin", "challenge"])
-    rows_ = [("/a", "h", False, False), ("/a", "h", True, False), ("/b", "i", True, False), ("/c", "j", True, True)]
-    told = lambda *given: [x if isinstance(x, str) else None for x in jobs.signals(*given)]
-    assert told(frame(*rows_), None, set(), False, 0, 0) == [None, None, "hash_equality", "hash_equality"]
-    assert told(frame(*rows_[2:]), "/a", {"h"}, True, 1, 0) == ["hash_equality"] * 2
-    assert told(frame(*rows_[2:]), "/a", {"j"}, False, 0, 1) == [None, "hash_equality"]
-    assert told(frame(("/a", "", True, False), ("/b", "", True, False)), None, set(), False, 0, 0) == [None, "thin_fanout"]
-    assert told(frame(("/b", None, False, True)), "/a", set(), False, 1, 1) == ["challenge_fanout"]
-
-
 def test_dedupe_looks_at_written_rows_only(spark):
     rows = [("k", f"2024-01-{1 + d:02d}" if d < 31 else f"2024-02-{d - 30:02d}", d, "x") for d in (0, 20, 45, 50)] + [("m", "2024-01-01", 1, "y"), ("m", "2024-01-31", 2, "z")]
     df = spark.createDataFrame(rows, "k string, at string, id int, more string").withColumn("at", F.to_timestamp("at"))
@@ -167,3 +163,18 @@ def test_archive_reruns_add_nothing(spark, tmp_path):
 def test_upsert_takes_one_row_of_a_key(spark):
     old, new = spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "k int, v string")
     assert sorted(tuple(r) for r in links.upserted(old, new, ["k"], [F.col("v").desc()]).collect()) == [(1, "c"), (2, "d")]
+
+
+def test_dedupe_against_a_loop(spark):
+    import random
+
+    r = random.Random(4)
+    data = [(r.choice(["k", "m", None]), r.randrange(0, 2000), i) for i in range(400)] + [("k", None, 999)]
+    df = spark.createDataFrame(data, "k string, day int, id int").withColumn("at", F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, day)"))
+    want, last = set(), {}
+    for k, day, i in sorted((x for x in data if x[1] is not None), key=lambda x: (str(x[0]), x[1], x[2])):
+        if k not in last or day >= last[k] + 30:
+            want.add((k, i))
+            last[k] = day
+    assert {(x["k"], x["id"]) for x in feeds.without_recent(df, ["k"], "at", "id", 30).collect()} == want
+    assert feeds.without_recent(df.limit(0), ["k"], "at", "id", 30).count() == 0
