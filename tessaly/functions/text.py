@@ -178,8 +178,20 @@ def hash_tag(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", "RV-000000").otherwise(F.concat(F.lit("RV-"), F.lpad(F.hex(F.pmod(h, F.lit(1 << 24))), 6, "0")))
 
 
+NONE_TEXT = "—"
+
+
 def score_text(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", x), F.lit("—"))
+    return F.when(x.isNotNull(), F.format_string("%.2f", x)).otherwise(NONE_TEXT)
+
+
+def rank_text(rank: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("#"), rank.cast("string")), F.lit(NONE_TEXT))
+
+
+def day_text(stamp: Column) -> Column:
+    """The first ten characters of an ISO time."""
+    return F.coalesce(F.nullif(F.substring(stamp, 1, 10), F.lit("")), F.lit(NONE_TEXT))
 
 
 def archive_path(country: Column, program: Column, time: Column, content: Column, kind: Column) -> Column:

@@ -128,3 +128,39 @@ def rechecked(blocked: DataFrame, probes: DataFrame, domain: str = "domain", lea
     """Blocked domains that are cleared (status 200 and enough text) and those that stay."""
     clear = probes.where((F.col("status") == 200) & (F.col("length") >= least)).select(domain).distinct()
     return blocked.join(clear, domain, "left_semi"), blocked.join(clear, domain, "left_anti")
+
+
+def bad_scrapes(cache: DataFrame, content: str, status: str) -> DataFrame:
+    """Rows of a scrape cache to delete, with the reason: an error status, a soft 404, or too little visible text. A null
+    content is an empty one."""
+    from tessaly.functions.text import scrape_status
+
+    return cache.withColumn("reason", scrape_status(F.coalesce(F.col(content), F.lit("")), F.col(status))).where("reason <> 'ok'")
+
+
+def enriched_rubrics(definitions: DataFrame, scores: DataFrame) -> DataFrame:
+    """definitions (key, categories: an array of values, null for none) with scored, their array of (value, score) in
+    order. scores (key, value, score) is configuration. A category without a score stops the job, as a seed must be whole."""
+    rows = definitions.where(F.size("categories") > 0).select("key", F.posexplode("categories").alias("place", "value"))
+    found = rows.join(F.broadcast(scores.select("key", "value", "score")), ["key", "value"], "left")
+    sure = F.when(F.col("score").isNull(), F.raise_error(F.concat(F.lit("no score for "), "key", F.lit(": "), "value"))).otherwise(F.col("score"))
+    arrays = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", sure.alias("score")))), lambda x: F.struct(x["value"].alias("value"), x["score"].alias("score"))).alias("scored"))
+    return definitions.join(arrays, "key", "left")
+
+
+def scoped_contents(programmes: DataFrame, contents: DataFrame) -> DataFrame:
+    """programme, url: the contents (programme, country, url) of each programme (programme, country), or all of its
+    country's where it has none of its own."""
+    own = contents.select("programme", "url").distinct()
+    without = programmes.join(own.select("programme").distinct(), "programme", "left_anti")
+    wide = without.join(contents.select("country", "url").distinct(), "country").select("programme", "url")
+    return programmes.select("programme").join(own, "programme").unionByName(wide)
+
+
+def quality_signals(provenance: Column) -> Column:
+    """struct(disagrees, mismatch, note, url) of a provenance record; without a JSON object all false and null."""
+    record = F.try_parse_json(provenance)
+    schema = lambda k: F.schema_of_variant(F.try_variant_get(record, f"$.{k}", "variant"))
+    text = lambda k: F.when(schema(k) == "STRING", F.nullif(F.try_variant_get(record, f"$.{k}", "string"), F.lit("")))
+    note = text("deriveLlmMismatch")
+    return F.struct(F.coalesce(text("crossCheckResult") == "disagree", F.lit(False)).alias("disagrees"), note.isNotNull().alias("mismatch"), note.alias("note"), text("crossCheckUrl").alias("url"))

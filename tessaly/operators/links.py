@@ -67,6 +67,20 @@ def pair_coverage(pairs: DataFrame, a: str, b: str, members: int) -> DataFrame:
     return ends.crossJoin(F.broadcast(touched)).select(F.lit(members * (members - 1) // 2).cast("long").alias("pairs"), "modelled", "touched")  # one row each
 
 
+def treaty_coverage(pairs: DataFrame, a: str, b: str, active: str, place: str, members: DataFrame) -> DataFrame:
+    """One row: members, pairs (unordered, of members), modelled and active ones, members touched, pairs not modelled.
+    pairs may name a pair in both directions and more than once: its first row by place says whether it is active. Of a
+    member with itself only the touch counts. members (member): distinct; each side is joined once."""
+    side = lambda c, name: members.select(F.col("member").alias(c), F.lit(True).alias(name))
+    inside = pairs.join(side(a, "_a"), a, "left").join(side(b, "_b"), b, "left")
+    known = inside.where("_a AND _b").groupBy(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).agg(F.min_by(active, place).alias("active"))
+    counts = known.agg(F.count(F.lit(1)).alias("modelled"), F.count_if("active").alias("active"))
+    touched = inside.select(F.explode(F.array(F.when(F.col("_a"), F.col(a)), F.when(F.col("_b"), F.col(b)))).alias("e")).agg(F.countDistinct("e").alias("touched"))
+    size = members.agg(F.count(F.lit(1)).alias("members"))
+    whole = F.floor(F.col("members") * (F.col("members") - 1) / 2)
+    return size.crossJoin(counts).crossJoin(touched).select("members", whole.alias("pairs"), "modelled", "active", "touched", (whole - F.col("modelled")).alias("unmodelled"))  # one row each
+
+
 def compared(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     """Every key of both versions with old and new value, the numeric delta, and whether it changed."""
     both = old.select(key, F.col(value).alias("old")).join(new.select(key, F.col(value).alias("new")), key, "full_outer")

@@ -154,10 +154,9 @@ def mean_age_hours(df: DataFrame, time: str, as_of: str, where: Column | None =
     return F.avg(age if where is None else F.when(where, age))
 
 
-def event_weight(events: Column) -> Column:
-    """The sum of severity weights over an array of events: major 3, moderate 2, minor 1."""
-    weight = lambda e: F.when(e["severity"] == "major", 3).when(e["severity"] == "moderate", 2).when(e["severity"] == "minor", 1).otherwise(0)
-    return F.coalesce(F.aggregate(events, F.lit(0), lambda a, e: a + weight(e)), F.lit(0))
+def event_weight(severity: Column) -> Column:
+    """An aggregate: the sum of severity weights of a key's events, major 3, moderate 2, minor 1; 0 for others."""
+    return F.sum(F.when(severity == "major", 3).when(severity == "moderate", 2).when(severity == "minor", 1).otherwise(0))
 
 
 def token_costs(usage: DataFrame, prices: DataFrame, kinds: list[str], model: str = "model", by: list[str] | None = None, fallback: str = "default") -> DataFrame:

@@ -28,12 +28,14 @@ def issue_rollup(rows: DataFrame, key: str, status: str, issues: str) -> DataFra
 
 
 def purge_preview(rows: DataFrame, key: list[str], row_id: str, time: str) -> DataFrame:
-    """For each key: how many rows, the first time, and the ids in order."""
+    """For each key: how many rows, the first time, and the ids in order. All ids are what is asked for, so a key's rows
+    meet in one row of the result."""
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first"), F.sort_array(F.collect_list(row_id)).alias("ids"))
 
 
 def grouped_lists(rows: DataFrame, key: list[str], lists: dict[str, str]) -> DataFrame:
-    """For each key the distinct values of some columns as sorted lists."""
+    """For each key the distinct values of some columns as sorted lists, which meet in one row of the result; repeated
+    values are dropped before they are shuffled."""
     return rows.groupBy(*key).agg(*[F.sort_array(F.collect_set(c)).alias(name) for name, c in lists.items()])
 
 

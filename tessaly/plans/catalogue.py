@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessaly.plans import documents, feeds, ingest, links, programmes, rankings, reviews, rollups, scoring, streams, texts
+from tessaly.plans import documents, feeds, ingest, links, programmes, rankings, reviews, rollups, scoring, streams, texts, upkeep
 
-_MODULES = (rankings, scoring, feeds, links, texts, documents, ingest, rollups, programmes, reviews, streams)
+_MODULES = (rankings, scoring, feeds, links, texts, documents, ingest, rollups, programmes, reviews, streams, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

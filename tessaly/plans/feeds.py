@@ -82,7 +82,7 @@ def sla_tier(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relative_age(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("ts > timestamp_ntz'2024-01-26 00:00:00'")
+    e = table(spark, d, "events")
     return e.select("event_id", O.relative_age(F.col("ts"), F.lit("2024-01-30 23:59:59").cast("timestamp_ntz")).alias("age"))
 
 
@@ -138,7 +138,7 @@ SELECT CASE WHEN x >= 14 THEN 'red' WHEN x >= 7 THEN 'orange' ELSE 'green' END A
 FROM (SELECT value, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 8.64e10) AS x FROM events) GROUP BY ALL""",
     "relative_age": """
 SELECT event_id, CASE WHEN m < 60 THEN CAST(round(m) AS INT) || 'm' WHEN m < 2880 THEN CAST(round(m / 60) AS INT) || 'h' ELSE CAST(round(m / 1440) AS INT) || 'd' END AS age
-FROM (SELECT event_id, (epoch_us(TIMESTAMP '2024-01-30 23:59:59') - epoch_us(ts)) / 6e7 AS m FROM events WHERE ts > TIMESTAMP '2024-01-26')""",
+FROM (SELECT event_id, (epoch_us(TIMESTAMP '2024-01-30 23:59:59') - epoch_us(ts)) / 6e7 AS m FROM events)""",
     "review_decisions": """
 WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)
 SELECT c_custkey AS id, CASE WHEN event_type IN ('purchase', 'view') THEN 'approved' WHEN event_type = 'click' THEN 'rejected' ELSE 'pending' END AS status,

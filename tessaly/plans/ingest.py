@@ -65,7 +65,7 @@ def discovery_telemetry(spark: SparkSession, d: str) -> DataFrame:
 
 def blocker_recheck(spark: SparkSession, d: str) -> DataFrame:
     blocked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("domain"))
-    probes = _e(spark, d).select(F.col("user_id").alias("domain"), F.when(F.col("event_id") % 2 == 0, 200).otherwise(503).alias("status"), (F.col("value") * 16).alias("length")).where("event_type = 'purchase'")
+    probes = _e(spark, d).select(F.col("user_id").alias("domain"), F.when(F.col("event_id") % 2 == 0, 200).otherwise(503).alias("status"), (F.col("value") * 16).alias("length"))
     cleared, kept = G.rechecked(blocked, probes)
     return cleared.withColumn("verdict", F.lit("cleared")).unionByName(kept.withColumn("verdict", F.lit("kept")))
 
@@ -109,7 +109,7 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.5::DOUBLE ELSE 0 END
 WITH f AS (SELECT l_suppkey AS p, l_partkey AS u, l_suppkey % 5 AS c FROM lineitem), a AS (SELECT DISTINCT c, u FROM f WHERE u % 4 = 0 AND p % 2 = 0),
 n AS (SELECT p AS program_id, count(*) AS found, count(*) FILTER (WHERE f.u % 3 = 0) AS registered, count(a.u) AS archived FROM f LEFT JOIN a ON a.c = f.c AND a.u = f.u GROUP BY p)
 SELECT *, found - archived AS new, round(100 * (found - archived) / found, 2) AS yield_pct FROM n""",
-    "blocker_recheck": "SELECT s_suppkey AS domain, CASE WHEN EXISTS (SELECT 1 FROM events WHERE event_type = 'purchase' AND user_id = s_suppkey AND event_id % 2 = 0 AND value * 16 >= 1500) THEN 'cleared' ELSE 'kept' END AS verdict FROM supplier",
+    "blocker_recheck": "SELECT s_suppkey AS domain, CASE WHEN EXISTS (SELECT 1 FROM events WHERE user_id = s_suppkey AND event_id % 2 = 0 AND value * 16 >= 1500) THEN 'cleared' ELSE 'kept' END AS verdict FROM supplier",
     "two_tier_source": "SELECT o_orderkey, CASE WHEN o_orderkey % 50 % 3 = 0 THEN 'archive' WHEN o_orderkey % 50 % 2 = 0 THEN 'cache' END AS content FROM orders",
     "cache_misses": "SELECT c_custkey, c_custkey IN (SELECT s_suppkey FROM supplier) AS hit FROM customer",
 }

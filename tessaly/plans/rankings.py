@@ -120,7 +120,7 @@ def early_exit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_winner(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_type IN ('click', 'purchase')")
+    e = table(spark, d, "events")
     return rows.superseded(e, "user_id", "ts", "event_id").select("event_id", "user_id", "superseded_by", "is_published")
 
 
@@ -134,9 +134,11 @@ def public_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sitemap(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "nation").select(F.concat(F.lit("/countries/"), F.lower("n_name")).alias("url"))
-    b = table(spark, d, "supplier").select(F.concat(F.lit("/programmes/"), "s_suppkey").alias("url"))
-    return a.unionByName(b)
+    """Programmes by country and name, then countries by name."""
+    entry = lambda df, part, group, name, url: df.select(F.lit(part).alias("part"), group.alias("group"), name.alias("name"), url.alias("url"))
+    a = entry(table(spark, d, "supplier"), 1, F.col("s_nationkey"), F.col("s_name"), F.concat(F.lit("/programmes/"), "s_suppkey"))
+    b = entry(table(spark, d, "nation"), 2, F.lit(0), F.col("n_name"), F.concat(F.lit("/countries/"), F.lower("n_name")))
+    return rows.ranked(a.unionByName(b), [F.col(c).asc() for c in ("part", "group", "name")], "place").select("place", "url")
 
 
 def nation_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -190,10 +192,10 @@ SELECT n_name, coalesce(n, 0) AS n, best_name, best, mean, coalesce(any_negative
     "early_exit": """
 SELECT event_id, user_id FROM (SELECT *, max(value / 100) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR best < 0.9""",
     "latest_winner": """
-SELECT event_id, user_id, lead(event_id) OVER w AS superseded_by, lead(event_id) OVER w IS NULL AS is_published FROM events WHERE event_type IN ('click', 'purchase') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+SELECT event_id, user_id, lead(event_id) OVER w AS superseded_by, lead(event_id) OVER w IS NULL AS is_published FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
     "argmax_first": "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) WHERE k = 1",
     "public_rows": "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1",
-    "sitemap": "SELECT '/countries/' || lower(n_name) AS url FROM nation UNION ALL SELECT '/programmes/' || s_suppkey FROM supplier",
+    "sitemap": "SELECT row_number() OVER (ORDER BY p, g, n) AS place, url FROM (SELECT 1 AS p, s_nationkey AS g, s_name AS n, '/programmes/' || s_suppkey AS url FROM supplier UNION ALL SELECT 2, 0, n_name, '/countries/' || lower(n_name) FROM nation)",
     "nation_tree": """
 WITH n AS (SELECT r_name, n_name, string_agg(CAST(s_suppkey AS VARCHAR), '+' ORDER BY s_suppkey) AS s FROM nation JOIN region ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT r_name, string_agg(n_name || ':' || s, ';' ORDER BY n_name) AS children FROM n GROUP BY 1""",

@@ -171,7 +171,7 @@ def token_costs(spark: SparkSession, d: str) -> DataFrame:
 def event_weights(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     level = F.when(F.col("event_type") == "purchase", "major").when(F.col("event_type") == "click", "moderate").otherwise("minor")
-    return e.groupBy("user_id").agg(F.collect_list(F.struct(level.alias("severity"))).alias("events")).select("user_id", M.event_weight(F.col("events")).cast("long").alias("weight"))
+    return e.groupBy("user_id").agg(M.event_weight(level).alias("weight"))
 
 
 QUERIES = {

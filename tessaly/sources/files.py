@@ -36,10 +36,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
-
-
 def write_archive(df: DataFrame, path: str, country: str, time: Column, hash_column: str, archived: DataFrame | None = None) -> None:
     """Content-addressed rows below country and date, so reads prune by both. Of rows with one hash one is written, and
     none whose hash is archived already, so a rerun adds nothing."""

@@ -2,9 +2,15 @@
 
 import json
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tessaly.functions import text as T
+from tessaly.operators import derive as V
 from tessaly.operators import documents as D
+from tessaly.operators import gates as G
+from tessaly.operators import links as L
 from tessaly.operators import nested as N
 from tessaly.operators import pages as P
 from tessaly.operators import reviews as R
@@ -84,3 +90,40 @@ def test_modes(spark):
     get = lambda mode, keys=None: {tuple(r) for r in R.fields_to_extract(mode, programmes, definitions, values, attempts, keys).collect()}
     assert get("narrow") == {(1, "c"), (2, "b"), (2, "c")} and get("gate-failed") == {(1, "a")}
     assert get("rubric-changed") == {(1, "a"), (2, "c")} and get("field", ["c", "z"]) == {(1, "c"), (2, "c")} and get("field") == set()
+
+
+def test_rubrics_must_be_whole(spark):
+    definitions = spark.createDataFrame([("a", ["y", "x"]), ("b", None), ("c", ["x"])], "key string, categories array<string>")
+    scores = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("c", "x", 3)], "key string, value string, score int")
+    got = {r["key"]: r["scored"] and [tuple(x) for x in r["scored"]] for r in G.enriched_rubrics(definitions, scores).collect()}
+    assert got == {"a": [("y", 2), ("x", 1)], "b": None, "c": [("x", 3)]}
+    with pytest.raises(PySparkException, match="no score for a: y"):
+        G.enriched_rubrics(definitions, scores.where("value <> 'y'")).collect()
+
+
+def test_treaty_coverage(spark):
+    rows = [("A", "B", False, 2), ("B", "A", True, 1), ("A", "C", True, 3), ("A", "X", True, 4), ("X", "D", True, 5), ("E", "E", True, 6)]
+    members = spark.createDataFrame([(m,) for m in "ABCDEF"], "member string")
+    got = L.treaty_coverage(spark.createDataFrame(rows, "a string, b string, active boolean, place int"), "a", "b", "active", "place", members).first()
+    assert (got["members"], got["pairs"], got["touched"]) == (6, 15, 5)
+    assert got["modelled"] + got["unmodelled"] == 15 and got["active"] == got["modelled"]
+
+
+def test_quality_signals_and_formats(spark):
+    read = lambda text: tuple(one(spark, G.quality_signals(F.lit(text).cast("string"))))
+    assert read('{"crossCheckResult":"disagree","deriveLlmMismatch":"","crossCheckUrl":"u"}') == (True, False, None, "u")
+    assert read('{"deriveLlmMismatch":"m"}') == (False, True, "m", None) and read("x") == read(None) == read("[]") == (False, False, None, None)
+    assert one(spark, T.score_text(F.lit(None).cast("double"))) == one(spark, T.rank_text(F.lit(None).cast("int"))) == one(spark, T.day_text(F.lit(""))) == T.NONE_TEXT
+    assert one(spark, T.score_text(F.lit(1.5))) == "1.50" and one(spark, T.rank_text(F.lit(3))) == "#3" and one(spark, T.day_text(F.lit("2024-01-02T03"))) == "2024-01-02"
+
+
+def test_known_fields_without_policies(spark):
+    programmes = spark.createDataFrame([(1, "AUS"), (2, "XXX"), (3, None)], "programme int, country string")
+    one_policy = {"citizenship": spark.createDataFrame([("AUS", False, "n", "u", 2001)], "country string, permitted boolean, notes string, source_url string, source_year int")}
+    rules = [r for r in V.standard_rules() if r.policy == "citizenship"]
+    got = V.known_fields(programmes, one_policy, rules).collect()
+    assert [(r["programme"], r["key"], r["value_raw"], r["confidence"]) for r in got] == [(1, "D.2.3", "not_permitted", 0.7)]
+    histories = spark.createDataFrame([(1, 2015, 2025, "u"), (2, 2015, 2025, "u")], "programme int, first_year int, last_year int, source_url string")
+    events = spark.createDataFrame([(1, 2020, "minor", "b", 2), (1, 2019, "major", "a", 1)], "programme int, year int, severity string, description string, seq int")
+    got = {r["programme"]: r for r in V.volatility_fields(histories, events).collect()}
+    assert got[1]["value_raw"] == "4" and got[1]["sentence"] == "2019 (major): a" and got[2]["value_raw"] == "0" and got[2]["sentence"].endswith("2015-2025.")
