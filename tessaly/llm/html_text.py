@@ -6,8 +6,9 @@ list items with marks and indents, table cells padded to columns, white space co
 
 Defined results: null and empty pages give an empty text; a page without tags is its own text; unclosed, stray and
 badly nested tags never fail; head and body tags may be left out; tables inside tables are rendered inside their cell's
-text; what a style makes invisible is left out but for what is made visible inside it; drawings give their text; depth
-and size of a page aren't limited, and parsing takes time in proportion to it; repeated rows give equal texts; other columns stay, one named like the output is replaced.
+text; what a style makes invisible is left out but for what is made visible inside it, and so is the body of closed details;
+cells that span rows keep their column free below; drawings give their text; depth and size of a page aren't limited, and
+parsing takes time in proportion to it but for tags with an odd quote inside others' quotes; repeated rows give equal texts; other columns stay, one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from tessaly.llm.bpe import with_column
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z][^>]*>?", re.S)
+TAG = re.compile(r"<[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z][^>]*>?")
+COMMENT_END = re.compile(r"--!?>")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 NOT_DISPLAYED = re.compile(r"display\s*:\s*none", re.I)
@@ -62,6 +64,38 @@ BORDERS = {"table", "td", "th", "html"}
 DRAWN = {"text", "foreignobject"}
 
 
+class Tokens:
+    """Finds the comments, declarations and tags of a page, one after the other. What has no end to its right is known
+    from the page's last > and last comment end, so it isn't looked for again at each beginning."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.open_comment = page, page.rfind(">"), False
+
+    def end(self, start: int) -> int | None:
+        """Where the token that begins with the < at start ends; None if none begins there."""
+        page = self.page
+        if page.startswith("<!--", start):
+            for short in ("<!-->", "<!--->"):
+                if page.startswith(short, start):
+                    return start + len(short)
+            found = None if self.open_comment else COMMENT_END.search(page, start + 4)
+            self.open_comment = found is None
+            return found.end() if found else len(page)
+        after = page[start + 1 : start + 3]
+        if after[:1] in ("!", "?") or after[:1] == "/" and after[1:].isascii() and after[1:].isalpha():
+            return page.index(">", start) + 1 if start < self.last else None
+        found = TAG.match(page, start)
+        return found.end() if found else None
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """Start and end of the first token from at on."""
+        while (start := self.page.find("<", at)) >= 0:
+            if (end := self.end(start)) is not None:
+                return start, end
+            at = start + 1
+        return None
+
+
 class Element:
     __slots__ = ("tag", "attributes", "children")
 
@@ -98,11 +132,11 @@ def parse(page: str) -> Element:
                 k -= 1
             close(k)
 
-    at = 0
+    at, tokens = 0, Tokens(page)
     while at < len(page):
-        found = TOKEN.search(page, at)
-        if found is None or found.start() > at:
-            stop = found.start() if found else len(page)
+        found = tokens.next(at)
+        if found is None or found[0] > at:
+            stop = found[0] if found else len(page)
             if page[at:stop].strip(" \t\n\r\f"):
                 begun = True
                 if stack[-1].tag == "head":
@@ -110,8 +144,7 @@ def parse(page: str) -> Element:
             stack[-1].children.append(html.unescape(page[at:stop]))
         if found is None:
             break
-        at = found.end()
-        token = found[0]
+        token, at = page[found[0] : found[1]], found[1]
         name = NAME.match(token)
         if name is None:
             continue  # a comment or declaration
@@ -180,7 +213,7 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the line that is open
         self.space = False  # collapsed white space waits for a next word
         self.blank = False  # a blank line waits for a next line
         self.indents: list[str] = []  # of the open lists and quotes, each one's own
@@ -189,24 +222,30 @@ class Page:
     def text(self, text: str, preformatted: bool) -> None:
         if preformatted:
             first, *rest = text.split("\n")
-            self.line += first
+            self.add(first)
             for x in rest:
                 self.flush(True)
-                self.line = x
+                self.add(x)
             return
         words = text.split(" ") if text.isascii() and not re.search(r"[\t\n\r\f]", text) else re.split(r"[ \t\n\r\f]+", text)
         words_there = [w for w in words if w]
         if not words_there:
             self.space = self.space or bool(text)
             return
-        if (self.space or words[0] == "") and self.line:
-            self.line += " "
-        self.line += " ".join(words_there)
+        if (self.space or words[0] == "") and self.parts:
+            self.add(" ")
+        self.add(" ".join(words_there))
         self.space = words[-1] == ""
 
+    def add(self, text: str) -> None:
+        if text:
+            self.parts.append(text)
+
     def flush(self, keep_empty: bool = False) -> None:
-        line = self.line.rstrip(" ") if not keep_empty else self.line.rstrip()
-        self.line, self.space = "", False
+        line = "".join(self.parts)
+        line = line.rstrip(" ") if not keep_empty else line.rstrip()
+        self.space = False
+        self.parts.clear()
         if line or keep_empty:
             if self.blank and self.lines and self.lines[-1] != "":
                 self.lines.append("")
@@ -258,16 +297,53 @@ def _cell(child) -> Element:
     return cell
 
 
+def numbering(parent: Element | None) -> tuple[int, int]:
+    """The step and the first number of a list's items; a reversed list counts down to 1, or from where it starts."""
+    if parent is None or parent.tag != "ol":
+        return 1, 1
+    start, down = parent.get("start") or "", "reversed" in parent.attributes.lower() and parent.get("reversed") is not None
+    if re.fullmatch(r"-?\d{1,9}", start):
+        return -1 if down else 1, int(start)
+    return (-1, sum(isinstance(c, Element) and c.tag == "li" for c in parent.children)) if down else (1, 1)
+
+
+def unfolded(e: Element) -> list:
+    """The children of an element that are shown: of a closed details its first summary only."""
+    if e.tag != "details" or e.get("open") is not None:
+        return e.children
+    return [c for c in e.children if isinstance(c, Element) and c.tag == "summary"][:1]
+
+
+def _span(cell: Element, name: str, most: int) -> int:
+    """How many columns or rows a cell takes; a rowspan of 0 takes all that follow."""
+    text = (cell.get(name) or "1").strip()
+    if not text.isdecimal() or int(text) == 0 and name == "colspan":
+        return 1
+    return min(int(text), most) or most
+
+
 def table_lines(table: Element, seen: bool) -> tuple[list[str], list[str]]:
     """The captions, and the rows with cells padded to columns and two spaces between; a cell's lines stay apart."""
     captions, rows = table_rows(table)
     grid: list[list[list[str]]] = []
+    below: dict[int, int] = {}  # columns that a cell from above takes, and for how many rows yet
     for row in rows:
-        cells = []
+        cells: list[list[str]] = []
+        taken: dict[int, int] = {}
+
+        def skip() -> None:
+            while below.get(len(cells), 0) > 0:
+                cells.append([""])
+
         for cell in row:
-            cells.append(render(cell, shown(cell, seen)).split("\n"))
-            span = cell.get("colspan") or "1"
-            cells += [[""]] * (min(int(span), 1000) - 1 if span.isdecimal() and int(span) > 1 else 0)
+            skip()
+            text = render(cell, shown(cell, seen)).split("\n")
+            wide, high = _span(cell, "colspan", 1000), _span(cell, "rowspan", 65534)
+            if high > 1:
+                taken |= dict.fromkeys(range(len(cells), len(cells) + wide), high)
+            cells += [text, *[[""]] * (wide - 1)]
+        skip()
+        below = {c: n - 1 for c, n in (below | taken).items() if n > 1}
         if any(any(x) for x in cells):
             grid.append(cells)
     widths: list[int] = []
@@ -290,6 +366,7 @@ def render(root: Element, seen: bool = True) -> str:
     # (what to do, element, parent, preformatted, list depth, whether text is visible)
     todo: list[tuple] = [("in", c, root, False, 0, seen) for c in reversed(root.children)]
     numbers: dict[int, int] = {}
+    steps: dict[int, int] = {}
     while todo:
         what, e, parent, pre, depth, seen = todo.pop()
         if isinstance(e, str):
@@ -309,7 +386,7 @@ def render(root: Element, seen: bool = True) -> str:
             continue
         seen = shown(e, seen)
         if tag == "br":
-            if page.line:
+            if page.parts:
                 page.flush()
             elif page.lines:
                 page.blank = True
@@ -321,7 +398,7 @@ def render(root: Element, seen: bool = True) -> str:
             page.blank = True
             captions, lines = table_lines(e, seen)
             for line in "\n".join([*captions, *lines]).split("\n"):
-                page.line = line
+                page.add(line)
                 page.flush()
             page.blank = True
         elif tag in BLOCKS:
@@ -333,9 +410,9 @@ def render(root: Element, seen: bool = True) -> str:
             below = depth + (tag in ("ul", "ol", "menu", "dir"))
             if tag == "li":
                 start = e.get("value") or ""
-                first = (parent.get("start") if parent is not None and parent.tag == "ol" else "") or ""
-                number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else numbers.get(id(parent), int(first) - 1 if re.fullmatch(r"-?\d{1,9}", first) else 0) + 1
-                numbers[id(parent)] = number
+                step, first = numbering(parent) if id(parent) not in numbers else (steps[id(parent)], 0)
+                number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else numbers.get(id(parent), first - step) + step
+                numbers[id(parent)], steps[id(parent)] = number, step
                 mark = list_mark(e, parent, number, max(0, depth - 1))
                 page.mark = (len(page.indents), mark)
                 page.indents.append(" " * len(mark))
@@ -344,7 +421,7 @@ def render(root: Element, seen: bool = True) -> str:
             elif tag == "dd":
                 page.indents.append("    ")
             todo.append(("out", e, parent, pre, depth, seen))
-            todo += [("in", c, e, pre or tag == "pre", below, seen) for c in reversed(e.children)]
+            todo += [("in", c, e, pre or tag == "pre", below, seen) for c in reversed(unfolded(e))]
         elif tag in ("td", "th", "text", "svg"):
             page.space = True
             todo.append(("in", " ", e, False, depth, True))

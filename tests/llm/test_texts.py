@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -268,3 +269,33 @@ def test_digests_follow_the_contract(spark):
         ids = library.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<!-- c --!>b", "ab"),
+        ("a<!-->b<!--->c<!-- d", "abc"),
+        ("<details>x<summary>s</summary>body</details>z", "s\nz"),
+        ("<details open><summary>s</summary>body</details>", "s\nbody"),
+        ("<details><p>no summary</details>z", "z"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+        ("<ol reversed start=10><li>a<li value=4>b<li>c</ol>", "10. a\n4. b\n3. c"),
+        ("<ol start=3><li>a<ul><li>x</ul><li>b</ol>", "3. a\n   - x\n4. b"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=0>b<td>x<tr><td>c<td>y<tr><td>d</table>", "a  b  x\nc     y\nd"),
+        ("<table><tr><td rowspan=2 colspan=2>big<td>1<tr><td>2</table>", "big    1\n       2"),
+        ("<table><tr><td rowspan=3>a<tr><td>b<td rowspan=2>c<tr><td>d</table>", "a\n   b  c\n   d"),
+        ("x </a y <! z", "x </a y <! z"),
+        ("<a title='x > y'>in</a> <b", "in"),
+    ],
+)
+def test_written_renderings(page, text):
+    assert visible_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["</a" * 40_000, "<!" * 40_000, "<b>" * 100_000, "<b>x" * 100_000, "<!--" * 40_000, "<" * 100_000, "<a " * 40_000, "<p>a" * 50_000])
+def test_time_in_proportion_to_a_page(page):
+    began = time.process_time()
+    visible_text(page)
+    assert time.process_time() - began < 5  # some tenths of a second; quadratic forms took far longer
