@@ -164,17 +164,18 @@ def within_radius(queries: DataFrame, marks: DataFrame, radius: int = RADIUS, fi
     flips = [sum(1 << b for b in some) for k in range(radius // BLOCKS + 1) for some in combinations(range(BLOCK_BITS), k)]
 
     def blocks(df: DataFrame, name: str, changes: list[int]) -> DataFrame:
-        some = df.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias(name)).distinct().withColumn(f"{name}_blocks", _longs(F.col(name)))
-        some = some.select(name, f"{name}_blocks", F.posexplode(f"{name}_blocks").alias("t", "block"))
+        some = df.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias(name)).distinct()
+        some = some.select(name, F.posexplode(_longs(F.col(name))).alias("t", "block"))
         if len(changes) == 1:
             return some
-        return some.select(name, f"{name}_blocks", "t", F.explode(F.transform(F.array(*map(F.lit, changes)), lambda x: x.cast("long").bitwiseXOR(F.col("block")))).alias("block"))
+        return some.select(name, "t", F.explode(F.transform(F.array(*map(F.lit, changes)), lambda x: x.cast("long").bitwiseXOR(F.col("block")))).alias("block"))
 
-    bits = F.zip_with("mine_blocks", "other_blocks", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.zip_with(_longs(F.col("mine")), _longs(F.col("other")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
     # no earlier table brings the pair together
     first = ~F.exists(F.slice(bits, F.lit(1), F.col("t")), lambda x: x <= radius // BLOCKS)
-    met = blocks(queries, "mine", flips).join(blocks(marks, "other", [0]), ["t", "block"]).where((apart <= radius) & first)
+    # a query has many keys, which Spark's size estimates don't count: never broadcast
+    met = blocks(queries, "mine", flips).hint("merge").join(blocks(marks, "other", [0]), ["t", "block"]).where((apart <= radius) & first)
     return met.select(F.col("mine").alias("fingerprint"), "other", apart.alias("apart"))
 
 
