@@ -28,7 +28,7 @@ def _laid_out(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def _with_offsets(rows: DataFrame, keys: list[str], amount: Column, out: str) -> DataFrame:
     """rows with _first, the place of their key's first row in the task, and out: the key's amounts in the tasks before."""
-    parts = stored(rows.groupBy("_task", *keys).agg(F.min("_at").alias("_first"), F.sum(amount).alias("_sum")), "tasks")
+    parts = rows.groupBy("_task", *keys).agg(F.min("_at").alias("_first"), F.sum(amount).alias("_sum"))
     before = Window.partitionBy(*[F.col(k) for k in keys]).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stored(parts.withColumn(out, F.coalesce(F.sum("_sum").over(before), F.lit(0).cast(parts.schema["_sum"].dataType))).drop("_sum"), "offsets")
     side = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in ("_task", *keys)], "_first", out)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.operators.places import ranked
+from tessaly.sources.stored import stored
 
 #: What a term counts for in a title and in a body, and how much of a query is read.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
@@ -39,9 +40,11 @@ def lexemes(text: Column) -> Column:
 
 
 def inverted_index(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
-    """term, key, n_title, n_body for every lexeme of every row; nulls are empty texts."""
+    """term, key, n_title, n_body for every lexeme of every row; nulls are empty texts. Written as a table: a search reads
+    it several times."""
     part = lambda c, at: df.select(key, F.explode(lexemes(F.col(c))).alias("term"), F.lit(at).alias("_part"))
-    return part(title, 0).union(part(body, 1)).groupBy("term", key).agg(F.count_if(F.col("_part") == 0).alias("n_title"), F.count_if(F.col("_part") == 1).alias("n_body"))
+    found = part(title, 0).union(part(body, 1)).groupBy("term", key).agg(F.count_if(F.col("_part") == 0).alias("n_title"), F.count_if(F.col("_part") == 1).alias("n_body"))
+    return stored(found, "postings")
 
 
 def document_counts(index: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tessaly.functions import scores as S
 from tessaly.operators import hierarchy as H
 from tessaly.operators.measures import drawn_weight, rank_statistics
 from tessaly.operators.places import ranked
+from tessaly.sources.stored import stored
 
 #: The shares of cme, the factors on calibrated ranges and the number of draws of a standard run.
 SPLITS = (0.2, 0.25, 0.35, 0.4, 0.5)
@@ -110,6 +111,7 @@ def sensitivity_runs(values: DataFrame, entities: DataFrame, fields: list[Field]
     take no part. Ties in composites, rounded to digits, go to the smaller entity.
     """
     cohort = entities.select(entity, F.coalesce("cme", F.lit(0.0)).alias("cme")).join(read_cohort(values, fields, substitutes, entity), entity)
+    cohort = stored(cohort, "cohort")  # read for the baseline's ranks, then for all perturbations
 
     def literal(x: Perturbation) -> Column:
         parts = {"analysis": x.analysis, "label": x.label, "cme": float(x.cme), "paq": float(x.paq), "factor": float(x.factor), "geometric": x.geometric}
@@ -118,10 +120,11 @@ def sensitivity_runs(values: DataFrame, entities: DataFrame, fields: list[Field]
     composite = F.round("composite", digits)
     order = [F.col("_c").desc(), F.col(entity).asc()]
     plain = _scored(cohort.withColumn("p", literal(BASELINE)), fields, profile, entity, [])
-    base = ranked(plain.select(entity, composite.alias("_c")), order, "base_rank").select(entity, "base_rank")
+    # written before it is ranked, as dealing rows by range looks at them twice
+    base = ranked(stored(plain.select(entity, composite.alias("_c")), "baseline"), order, "base_rank").select(entity, "base_rank")
     many = cohort.join(base, entity).withColumn("p", F.explode(F.array(*map(literal, perturbations))))
     new = _scored(many, fields, profile, entity, ["base_rank"]).select(entity, "base_rank", F.col("p.analysis").alias("analysis"), F.col("p.label").alias("label"), composite.alias("_c"))
-    return rank_statistics(ranked(new, order, "new_rank", ["analysis", "label"]), "base_rank", "new_rank", ["analysis", "label"])
+    return rank_statistics(ranked(stored(new, "perturbed"), order, "new_rank", ["analysis", "label"]), "base_rank", "new_rank", ["analysis", "label"])
 
 
 def score_correlation(scored: DataFrame) -> DataFrame:
