@@ -22,7 +22,7 @@ def merged_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def url_yield(spark: SparkSession, d: str) -> DataFrame:
     y = L.url_yield(table(spark, d, "events"), ["user_id", "event_type"], F.col("value") > 50, F.col("value") / 100)
-    return y.select("user_id", "event_type", "attempts", "yielded", F.round("mean_confidence", 6).alias("mean_confidence"), F.round("best", 6).alias("best"), "any_yield")
+    return y.select("user_id", "event_type", "attempts", "yielded", F.round("mean_confidence", 10).alias("mean_confidence"), F.round("best", 6).alias("best"), "any_yield")
 
 
 def yield_score(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ SELECT s_suppkey, tier, CAST(place AS INTEGER) AS place FROM r WHERE place <= 20
 WITH u AS (SELECT user_id AS key, event_id % 4 AS o, event_id AS position, event_type FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE o WHEN 3 THEN 0 WHEN 2 THEN 1 WHEN 0 THEN 2 ELSE 3 END, CASE WHEN o = 1 THEN position ELSE -position END) AS k, min(position) OVER (PARTITION BY key) AS first FROM u)
 SELECT key, ['registry', 'proven', 'fresh', 'field_proven'][o + 1] AS origin, event_type, first AS position FROM r WHERE k = 1""",
-    "url_yield": f"WITH {_YIELD} SELECT user_id, event_type, attempts, yielded, round(mean_confidence, 6) AS mean_confidence, round(best, 6) AS best, any_yield FROM y",
+    "url_yield": f"WITH {_YIELD} SELECT user_id, event_type, attempts, yielded, round(mean_confidence, 10) AS mean_confidence, round(best, 6) AS best, any_yield FROM y",
     "yield_score": f"WITH {_YIELD} SELECT user_id, round(sum(yielded * coalesce(mean_confidence, 0.5)), 6) AS score FROM y GROUP BY 1",
     "pair_coverage": """
 WITH p AS (SELECT DISTINCT least(c_nationkey, s_nationkey) AS x, greatest(c_nationkey, s_nationkey) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)
