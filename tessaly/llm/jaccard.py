@@ -34,7 +34,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaly.llm.bpe import Remembered
 from tessaly.llm.components import connected_components
 from tessaly.llm.shared import few, fits_broadcast, small, written
 
@@ -49,8 +48,6 @@ PAIRS_A_ROW = 4
 REMEMBERED = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
-_words = Remembered(xxhash.xxh3_64_intdigest)
-
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct n-grams of a text. bytes.split() splits at exactly x20 and x09-x0D, and
@@ -60,7 +57,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(words) - width + 1
     mixed = np.zeros(n, np.uint64)
     for i in range(width):
