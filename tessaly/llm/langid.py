@@ -204,14 +204,26 @@ def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, ranks, where, what, places, often), kinds)], names=["id", "label", "rank", "at", "n", "place", "often"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = some.mapInArrow(run, f"id {kind}, label string, rank double, at array<smallint>, n array<float>, place array<int>, often array<int>").toArrow().to_pandas()
-    if not len(found):
+    found = some.mapInArrow(run, f"id {kind}, label string, rank double, at array<smallint>, n array<float>, place array<int>, often array<int>").toArrow()
+    if not found.num_rows:
         return None
-    found = found.sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
-    shares = np.zeros((len(found), BUCKETS), np.float32)
-    for row, (at, n) in enumerate(zip(found["at"], found["n"])):
+    # rows stay in Arrow's flat arrays, one column after the other; what is made for each row is a view
+    rows = found.select(["id", "label", "rank"]).to_pandas().sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
+    columns = {name: found.column(name) for name in ("at", "n", "place", "often")}
+    del found
+
+    def pieces(name: str) -> list[np.ndarray]:
+        column = columns.pop(name).combine_chunks()
+        every = np.split(column.values.to_numpy(), column.offsets.to_numpy()[1:-1])
+        return [every[i] for i in rows.index]
+
+    shares = np.zeros((len(rows), BUCKETS), np.float32)
+    for row, (at, n) in enumerate(zip(pieces("at"), pieces("n"))):
         shares[row, at] = n / n.sum()
-    return fit(shares, list(zip(found["place"], found["often"])), found["label"].tolist())
+    model = fit(shares, list(zip(pieces("place"), pieces("often"))), rows["label"].tolist())
+    del shares
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
