@@ -33,6 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that a Python worker is handed at once.
+TEXT_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand Python workers TEXT_ROWS rows at a time in this session, unless it says less: with texts of some kilobytes the
+    default of ten times as many fills the memory of a worker and the JVM's buffers beside it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def fits_broadcast(df: DataFrame, rows: int, more_bytes: int = 0) -> bool:
     """Whether counted rows of df stay below the bound as a hashed relation. A row takes 8 bytes of head and 8 a column,
     its place in the hash table up to 40; more_bytes: of texts and arrays in a row."""
