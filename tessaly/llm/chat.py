@@ -12,7 +12,8 @@ line feed becomes ``\\n``), so that no text can hold a control string and each i
 Defined results: a null text or role is empty; a null kind is a message; events that precede every message of their
 conversation open one; equal sequence numbers are ordered by kind, role and text, and repeated message rows are messages
 of their own; rows with a null conversation id form one conversation with a null id; an unknown kind changes nothing; an
-empty log gives no conversation; other columns of the log don't matter.
+empty log gives no conversation; texts of any length are rendered whole, and a conversation's messages are one row, as
+its rendering is; other columns of the log don't matter.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Files without one inherit that of the nearest ancestor directory in which a lice
 Only lines are scored in texts of which no part can reach the threshold: a cosine is at most the norm of the template's
 words that the text holds, over the norm of the template.
 
-Defined results: null and empty texts, and texts without a word, have no license of their own; ties go to the smaller
+Defined results: null and empty texts, and texts without a word, have no license of their own; texts of any length are
+read whole; ties go to the smaller
 template name; several license files in a directory: the best score, then the smaller name; a null path has no
 directory and inherits nothing; repeated rows are scanned one by one; without templates nothing has a license; an empty
 table gives an empty result; other columns don't matter.

@@ -5,8 +5,8 @@ and in each group a piece goes, longest first, where the sum over gaps g of N(g)
 number of open bins with g tokens left.
 
 Defined results: a null or empty text is its closing id alone; an empty table gives an empty result; repeated rows are
-packed one by one; longer documents than a sequence are cut so that only the first piece is shorter than a sequence;
-extra columns of the input don't matter.
+packed one by one; pieces of equal length go in any order; texts of any length are encoded whole, and longer documents
+than a sequence are cut so that only the first piece is shorter than a sequence; extra columns of the input don't matter.
 """
 
 from __future__ import annotations

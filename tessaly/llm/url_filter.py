@@ -8,7 +8,8 @@ expression. The longest fitting rule decides.
 Defined results: a null url, or one without ``://``, has empty host and path and gets the default verdict; repeated urls
 are judged once and every row gets the verdict; of fitting rules of equal length an allow rule wins, then the smaller
 rule string; a rule without any literal token is tried on every url; null rules are ignored; with an empty rule table
-every url gets the default verdict. Other columns of the input stay, whatever their names.
+every url gets the default verdict; a url of any length is judged whole. Other columns of the input stay, but for those
+named like an output (host, path, rule, verdict), which are replaced.
 """
 
 from __future__ import annotations
