@@ -104,6 +104,13 @@ def half_up(x: Column, digits: int = 2) -> Column:
     return F.floor(x * k + 0.5) / k
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounding of the double x * 10**digits, halves away from zero, as SQL engines on doubles do. F.round looks at the
+    shortest decimal text of x instead, so 0.5005, whose thousandfold is 500.49999999999994, differs."""
+    k = float(10**digits)
+    return F.round(x * k, 0) / k
+
+
 def change_severity(before: Column, after: Column, scoring_changed: Column) -> Column:
     """struct(severity, delta, reason): above 5 points breaking, from 1 material, else minor."""
     delta = after - before

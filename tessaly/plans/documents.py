@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaly.functions import scores
 from tessaly.operators import documents as D
 from tessaly.operators import search as S
 from tessaly.plans.tables import table
@@ -51,7 +52,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
         k.alias("programme"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.when(F.col("c_acctbal") < 0, "closed").otherwise("open").alias("status"), F.when(k % 3 != 0, F.concat(F.lit("About "), "c_name")).alias("description"),
         (1990 + k % 30).cast("int").alias("launch_year"), F.when(F.col("c_acctbal") < 0, 2020).alias("closure_year"), F.col("c_nationkey").alias("country"), F.when(k % 2 == 0, "long").alias("long_summary"), F.lit(None).cast("timestamp").alias("long_summary_at"), F.lit(None).cast("string").alias("long_summary_by"),
     )
-    price = F.round(F.col("o_totalprice") / 5000, 3)
+    price = scores.rounded(F.col("o_totalprice") / 5000, 3)
     pillars = F.create_map(*[x for i, p in enumerate("ABCDE") for x in (F.lit(p), F.when((F.col("o_orderkey") % 10 != 1) | F.lit(p != "C"), price + i))])
     base = o.select(
         F.col("o_custkey").alias("programme"), F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("scored_at"), price.alias("composite"), (price / 2).alias("cme"), (price * 2).alias("paq"), pillars.alias("pillar_scores"), (F.col("o_orderstatus") == "P").alias("flagged"),

@@ -104,3 +104,10 @@ def test_rebalanced():
     w = H.rebalanced({"A": 0.5, "B": 0.25, "C": 0.25}, "A", 0.8)
     assert w["B"] == pytest.approx(0.1) and math.isclose(sum(w.values()), 1)
     assert H.rebalanced({"A": 1.0, "B": 0.0, "C": 0.0}, "A", 2)["B"] == 0 and H.rebalanced({"A": 1.0, "B": 0.0, "C": 0.0}, "A", 0.5)["B"] == pytest.approx(0.25)
+
+
+def test_rounded_as_on_doubles(spark):
+    """250250 / 100 / 5000 is 0.5005 as text, and its thousandfold lies below the half; an exact half goes away from 0."""
+    assert one(spark, S.rounded(F.lit(2502.5) / 5000, 3)) == 0.5 and one(spark, F.round(F.lit(2502.5) / 5000, 3)) == 0.501
+    assert one(spark, S.rounded(F.lit(25.5625), 3)) == 25.563 and one(spark, S.rounded(F.lit(-25.5625), 3)) == -25.563
+    assert one(spark, S.rounded(F.lit(None).cast("double"), 3)) is None
