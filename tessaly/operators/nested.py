@@ -22,30 +22,54 @@ def tree(df: DataFrame, top: list[str], middle: list[str], leaf: list[str]) -> D
     return inner.groupBy(*top).agg(F.array_sort(F.collect_list(F.struct(*middle, "children"))).alias("children"))
 
 
-def missing_keys(record: Column, keys: list[str], nullable: set[str] = frozenset(NULLABLE_KEYS)) -> Column:
-    """The keys that a JSON object lacks, in the given order; null counts as lacking unless the key may be null."""
-    found = F.from_json(record, "map<string,string>")
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once for a row, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _lacking(found: Column, keys: list[str], nullable: set[str] = frozenset(NULLABLE_KEYS)) -> Column:
     there = lambda k: F.map_contains_key(found, k) if k in nullable else F.try_element_at(found, F.lit(k)).isNotNull()
     return F.array_compact(F.array(*[F.when(~F.coalesce(there(k), F.lit(False)), F.lit(k)) for k in keys]))
 
 
-def _kind(record: Column, path: str) -> Column:
-    """The kind of a value in a JSON text: object, array, number, string, boolean, null, or null where nothing is."""
-    schema = F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), path, "variant"))
-    number = schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL")
-    return F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(number, "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+def missing_keys(record: Column, keys: list[str], nullable: set[str] = frozenset(NULLABLE_KEYS)) -> Column:
+    """The keys that a JSON object lacks, in the given order; null counts as lacking unless the key may be null."""
+    return _once(F.from_json(record, "map<string,string>"), lambda found: _lacking(found, keys, nullable))
+
+
+def _kind(value: Column, path: str) -> Column:
+    """The kind of what a parsed JSON text has at path: object, array, number, string, boolean, null, or null where
+    nothing is."""
+
+    def of(schema: Column) -> Column:
+        number = schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL")
+        return F.when(schema == "VOID", "null").when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(number, "number").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean")
+
+    return _once(F.schema_of_variant(F.try_variant_get(value, path, "variant")), of)
+
+
+def _read(record: Column, paths: dict[str, str], use) -> Column:
+    """use(found, kinds) of a JSON text that is parsed once: its map of keys to texts, and a struct with the kind at each
+    path."""
+    kinds = lambda v: F.struct(*[_kind(v, path).alias(name) for name, path in paths.items()])
+    read = F.struct(F.from_json(record, "map<string,string>").alias("found"), _once(F.try_parse_json(record), kinds).alias("kinds"))
+    return _once(read, lambda r: use(r["found"], r["kinds"]))
 
 
 def provenance_issues(record: Column, status: Column) -> Column:
     """What a provenance record lacks: keys, reviewer keys once it is approved, then the shapes of offsets and tier. A
     text that isn't a JSON object has the one issue not_an_object."""
-    offsets, tier = _kind(record, "$.characterOffsets"), _kind(record, "$.sourceTier")
-    numbers = (offsets == "object") & (_kind(record, "$.characterOffsets.start") == "number") & (_kind(record, "$.characterOffsets.end") == "number")
-    bad_offsets = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(numbers, F.lit(False))
-    bad_tier = tier.isNotNull() & ~tier.isin("null", "number")
-    shapes = F.array_compact(F.array(F.when(bad_offsets, "shape:characterOffsets"), F.when(bad_tier, "shape:sourceTier")))
-    lacking = F.concat(missing_keys(record, PROVENANCE_KEYS), F.when(status == "approved", missing_keys(record, APPROVED_KEYS)).otherwise(F.array().cast("array<string>")), shapes)
-    return F.when(_kind(record, "$") == "object", lacking).otherwise(F.array(F.lit("not_an_object")))
+
+    def issues(found: Column, kind: Column) -> Column:
+        offsets, tier = kind["offsets"], kind["tier"]
+        numbers = (offsets == "object") & (kind["start"] == "number") & (kind["end"] == "number")
+        bad_offsets = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(numbers, F.lit(False))
+        bad_tier = tier.isNotNull() & ~tier.isin("null", "number")
+        shapes = F.array_compact(F.array(F.when(bad_offsets, "shape:characterOffsets"), F.when(bad_tier, "shape:sourceTier")))
+        lacking = F.concat(_lacking(found, PROVENANCE_KEYS), F.when(status == "approved", _lacking(found, APPROVED_KEYS)).otherwise(F.array().cast("array<string>")), shapes)
+        return F.when(kind["record"] == "object", lacking).otherwise(F.array(F.lit("not_an_object")))
+
+    return _read(record, {"record": "$", "offsets": "$.characterOffsets", "start": "$.characterOffsets.start", "end": "$.characterOffsets.end", "tier": "$.sourceTier"}, issues)
 
 
 # Keys of a provenance record as the web pages read it.
@@ -59,13 +83,17 @@ SHOWN_REVIEW_KEYS = ["reviewer", "reviewedAt", "reviewerNotes"]
 def shown_provenance(record: Column, status: Column) -> Column:
     """struct(ok, missing): the keys that a record for the pages lacks, reviewer keys only once it is approved; charOffsets
     also lacks if it isn't a pair of numbers. Without an object or array all core keys lack."""
-    core, review = missing_keys(record, SHOWN_KEYS), F.when(status == "approved", missing_keys(record, SHOWN_REVIEW_KEYS)).otherwise(F.array().cast("array<string>"))
-    offsets = _kind(record, "$.charOffsets")
-    pair = (offsets == "array") & (_kind(record, "$.charOffsets[0]") == "number") & (_kind(record, "$.charOffsets[1]") == "number") & (F.json_array_length(F.get_json_object(record, "$.charOffsets")) == 2)
-    bad = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(pair, F.lit(False))
-    missing = F.array_distinct(F.concat(core, review, F.when(bad, F.array(F.lit("charOffsets"))).otherwise(F.array().cast("array<string>"))))
-    missing = F.when(_kind(record, "$").isin("object", "array"), missing).otherwise(F.array(*map(F.lit, SHOWN_KEYS)))
-    return F.struct((F.size(missing) == 0).alias("ok"), missing.alias("missing"))
+
+    def lacking(found: Column, kind: Column) -> Column:
+        review = F.when(status == "approved", _lacking(found, SHOWN_REVIEW_KEYS)).otherwise(F.array().cast("array<string>"))
+        offsets = kind["offsets"]
+        pair = (offsets == "array") & (kind["first"] == "number") & (kind["second"] == "number") & (F.json_array_length(F.get_json_object(record, "$.charOffsets")) == 2)
+        bad = offsets.isNotNull() & (offsets != "null") & ~F.coalesce(pair, F.lit(False))
+        missing = F.array_distinct(F.concat(_lacking(found, SHOWN_KEYS), review, F.when(bad, F.array(F.lit("charOffsets"))).otherwise(F.array().cast("array<string>"))))
+        return F.when(kind["record"].isin("object", "array"), missing).otherwise(F.array(*map(F.lit, SHOWN_KEYS)))
+
+    missing = _read(record, {"record": "$", "offsets": "$.charOffsets", "first": "$.charOffsets[0]", "second": "$.charOffsets[1]"}, lacking)
+    return _once(missing, lambda m: F.struct((F.size(m) == 0).alias("ok"), m.alias("missing")))
 
 
 def flattened(df: DataFrame, key: str, record: str) -> DataFrame:

@@ -127,3 +127,9 @@ def test_known_fields_without_policies(spark):
     events = spark.createDataFrame([(1, 2020, "minor", "b", 2), (1, 2019, "major", "a", 1)], "programme int, year int, severity string, description string, seq int")
     got = {r["programme"]: r for r in V.volatility_fields(histories, events).collect()}
     assert got[1]["value_raw"] == "4" and got[1]["sentence"] == "2019 (major): a" and got[2]["value_raw"] == "0" and got[2]["sentence"].endswith("2015-2025.")
+
+
+def test_provenance_records_are_parsed_once(spark):
+    for column in (N.provenance_issues(F.col("r"), F.col("s")), N.shown_provenance(F.col("r"), F.col("s"))):
+        plan = spark.createDataFrame([("{}", "approved")], "r string, s string").select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("parse_json(") == 1 and plan.count("from_json(") == 1
