@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,12 +127,20 @@ def _whole_words(text: Column, terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda n, t: n + F.regexp_count(text, pattern(t)))
 
 
-def content_windows(df: DataFrame, key: str, content: str, terms: str, most: int) -> DataFrame:
+def pattern_matches(text: Column, terms: Column) -> Column:
+    """How often the terms, read as regular expressions, stand in text between its words; every other character is set
+    apart by blanks first, so a term is met by one word or sign."""
+    apart = F.concat(F.lit(" "), F.regexp_replace(text, "([^A-Za-z0-9_])", r" $1 "), F.lit(" "))
+    return F.aggregate(terms, F.lit(0), lambda n, t: n + F.regexp_count(apart, F.concat(F.lit("(?d) "), t, F.lit(" "))))
+
+
+def content_windows(df: DataFrame, key: str, content: str, terms: str, most: int, matches: Callable[[Column, Column], Column] = _whole_words) -> DataFrame:
     """key, chunks (the numbers of those taken, null for a text that isn't cut) and window: at most most characters of a
     text. A longer one is cut into chunks; those that touch its first HEAD and last TAIL characters are taken, then those
     with most whole-word terms (an array of lower-cased words or phrases in the row), the first ones first, while they
     fit; one that doesn't fit is passed over. A chunk costs what it adds: neighbours share their overlap and have no gap
-    between. Chunks without terms aren't taken; without any term given, the text's beginning is the window."""
+    between. Chunks without terms aren't taken; without any term given, the text's beginning is the window. matches says
+    how often the terms stand in a lower-cased chunk: as they are written, or by pattern_matches."""
     text, size = F.coalesce(F.col(content), F.lit("")), F.char_length(F.coalesce(F.col(content), F.lit("")))
     rows = df.select(key, text.alias("_text"), size.alias("_size"), F.coalesce(F.col(terms), F.array().cast("array<string>")).alias("_terms"))
     n = F.greatest(F.lit(0), F.ceil((F.col("_size") - CHUNK) / STRIDE)).cast("int")
@@ -140,7 +150,7 @@ def content_windows(df: DataFrame, key: str, content: str, terms: str, most: int
     base = lambda i: (i * STRIDE < HEAD) | (end(i) > F.col("_size") - TAIL)
     every = F.sequence(F.lit(0), n)
     rows = rows.withColumn("_base", F.when(cut, F.filter(every, base)))
-    scored = F.transform(F.filter(every, lambda i: ~base(i)), lambda i: F.struct((-_whole_words(F.lower(piece(i)), F.col("_terms"))).alias("less"), i.alias("i")))
+    scored = F.transform(F.filter(every, lambda i: ~base(i)), lambda i: F.struct((-matches(F.lower(piece(i)), F.col("_terms"))).alias("less"), i.alias("i")))
     rows = rows.withColumn("_ranked", F.when(cut, F.array_sort(F.filter(scored, lambda x: x["less"] < 0))))
 
     def cost(chosen: Column, i: Column) -> Column:

@@ -133,3 +133,12 @@ def test_provenance_records_are_parsed_once(spark):
     for column in (N.provenance_issues(F.col("r"), F.col("s")), N.shown_provenance(F.col("r"), F.col("s"))):
         plan = spark.createDataFrame([("{}", "approved")], "r string, s string").select(column.alias("x"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("parse_json(") == 1 and plan.count("from_json(") == 1
+
+
+def test_terms_as_patterns(spark):
+    """A term with a dot: any one character stands for it; the words of a phrase are set apart, so it isn't met."""
+    count = lambda text, *terms: one(spark, N.pattern_matches(F.lit(text), F.array(*map(F.lit, terms))))
+    assert count("on one. on", "on.") == 2 and count("on one. on", "on") == 2 and count("on.on", "on", "í") == 2 and count("aíb", "í") == 1 and count("a b", "a b") == 0
+    text = "x" * 2500 + " one " + "y" * 4895
+    windows = [N.content_windows(spark.createDataFrame([(1, text, ["on."])], "id int, text string, terms array<string>"), "id", "text", "terms", 6000, *by).first()["chunks"] for by in ((), (N.pattern_matches,))]
+    assert windows == [[0, 3], [0, 1, 3]]
