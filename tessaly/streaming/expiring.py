@@ -1,7 +1,7 @@
 """Streams whose state expires: caches by time to live, and blocked domains with hashes that are forgotten.
 
-State lives in the state store (RocksDB) as single values and maps, so a key's state is read and written piece by piece;
-timers on event time remove what is older than the time to live once the watermark has passed it. Rows of one key are
+State lives in the state store (RocksDB), one small row a key that travels with the key's rows, so Python asks nothing of
+the JVM while it works; timeouts on event time remove what is older than the time to live once the watermark has passed it. Rows of one key are
 taken in the order of time and tie within a trigger; across triggers, what is older than the watermark is late.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How long scraped content and discovered URLs stay in their caches.
 SCRAPE_HOURS, DISCOVERY_HOURS = 24, 7 * 24
@@ -20,107 +21,43 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Stateful processors need the store with column families."""
+    """State in RocksDB, beside the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def _millis(at: pd.Timestamp) -> int:
-    return int(at.timestamp() * 1000)
-
-
-class _Fetches(StatefulProcessor):
-    """Lets a row through if none of its key went through within the time to live before it."""
-
-    def __init__(self, hours: int, names: list[str]):
-        self.ttl, self.names = pd.Timedelta(hours=hours), names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_time", "at_tie"], kind="stable")
-        before = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        last, taken = before, []
-        for n, at in enumerate(batch["at_time"]):
-            if last is None or at >= last + self.ttl:
-                taken.append(n)
-                last = at
-        if taken:
-            if before is not None:
-                self.handle.deleteTimer(_millis(before + self.ttl))
-            self.last.update((last.to_pydatetime(),))
-            self.handle.registerTimer(_millis(last + self.ttl))
-        yield batch.iloc[taken][self.names]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and _millis(pd.Timestamp(self.last.get()[0]) + self.ttl) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
 def cache_fetches(stream: DataFrame, keys: list[str], time: str, tie: str, hours: int, late: str = "1 hour") -> DataFrame:
     """The rows (keys, time, tie) that a cache with a time to live misses: those that fetch anew. A row that finds an
-    entry younger than hours is a hit and doesn't renew it. Rows without a time take no part."""
+    entry younger than hours is a hit and doesn't renew it. Rows without a time take no part. A key's state is the time of
+    its last fetch, which travels with its rows and is forgotten once the watermark has passed its end."""
     use_state_store(stream.sparkSession)
-    names = [*keys, time, tie]
+    names, ttl = [*keys, time, tie], hours * 3600 * 10**6
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    rows = stream.where(F.col(time).isNotNull()).select(*names, F.col(time).cast("timestamp").alias("at_time"), F.col(tie).alias("at_tie")).withWatermark("at_time", late)
-    return rows.groupBy(*keys).transformWithStateInPandas(_Fetches(hours, names), ", ".join(f"{n} {kinds[n]}" for n in names), "Append", "EventTime")
-
 
-class _Signals(StatefulProcessor):
-    """The first sign of a domain that answers with a wall: several paths with one content, thin pages or challenges."""
-
-    def __init__(self, hours: int):
-        self.ttl = pd.Timedelta(hours=hours)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.counts = handle.getValueState("counts", "path string, several boolean, again boolean, thin long, challenges long, flagged boolean")
-        self.seen = handle.getMapState("seen", "hash string", "at timestamp")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_time", "seq"], ignore_index=True)
-        path, several, again, thin, challenges, flagged = self.counts.get() if self.counts.exists() else (None, False, False, 0, 0, False)
-        if flagged:
-            return
-        path = batch["url"].iloc[0] if path is None else path
-        hashes = batch["content_hash"].where(batch["content_hash"].fillna("") != "")
-        before = batch["at_time"].groupby(hashes).shift()
-        for n, h in hashes.dropna().drop_duplicates().items():
-            if self.seen.containsKey((h,)):
-                before[n] = pd.Timestamp(self.seen.getValue((h,))[0])
-        paths = (batch["url"] != path).cummax() | several
-        repeats = ((batch["at_time"] - before) <= self.ttl).cummax() | again
-        thins, walls = thin + batch["thin"].fillna(False).astype(int).cumsum(), challenges + batch["challenge"].fillna(False).astype(int).cumsum()
-        sign = pd.Series(None, index=batch.index, dtype=object)
-        sign[walls > 1] = "challenge_fanout"
-        sign[thins > 1] = "thin_fanout"
-        sign[repeats] = "hash_equality"
-        found = sign.where(paths).dropna()
-        if len(found):
-            self.seen.clear()
-            self.counts.update((None, True, True, 0, 0, True))
-            yield pd.DataFrame({"domain": [key[0]], "signal": found.iloc[:1].tolist(), "seq": [batch["seq"][found.index[0]]]})
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
             return
-        for h, at in batch["at_time"].groupby(hashes).last().items():
-            self.seen.updateValue((h,), (at.to_pydatetime(),))
-        self.counts.update((path, bool(paths.iloc[-1]), bool(repeats.iloc[-1]), int(thins.iloc[-1]), int(walls.iloc[-1]), False))
-        self.handle.registerTimer(_millis(batch["at_time"].iloc[-1] + self.ttl) + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            until = expiredTimerInfo.getExpiryTimeInMs()
-            for h in [k[0] for k, v in self.seen.iterator() if _millis(pd.Timestamp(v[0]) + self.ttl) < until]:
-                self.seen.removeKey((h,))
-        return iter(())
+        parts = list(batches)
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+        at = batch["at_micros"].to_numpy()
+        ties = batch["at_tie"]
+        order = np.lexsort((ties if ties.dtype != object else ties.rank(method="dense", na_option="bottom"), at))
+        before = last = state.get[0] if state.exists else None
+        taken = []
+        for n, now in zip(order.tolist(), at[order].tolist()):
+            if last is None or now >= last + ttl:
+                taken.append(n)
+                last = now
+        if last != before:
+            state.update((last,))
+        # a timeout is due anew after each batch; one that the watermark has passed can't be set
+        state.setTimeoutTimestamp(max(-(-(last + ttl) // 1000), state.getCurrentWatermarkMs() + 1))
+        if taken:
+            yield batch.iloc[taken][names]
 
-    def close(self) -> None:
-        pass
+    rows = stream.where(F.col(time).isNotNull()).select(*names, F.col(time).cast("timestamp").alias("at_time"), F.col(tie).alias("at_tie")).withWatermark("at_time", late)
+    rows = rows.withColumn("at_micros", F.unix_micros("at_time"))
+    return rows.groupBy(*keys).applyInPandasWithState(run, ", ".join(f"{n} {kinds[n]}" for n in names), "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def blocked_domains(stream: DataFrame, hours: int = DISCOVERY_HOURS, late: str = "1 hour") -> DataFrame:
@@ -128,6 +65,41 @@ def blocked_domains(stream: DataFrame, hours: int = DISCOVERY_HOURS, late: str =
     challenge. With more than one path: a content hash that came before, at most hours ago; else a second thin page; else
     a second challenge page. A domain's state is counters and the hashes of the last hours; of a flagged one, the flag."""
     use_state_store(stream.sparkSession)
-    rows = stream.withColumn("at_time", F.col("at").cast("timestamp")).where("at_time IS NOT NULL").withWatermark("at_time", late)
+    ttl = hours * 3600 * 10**6
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        path, several, again, thins, walls, flagged, hashes, times = state.get if state.exists else (None, False, False, 0, 0, False, [], [])
+        seen = dict(zip(hashes, times))
+        if state.hasTimedOut:  # counters stay, hashes that are too old by now go
+            seen = {h: t for h, t in seen.items() if t + ttl >= state.getCurrentWatermarkMs() * 1000}
+            state.update((path, several, again, thins, walls, flagged, list(seen), list(seen.values())))
+            if seen:
+                state.setTimeoutTimestamp(max((max(seen.values()) + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            return
+        parts = list(batches)
+        if flagged:
+            return
+        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        at, seqs = batch["at_micros"].to_numpy(), batch["seq"].to_numpy()
+        urls, contents, thin, wall = (batch[c].tolist() for c in ("url", "content_hash", "thin", "challenge"))
+        now = None
+        for n in np.lexsort((seqs, at)).tolist():
+            now, h = int(at[n]), contents[n]
+            path = urls[n] if path is None else path
+            several |= urls[n] != path
+            if h:
+                again |= h in seen and now - seen[h] <= ttl
+                seen[h] = now
+            thins, walls = thins + (thin[n] is True), walls + (wall[n] is True)
+            sign = "hash_equality" if again else "thin_fanout" if thins > 1 else "challenge_fanout" if walls > 1 else None
+            if several and sign:
+                state.update((None, True, True, 0, 0, True, [], []))
+                yield pd.DataFrame({"domain": [key[0]], "signal": [sign], "seq": [seqs[n]]})
+                return
+        state.update((path, several, again, thins, walls, False, list(seen), list(seen.values())))
+        state.setTimeoutTimestamp(max((now + ttl) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    rows = stream.withColumn("at_time", F.col("at").cast("timestamp")).where("at_time IS NOT NULL").withWatermark("at_time", late).withColumn("at_micros", F.unix_micros("at_time"))
     kind = stream.schema["domain"].dataType.simpleString()
-    return rows.groupBy("domain").transformWithStateInPandas(_Signals(hours), f"domain {kind}, signal string, seq long", "Append", "EventTime")
+    kept = "path string, several boolean, again boolean, thins long, walls long, flagged boolean, hashes array<string>, times array<long>"
+    return rows.groupBy("domain").applyInPandasWithState(run, f"domain {kind}, signal string, seq long", kept, "append", GroupStateTimeout.EventTimeTimeout)

@@ -60,3 +60,12 @@ def test_ingest_is_idempotent(spark, tmp_path):
 def test_checksums_are_read_back(spark):
     df = spark.createDataFrame([("a", "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"), ("b", "x")], "t string, h string")
     assert [r["intact"] for r in ingest.verified(df, "t", "h").orderBy("t").collect()] == [True, False]
+
+
+def test_state_travels_with_rows(spark, tmp_path):
+    """Python that asks the JVM for each piece of a key's state takes many times as long for many keys."""
+    rows = [("d", 1, DAY, "/a", "h", False, False)]
+    stream = staged(spark, tmp_path / "in", [rows], "domain string, seq long, at timestamp_ntz, url string, content_hash string, thin boolean, challenge boolean")
+    for out in (expiring.blocked_domains(stream), expiring.cache_fetches(stream, ["domain"], "at", "seq", 24)):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithState" not in plan and "WithState" in plan
