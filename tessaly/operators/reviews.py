@@ -19,6 +19,15 @@ def _record(text: Column, key: str) -> Column:
     return F.get_json_object(text, f"$.{key}")
 
 
+def latest_decisions(decisions: DataFrame) -> DataFrame:
+    """The latest decision (at, then seq) of each id. The latest times are found by hashing, and only rows of these are
+    sorted, so a task holds a time for each id rather than all decisions on some ids."""
+    newest = decisions.groupBy("id").agg(F.max("at").alias("_newest"))
+    same = decisions["id"].eqNullSafe(newest["id"]) & decisions["at"].eqNullSafe(newest["_newest"])
+    rows = decisions.join(newest, same, "left_semi")
+    return first_per_key(rows, ["id"], [F.col("at").desc(), F.col("seq").desc()])
+
+
 def transitions(values: DataFrame, decisions: DataFrame, definitions: DataFrame, substitutes: DataFrame) -> DataFrame:
     """values (id, entity, key, value_raw, status, score, provenance) after the latest decision (id, decision, edited,
     reason, at, seq) of each.
@@ -27,7 +36,7 @@ def transitions(values: DataFrame, decisions: DataFrame, definitions: DataFrame,
     non-blank reason to the provenance as rejectReason; unapprove makes it pending_review again. A value taken anew is
     scored by its definition, null where it can't be. reviewed_at is the decision's time, null after unapprove.
     """
-    last = first_per_key(decisions, ["id"], [F.col("at").desc(), F.col("seq").desc()]).select("id", "decision", F.trim("edited").alias("_edited"), F.trim("reason").alias("_reason"), "at")
+    last = latest_decisions(decisions).select("id", "decision", F.trim("edited").alias("_edited"), F.trim("reason").alias("_reason"), "at")
     last = last.where((F.col("decision") != "edit") | (F.length("_edited") > 0))
     rows = values.join(last, "id", "left")
     anew = F.col("decision").isin("approve", "edit") & (F.length("_edited") > 0)
@@ -47,7 +56,7 @@ def transitions(values: DataFrame, decisions: DataFrame, definitions: DataFrame,
 def queue_after(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """queue (id, reason, priority, status) after the latest decision of each value: approved or rejected and resolved,
     pending_review again after unapprove; a withdrawn value that has no row gets one. An edit leaves the queue."""
-    last = first_per_key(decisions, ["id"], [F.col("at").desc(), F.col("seq").desc()]).where("decision <> 'edit'").select("id", "decision", "at")
+    last = latest_decisions(decisions).where("decision <> 'edit'").select("id", "decision", "at")
     status = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected").when(F.col("decision") == "unapprove", "pending_review")
     old = queue.join(last, "id", "left").select("id", "reason", "priority", F.coalesce(status, "status").alias("status"), F.when(F.col("decision").isin("approve", "reject"), F.col("at")).alias("resolved_at"))
     gone = last.where("decision = 'unapprove'").join(queue.select("id"), "id", "left_anti")

@@ -142,3 +142,10 @@ def test_terms_as_patterns(spark):
     text = "x" * 2500 + " one " + "y" * 4895
     windows = [N.content_windows(spark.createDataFrame([(1, text, ["on."])], "id int, text string, terms array<string>"), "id", "text", "terms", 6000, *by).first()["chunks"] for by in ((), (N.pattern_matches,))]
     assert windows == [[0, 3], [0, 1, 3]]
+
+
+def test_latest_decisions(spark):
+    """Ties in time go to the larger seq, a null time comes before all others; decisions are matched by time before any sort."""
+    rows = [(1, "approve", 5, 1), (1, "reject", 5, 2), (1, "edit", 4, 9), (2, "edit", None, 1), (2, "approve", None, 3), (3, "reject", None, 8), (3, "edit", 1, 1)]
+    found = R.latest_decisions(spark.createDataFrame(rows, "id int, decision string, at int, seq int"))
+    assert sorted((r["id"], r["decision"]) for r in found.collect()) == [(1, "reject"), (2, "approve"), (3, "edit")]
