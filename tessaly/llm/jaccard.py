@@ -6,12 +6,13 @@
    these single ones, then those not looked at, then the rest. A set of n n-grams can only link to sets that share one of
    its first n - ceil(n p / 100) + 1 in that order, its prefix; single ones are shared by none, so most sets whose text
    isn't a copy have nothing left there. What is counted goes to as many tasks as it is worth; nothing is broadcast.
+   Prefixes and bitmaps are made for what is left only, from the texts again, and a table goes once its readers are written.
 3. A prefix n-gram and the classes that hold it are a block of the incidence matrix. Every block first meets its pivot
    only (one pair for each row), and the links found merge classes; groups of near copies are one component after that.
 4. Two classes that no block holds in different components need no look. Blocks that hold few pairs of them for their
-   rows meet all of these. The sets of the classes in other blocks are written once; step 2, done again for half of the
-   n-grams of these alone, leaves classes of which most n-grams are shared. All of their n-grams are counted, and prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots until few
-   pairs are left between components or their number no longer halves, then all of their pairs, accumulating the overlap within the prefixes.
+   rows meet all of these. The sets of the classes in other blocks are written once, all of their n-grams are counted, and
+   prefixes and blocks are made anew, rarest n-grams first. These blocks meet pivots until few pairs are left between
+   components or their number no longer halves, then all of their pairs, accumulating the overlap within the prefixes.
 5. Pairs are discarded by size (p max <= 100 min), by the places of a shared n-gram (two sets of n and m only link if
    they share one of the first n - ceil(p (n + m) / (100 + p)) + 1 of n and as many of m), by what the overlap so far
    and the places after the last shared n-gram leave possible, then by the bound that the bitmaps' distance puts on the
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.llm.components import connected_components
-from tessaly.llm.shared import few, fits_broadcast, small, written
+from tessaly.llm.shared import few, fits_broadcast, forget, small, written
 
 WIDTH = 4
 PERCENT = 85
@@ -46,6 +47,9 @@ PARITY_BITS = 2048
 PAIRS_A_ROW = 4
 #: Fingerprints that a task remembers; a copy that comes after they were forgotten only gets its prefix once more.
 REMEMBERED = 200_000
+#: The bits of an n-gram's hash by which it is counted in step 2. Two that agree in them count as held by both classes,
+#: which costs a look and loses no link; at 30 GB this is one in a thousand.
+COUNTED_BITS = 40
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -70,22 +74,25 @@ def prefix_size(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
-def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int) -> DataFrame:
+def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int, whole: bool = True) -> DataFrame:
     """doc_id, n, print (of the set), and for the first copy in a task that has an id: prefix (the first of the n-grams
-    that aren't looked at, in the order of their hashes), counted (those that are) and parity."""
+    that aren't looked at, in the order of their hashes), counted (those that are) and parity. If not whole, only counted
+    of these three."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def one(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def one(hashes: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray | None]:
         chosen = hashes % np.uint64(COUNTED) == 0
+        if not whole:
+            return None, hashes[chosen].view(np.int64), None
         parity = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
         prefix = hashes[~chosen][: prefix_size(len(hashes), percent)]
         return prefix.view(np.int64), hashes[chosen].view(np.int64), np.packbits(parity.astype(np.uint8)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+        for every in batches:
+            for at in range(0, every.num_rows, 256):
+                batch = every.slice(at, 256)
                 rows = []
                 for i, x in zip(batch.column(0), batch.column(1)):
                     hashes = shingles(x.as_py(), width)
@@ -103,12 +110,15 @@ def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int)
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, print binary, prefix array<long>, counted array<long>, parity array<long>")
 
 
+def _of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """node, text: the documents whose ids are wanted (node, written). Texts aren't shuffled while the ids fit a broadcast."""
+    side = wanted.select(F.col("node").alias("_wanted"))
+    return docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text")).join(small(side, wanted.count()), F.col("node") == F.col("_wanted"), "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """node, hashes: the n-gram sets of the wanted documents (node), from their texts."""
-    n = wanted.count()
-    side = wanted.select(F.col("node").alias("_wanted"))
-    some = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
-    some = some.join(F.broadcast(side) if fits_broadcast(side, n) else side, F.col("node") == F.col("_wanted"), "left_semi")
+    some = _of(docs, wanted, doc_id, text)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,13 +162,21 @@ def _reach(n, other, percent: int):
     return n - F.floor((percent * (n + other) + 99 + percent) / (100 + percent))
 
 
-def _rows(first: DataFrame, percent: int) -> DataFrame:
-    """node, n, at, gram: the prefixes of sets (node, mark, n, prefix, counted), without the single n-grams, that are held
-    by sets of one mark, at their start. Only n-grams that several sets hold, one of them in a short place."""
-    looked = first.select("mark", F.explode("counted").alias("gram")).groupBy("gram").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
+def _left(first: DataFrame, percent: int) -> DataFrame:
+    """node, mark, u of the sets (node, mark, n, counted) that have less single n-grams (u), held by sets of one mark, than
+    their prefix is long."""
+    looked = first.select("mark", F.explode("counted").alias("gram")).select("mark", F.col("gram").bitwiseAND(2**COUNTED_BITS - 1).alias("gram"))
+    looked = looked.groupBy("gram").agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
     single = written(looked.where("mark = other").groupBy("mark").agg(F.count(F.lit(1)).alias("u")), "single")
     size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    some = first.join(small(single, single.count()), "mark", "left").withColumn("u", F.coalesce("u", F.lit(0))).where(F.col("u") < size)
+    some = first.select("node", "mark", "n").join(small(single, single.count()), "mark", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    return written(some.where(F.col("u") < size).select("node", "mark", "u"), "left")
+
+
+def _rows(some: DataFrame, percent: int) -> DataFrame:
+    """node, n, at, gram: the prefixes of sets (node, n, u, prefix, counted), without the single n-grams at their start.
+    Only n-grams that several sets hold, one of them in a short place."""
+    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     rows = some.select("node", "n", "u", F.posexplode(F.slice("prefix", 1, (size - F.col("u")).cast("int"))).alias("at", "gram"))
     # sets so small that the n-grams that were looked at lie in the prefix: the least place that these can have
     rest = F.col("n") - F.size("counted")
@@ -232,18 +250,25 @@ def _with_all(lined: DataFrame, n_rows: int, percent: int, whole: bool) -> DataF
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row of docs."""
     docs = docs.select(docs[doc_id], docs[text])
-    table = written(described(docs, doc_id, text, percent, width), "sets")
-    part = table.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    copies = written(part.groupBy("print").agg(F.min("doc_id").alias("node")), "copies")
-    first = part.where(F.col("prefix").isNotNull())
-    rows = _rows(first.select(F.col("doc_id").alias("node"), F.xxhash64("print").alias("mark"), "n", "prefix", "counted"), percent).withColumnRenamed("node", "doc_id")
+    looked = written(described(docs, doc_id, text, percent, width, whole=False).drop("prefix", "parity"), "looked")
+    table = written(looked.select("doc_id", "n", "print"), "sizes")  # what is read to the end
+    copies = written(table.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("node")), "copies")
+    left = _left(looked.where(F.col("counted").isNotNull()).select(F.col("doc_id").alias("node"), F.xxhash64("print").alias("mark"), "n", "counted"), percent)
+    forget(looked)
+    # the n-grams of most texts aren't kept: those of what is left are taken from the texts again
+    marks = written(left.groupBy("mark").agg(F.min("u").alias("u")), "marks")
+    again = described(_of(docs, written(left.select("node").distinct(), "again"), doc_id, text), "node", "text", percent, width)
+    first = written(again.where(F.col("counted").isNotNull()).withColumn("mark", F.xxhash64("print")).join(small(marks, marks.count()), "mark"), "sets")
+    rows = _rows(first.withColumnRenamed("doc_id", "node"), percent).withColumnRenamed("node", "doc_id")
     blocks, n_rows = _blocks(rows.join(first.select("doc_id", "print").join(copies, "print").select("doc_id", "node"), "doc_id"), percent)
+    forget(rows)
 
     label = written(few(blocks.select("node").distinct(), n_rows).withColumn("component", F.col("node")), "labels")
     n_nodes = label.count()
     # the bitmaps of the classes in blocks; a class's first copy in some task has one
-    able = part.where(F.col("parity").isNotNull()).select("n", "print", "parity").join(small(copies.join(small(label, n_nodes), "node", "left_semi"), n_nodes, 32), "print")
+    able = first.select("n", "print", "parity").join(small(copies.join(small(label, n_nodes), "node", "left_semi"), n_nodes, 32), "print")
     classes = written(few(able.groupBy("node", "n").agg(F.min("parity").alias("parity")), n_nodes * 8), "classes")
+    forget(first)
     read = lambda wanted: _sets(docs, wanted, doc_id, text, width)
 
     links = None
@@ -268,10 +293,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         lined, _, _ = _open(blocks, n_rows, label, n_nodes)
         lined = lined.join(small(unmet, unmet.count()), "gram", "left_semi")
         sets = written(read(written(few(lined.select("node").distinct(), n_rows), "open")), "open-sets")
-        looked = lambda x: F.pmod(x, F.lit(COUNTED)) < COUNTED // 2 + 1
-        again = sets.select("node", F.xxhash64("node").alias("mark"), F.size("hashes").cast("long").alias("n"), F.filter("hashes", lambda x: ~looked(x)).alias("prefix"), F.filter("hashes", looked).alias("counted"))
-        left = written(few(_rows(again, percent).select("node").distinct(), n_rows), "left")
-        blocks, n_rows = _counted_blocks(sets.join(small(left, left.count()), "node", "left_semi"), percent)
+        forget(blocks)
+        blocks, n_rows = _counted_blocks(sets, percent)
         before, last, turn = None, n_rows == 0, 0
         while not last:
             turn += 1

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when its counted rows, at what a row takes in a hashed relation, stay below this.
-BROADCAST_BYTES = 32 * 1024 * 1024
+#: A side of a join is broadcast only when its counted rows, at what a row takes in a hashed relation, stay below this. The
+#: driver holds a relation several times over while it is built, and what a larger bound saves is a shuffle of narrow rows.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files that the given tables are read from: tables of written() whose readers have all been written
+    themselves. What isn't forgotten stays until the folder is cleared by its owner."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of texts that a Python worker is handed at once.
 TEXT_ROWS = 1000
 

@@ -1,6 +1,7 @@
 """op1, op3, op9 and the components against brute force."""
 
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from tessaly.llm.components import connected_components
 from tessaly.llm.jaccard import distinct_documents, jaccard_components, shingles
 from tessaly.llm.packing import cuts, pack_documents, sum_of_squares
+from tessaly.llm.shared import shared_dir
 from tessaly.llm.topk import best_of, exact_scores, integer_vectors, top_k
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -113,6 +115,18 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, -1, 1, 9] or sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 9]
 
 
+def test_jaccard_keeps_no_table_of_ngrams(spark):
+    """Tables of n-grams and prefixes go once their readers are written; before, they stayed beside every later table."""
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    there = lambda: {p.name for p in folder.iterdir() if p.name.startswith(("looked-", "sets-", "rows-", "held-"))}
+    before = there()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 3 :] + [f"x{i % 5}"])) for i in range(12)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert there() == before
+    assert {r["component_id"] for r in got.collect()} == {0}  # what is left is enough for the result
+
+
 def test_jaccard_null_id_before_a_sound_copy(spark):
     base = [f"w{i}" for i in range(60)]
     text, near = " ".join(base), " ".join([*base, "more"])
