@@ -2,8 +2,9 @@
 
 1. Every document gets a fingerprint of its n-gram set and a parity bitmap of it. Documents with equal fingerprints form
    a class; from here on a class is one row.
-2. Of one n-gram in COUNTED, chosen by hash, it is found out whether a single class holds it. All n-grams are ordered:
-   these single ones, then those not looked at, then the rest. A set of n n-grams can only link to sets that share one of
+2. Of one n-gram in some, chosen by hash, it is found out whether a single class holds it: more of them than a prefix
+   takes, as a set with too few single ones stays to be looked at whole. All n-grams are ordered: these single ones, then
+   those not looked at, then the rest. A set of n n-grams can only link to sets that share one of
    its first n - ceil(n p / 100) + 1 in that order, its prefix; single ones are shared by none, so most sets whose text
    isn't a copy have nothing left there. What is counted goes to as many tasks as it is worth; nothing is broadcast.
    Prefixes and bitmaps are made for what is left only, from the texts again, and a table goes once its readers are written.
@@ -40,8 +41,6 @@ from tessaly.llm.shared import few, fits_broadcast, forget, small, written
 
 WIDTH = 4
 PERCENT = 85
-#: One n-gram in so many is looked at in step 2. Any number gives the same links.
-COUNTED = 5
 PARITY_BITS = 2048
 #: Pivots end when so few pairs are left between components for each row of the blocks, or when they no longer halve them.
 PAIRS_A_ROW = 4
@@ -74,14 +73,20 @@ def prefix_size(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
+def counted_one_in(percent: int) -> int:
+    """One n-gram in so many is looked at in step 2, at least 4 for each 3 of a prefix. Any number gives the same links."""
+    return max(1, 300 // (4 * max(1, 100 - percent)))
+
+
 def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int, whole: bool = True) -> DataFrame:
     """doc_id, n, print (of the set), and for the first copy in a task that has an id: prefix (the first of the n-grams
     that aren't looked at, in the order of their hashes), counted (those that are) and parity. If not whole, only counted
     of these three."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    every = np.uint64(counted_one_in(percent))
 
     def one(hashes: np.ndarray) -> tuple[np.ndarray | None, np.ndarray, np.ndarray | None]:
-        chosen = hashes % np.uint64(COUNTED) == 0
+        chosen = hashes % every == 0
         if not whole:
             return None, hashes[chosen].view(np.int64), None
         parity = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
@@ -90,9 +95,9 @@ def described(docs: DataFrame, doc_id: str, text: str, percent: int, width: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for every in batches:
-            for at in range(0, every.num_rows, 256):
-                batch = every.slice(at, 256)
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                batch = whole_batch.slice(at, 256)
                 rows = []
                 for i, x in zip(batch.column(0), batch.column(1)):
                     hashes = shingles(x.as_py(), width)

@@ -15,6 +15,7 @@ replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -117,9 +118,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
-    """Train on four fifths of the rows and calibrate on the rest. shares: subword counts over their sum; places: of each
-    row the distinct places in the table of met subwords, and how often each is there."""
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], places: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
+    """Train on four fifths of the rows and calibrate on the rest. counts: of each row the buckets of its subwords and how
+    many lie there; places: the distinct places in the table of met subwords, and how often each is there."""
+
+    def shares(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, row in enumerate(rows):
+            at, n = counts[row]
+            out[i, at] = n / n.sum()
+        return out
+
     names = sorted(set(labels))
     y = np.array([names.index(x) for x in labels], np.int64)
     random = np.random.default_rng(seed)
@@ -133,7 +142,7 @@ def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels:
     for _ in range(EPOCHS):
         for at in range(0, len(train), BATCH):
             rows = random.permutation(train)[:BATCH] if at == 0 and len(train) <= BATCH else train[at : at + BATCH]
-            x = shares[rows]
+            x = shares(rows)
             hidden = x @ e
             error = softmax(hidden @ w + b)
             error[np.arange(len(rows)), y[rows]] -= 1
@@ -149,7 +158,7 @@ def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels:
     for row in train:
         met[places[row][0]] = True
     check = held if len(held) else train
-    logits = shares[check] @ e @ w + b
+    logits = shares(check) @ e @ w + b
     # the temperature with the least log loss, and of those tried the softer one in ties
     tried = np.geomspace(0.25, 8, 41)
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(check)), y[check]], 1e-12)).mean() for t in tried]
@@ -171,8 +180,8 @@ def fit(shares: np.ndarray, places: list[tuple[np.ndarray, np.ndarray]], labels:
 
 def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str = "text", label: str = "lang", rows_a_label: int = ROWS_A_LABEL) -> Model | None:
     """A model from the eligible rows with a label: for each label at most rows_a_label of them, and SAMPLE_ROWS in all,
-    those whose hashed ids are smallest (of rows with the same id and label, the one with the smallest text). Only their
-    subword counts come to the driver."""
+    those whose hashed ids are smallest (of rows with the same id and label, the one with the smallest text). Their subword
+    counts meet in one task, which is bounded by SAMPLE_ROWS; only the model comes to the driver."""
     rows = docs.where(eligible & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     # a row for each label; with more labels than SAMPLE_ROWS one row of each is learnt
@@ -204,10 +213,25 @@ def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, labels, ranks, where, what, places, often), kinds)], names=["id", "label", "rank", "at", "n", "place", "often"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = some.mapInArrow(run, f"id {kind}, label string, rank double, at array<smallint>, n array<float>, place array<int>, often array<int>").toArrow()
-    if not found.num_rows:
+    counted = some.mapInArrow(run, f"id {kind}, label string, rank double, at array<smallint>, n array<float>, place array<int>, often array<int>")
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (model := _model(list(batches), each)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        pa.default_memory_pool().release_unused()
+
+    found = counted.repartition(1).mapInArrow(learnt, "model binary").first()
+    return None if found is None else pickle.loads(found["model"])
+
+
+def _model(batches: list[pa.RecordBatch], each: int) -> Model | None:
+    """The model of the counted rows, of which each label takes as many as each."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return None
     # rows stay in Arrow's flat arrays, one column after the other; what is made for each row is a view
+    found = pa.Table.from_batches(batches)
+    batches.clear()
     rows = found.select(["id", "label", "rank"]).to_pandas().sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
     columns = {name: found.column(name) for name in ("at", "n", "place", "often")}
     del found
@@ -217,13 +241,7 @@ def train(docs: DataFrame, eligible: Column, doc_id: str = "doc_id", text: str =
         every = np.split(column.values.to_numpy(), column.offsets.to_numpy()[1:-1])
         return [every[i] for i in rows.index]
 
-    shares = np.zeros((len(rows), BUCKETS), np.float32)
-    for row, (at, n) in enumerate(zip(pieces("at"), pieces("n"))):
-        shares[row, at] = n / n.sum()
-    model = fit(shares, list(zip(pieces("place"), pieces("often"))), rows["label"].tolist())
-    del shares
-    pa.default_memory_pool().release_unused()
-    return model
+    return fit(list(zip(pieces("at"), pieces("n"))), list(zip(pieces("place"), pieces("often"))), rows["label"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

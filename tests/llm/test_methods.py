@@ -120,6 +120,14 @@ def brute_counts(text):
     return counts, places
 
 
+def test_training_brings_no_rows_to_the_driver(spark, monkeypatch):
+    """The counts of the learnt rows meet in a task; before, they all came to the driver as an Arrow table."""
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
+    docs = spark.createDataFrame([(i, f"one two three {i}" if i % 2 else f"eins zwei drei {i}", "en" if i % 2 else "de") for i in range(60)], "doc_id long, text string, lang string")
+    assert langid.train(docs, F.lit(True)).labels == ["de", "en"]
+    assert langid.train(docs.where("doc_id < 0"), F.lit(True)) is None
+
+
 def test_predictions_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.train(docs, ~langid.held_out())

@@ -10,10 +10,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessaly.llm.components import connected_components
-from tessaly.llm.jaccard import distinct_documents, jaccard_components, shingles
+from tessaly.llm.jaccard import _left, described, distinct_documents, jaccard_components, shingles
 from tessaly.llm.packing import cuts, pack_documents, sum_of_squares
 from tessaly.llm.shared import shared_dir
 from tessaly.llm.topk import best_of, exact_scores, integer_vectors, top_k
@@ -127,6 +128,18 @@ def test_jaccard_keeps_no_table_of_ngrams(spark):
     assert {r["component_id"] for r in got.collect()} == {0}  # what is left is enough for the result
 
 
+def test_jaccard_leaves_few_unrelated_sets(spark):
+    """So many n-grams are looked at that most sets without a copy hold enough single ones; at 80 percent
+    one in five was about as many as a prefix takes."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choices([f"w{k}" for k in range(500)], k=300))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, width in ((80, 5), (85, 4)):
+        looked = described(docs, "doc_id", "text", percent, width, whole=False)
+        left = _left(looked.select(F.col("doc_id").alias("node"), F.xxhash64("print").alias("mark"), "n", "counted"), percent)
+        assert left.count() < 40
+
+
 def test_jaccard_null_id_before_a_sound_copy(spark):
     base = [f"w{i}" for i in range(60)]
     text, near = " ".join(base), " ".join([*base, "more"])
