@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaly.operators.places import ranked
-from tessaly.sources.stored import stored
+from tessaly.sources.stored import broadcast_if_small, stored
 
 #: What a term counts for in a title and in a body, and how much of a query is read.
 TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
@@ -39,10 +39,21 @@ def lexemes(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
 
-def inverted_index(df: DataFrame, key: str, title: str, body: str) -> DataFrame:
+def query_terms(queries: DataFrame, text: str) -> DataFrame:
+    """term: the distinct lexemes of all queries."""
+    return queries.select(F.explode(lexemes(sanitised(F.col(text)))).alias("term")).distinct()
+
+
+def inverted_index(df: DataFrame, key: str, title: str, body: str, terms: DataFrame | None = None) -> DataFrame:
     """term, key, n_title, n_body for every lexeme of every row; nulls are empty texts. Written as a table: a search reads
-    it several times."""
-    part = lambda c, at: df.select(key, F.explode(lexemes(F.col(c))).alias("term"), F.lit(at).alias("_part"))
+    it several times. With terms (term, distinct), the whole index of these: an index that serves known queries only needs
+    no postings of others, and these are neither counted nor shuffled."""
+    asked = None if terms is None else broadcast_if_small(stored(terms, "terms"))
+
+    def part(c: str, at: int) -> DataFrame:
+        rows = df.select(key, F.explode(lexemes(F.col(c))).alias("term"), F.lit(at).alias("_part"))
+        return rows if asked is None else rows.join(asked, "term", "left_semi")
+
     found = part(title, 0).union(part(body, 1)).groupBy("term", key).agg(F.count_if(F.col("_part") == 0).alias("n_title"), F.count_if(F.col("_part") == 1).alias("n_body"))
     return stored(found, "postings")
 

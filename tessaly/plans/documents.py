@@ -23,15 +23,21 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", text.alias("query"))
 
 
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    queries = _queries(spark, d)
+    index = S.inverted_index(_titled(spark, d), "doc_id", "title", "body", S.query_terms(queries, "query"))
+    return S.search(index, queries, "doc_id", "item_id", "query")
+
+
 def search_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every hit of every query with its rank."""
-    hits = S.search(S.inverted_index(_titled(spark, d), "doc_id", "title", "body"), _queries(spark, d), "doc_id", "item_id", "query")
+    hits = _hits(spark, d)
     return hits.select("item_id", "doc_id", F.round("rank", 6).alias("rank"))
 
 
 def search_first_hits(spark: SparkSession, d: str) -> DataFrame:
     """The three best hits of each query."""
-    hits = S.search(S.inverted_index(_titled(spark, d), "doc_id", "title", "body"), _queries(spark, d), "doc_id", "item_id", "query")
+    hits = _hits(spark, d)
     return S.placed_hits(hits.withColumn("rank", F.round("rank", 6)), "doc_id", "item_id").where("place <= 3").select("item_id", "place", "doc_id")
 
 

@@ -39,6 +39,16 @@ def test_search(spark):
     assert S.search(index.limit(0), queries, "id", "q", "text").count() == 0
 
 
+def test_search_index_of_asked_terms(spark):
+    """An index for known queries keeps the postings of their terms alone, whole; before, it could only hold all terms."""
+    docs = spark.createDataFrame([(1, "Skilled visa", "A visa for nurses"), (2, "Nurses", "visa visa visa"), (3, None, "the skilled")], "id int, title string, body string")
+    queries = spark.createDataFrame([("a", "VISA of nurses"), ("b", "visa zebra"), ("c", None)], "q string, text string")
+    index = S.inverted_index(docs, "id", "title", "body", S.query_terms(queries, "text"))
+    assert sorted(map(tuple, index.collect())) == [("nurses", 1, 0, 1), ("nurses", 2, 1, 0), ("visa", 1, 1, 1), ("visa", 2, 0, 3)]
+    hits = lambda i: sorted(map(tuple, S.search(i, queries, "id", "q", "text").collect()))
+    assert hits(index) == hits(S.inverted_index(docs, "id", "title", "body")) != []
+
+
 def test_programme_documents(spark):
     programmes = spark.createDataFrame([(1, "P", "c", "open", None, 2000, None, "AUS", "long", None, None), (2, "Q", "c", "open", None, None, None, "XXX", None, None, None)], "programme int, name string, category string, status string, description string, launch_year int, closure_year int, country string, long_summary string, long_summary_at timestamp, long_summary_by string")
     countries = spark.createDataFrame([("AUS", "Australia", "Oceania")], "country string, country_name string, region string")
