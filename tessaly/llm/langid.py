@@ -229,16 +229,13 @@ def _model(batches: list[pa.RecordBatch], each: int) -> Model | None:
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return None
-    # rows stay in Arrow's flat arrays, one column after the other; what is made for each row is a view
-    found = pa.Table.from_batches(batches)
-    batches.clear()
-    rows = found.select(["id", "label", "rank"]).to_pandas().sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
-    columns = {name: found.column(name) for name in ("at", "n", "place", "often")}
-    del found
+    # rows stay where Arrow's batches put them; what is made for each row is a view, so nothing is held twice
+    heads = pa.Table.from_batches([b.select(["id", "label", "rank"]) for b in batches])
+    rows = heads.to_pandas().sort_values(["label", "rank", "id"], kind="stable").groupby("label", sort=False).head(each).sort_values(["id", "label"], kind="stable")
 
     def pieces(name: str) -> list[np.ndarray]:
-        column = columns.pop(name).combine_chunks()
-        every = np.split(column.values.to_numpy(), column.offsets.to_numpy()[1:-1])
+        columns = [b.column(name) for b in batches]
+        every = [x for c in columns for x in np.split(c.values.to_numpy(), c.offsets.to_numpy()[1:-1])]
         return [every[i] for i in rows.index]
 
     return fit(list(zip(pieces("at"), pieces("n"))), list(zip(pieces("place"), pieces("often"))), rows["label"].tolist())

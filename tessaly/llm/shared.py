@@ -45,12 +45,12 @@ def forget(*tables: DataFrame) -> None:
 
 
 #: Rows of texts that a Python worker is handed at once.
-TEXT_ROWS = 1000
+TEXT_ROWS = 200
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Hand Python workers TEXT_ROWS rows at a time in this session, unless it says less: with texts of some kilobytes the
-    default of ten times as many fills the memory of a worker and the JVM's buffers beside it."""
+    default of fifty times as many fills the memory of a worker and the JVM's buffers beside it, which aren't given back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))

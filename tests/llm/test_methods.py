@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ import corpus_pipeline
 from tessaly.llm import langid
 from tessaly.llm.packing import packed, sum_of_squares
 from tessaly.llm.quality import HOST_FAIL_RATE, quality_verdicts
+from tessaly.llm.shared import bound_batches
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -170,3 +172,39 @@ def test_stages_on_odd_rows(spark):
     assert stages["packing"](spark, docs.limit(0), "").count() == 0
     pieces = stages["packing"](spark, whole, "").collect()
     assert sum(r["doc_id"] is None for r in pieces) == 2 and sum(r["doc_id"] == 10**6 for r in pieces) == 1
+
+
+def test_language_sample_is_held_once():
+    """Training takes views of the sample's batches; before, it copied all of their arrays."""
+    r = np.random.default_rng(5)
+
+    def lists(n_rows, n, most, kind):
+        values = np.concatenate([np.sort(r.choice(most, n, replace=False)) for _ in range(n_rows)]).astype(kind)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * n + 1, n, dtype=np.int32)), pa.array(values))
+
+    batches = []
+    for k in range(10):
+        ids, names = pa.array(range(20 * k, 20 * k + 20)), pa.array(["de", "en"] * 10)
+        at, place = lists(20, 100, langid.BUCKETS, np.int16), lists(20, 3000, 100_000, np.int32)
+        n, often = (pa.ListArray.from_arrays(x.offsets, pa.array(np.ones(len(x.values), kind))) for x, kind in ((at, np.float32), (place, np.int32)))
+        batches.append(pa.RecordBatch.from_arrays([ids, names, pa.array(r.random(20)), at, n, place, often], names=["id", "label", "rank", "at", "n", "place", "often"]))
+    size, pool, old = sum(b.nbytes for b in batches), pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        model = langid._model(list(batches), 60)
+    finally:
+        pa.set_memory_pool(old)
+    assert model.labels == ["de", "en"] and 0 < model.met.sum() < 100_000
+    assert pool.max_memory() < size / 10
+
+
+def test_pipeline_hands_out_few_texts_at_once(spark):
+    """At 1000 rows a batch the buffers of workers and executors grew past the check's limit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        bound_batches(spark)
+        assert int(spark.conf.get(key)) <= 200
+    finally:
+        spark.conf.set(key, before)
