@@ -22,6 +22,8 @@ from tessaly.sources.stored import stored
 SPLITS = (0.2, 0.25, 0.35, 0.4, 0.5)
 FACTORS = (0.9, 0.95, 1.05, 1.1)
 TRIALS = 50
+#: Rows of entities under perturbations that one task scores.
+TASK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -122,7 +124,9 @@ def sensitivity_runs(values: DataFrame, entities: DataFrame, fields: list[Field]
     plain = _scored(cohort.withColumn("p", literal(BASELINE)), fields, profile, entity, [])
     # written before it is ranked, as dealing rows by range looks at them twice
     base = ranked(stored(plain.select(entity, composite.alias("_c")), "baseline"), order, "base_rank").select(entity, "base_rank")
-    many = cohort.join(base, entity).withColumn("p", F.explode(F.array(*map(literal, perturbations))))
+    # a cohort is small and lies in few files, what it explodes into isn't: dealt by the rows that it makes
+    dealt = cohort.join(base, entity).repartition(-(-cohort.count() * len(perturbations) // TASK_ROWS) or 1)
+    many = dealt.withColumn("p", F.explode(F.array(*map(literal, perturbations))))
     new = _scored(many, fields, profile, entity, ["base_rank"]).select(entity, "base_rank", F.col("p.analysis").alias("analysis"), F.col("p.label").alias("label"), composite.alias("_c"))
     return rank_statistics(ranked(stored(new, "perturbed"), order, "new_rank", ["analysis", "label"]), "base_rank", "new_rank", ["analysis", "label"])
 

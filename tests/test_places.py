@@ -83,3 +83,19 @@ def test_standard_perturbations():
     runs = V.standard_perturbations(list("ABCDE"))
     assert len(runs) == 5 + 4 + 1 + 5 + 50 and len({(p.analysis, p.label) for p in runs}) == 65
     assert all(0.24 <= p.cme <= 0.36 and p.cme + p.paq == pytest.approx(1) for p in runs if p.analysis == "weight_monte_carlo")
+
+
+def test_sensitivity_deals_a_small_cohort(spark, monkeypatch):
+    """A cohort in one file is dealt by the rows that it explodes into; before, one task scored them all."""
+    values = spark.createDataFrame([(i, "a", str(i % 17), 1, "approved") for i in range(60)], "entity int, key string, raw string, place int, status string").coalesce(1)
+    entities = spark.createDataFrame([(i, float(i % 7)) for i in range(60)], "entity int, cme double").coalesce(1)
+    fields = [V.Field("a", "A", "A.1", 1.0, "min_max", low=0.0, high=16.0)]
+    substitutes = spark.createDataFrame([], "key string, region string, value string, score double")
+    runs = [V.Perturbation("split", str(k), cme=k / 10, paq=1 - k / 10) for k in range(1, 9)]
+    whole = sorted(map(tuple, V.sensitivity_runs(values, entities, fields, substitutes, runs).collect()))
+    tasks, stored = {}, V.stored
+    monkeypatch.setattr(V, "stored", lambda df, name: tasks.setdefault(name, df.rdd.getNumPartitions()) and stored(df, name))
+    monkeypatch.setattr(V, "TASK_ROWS", 60, raising=False)
+    assert sorted(map(tuple, V.sensitivity_runs(values, entities, fields, substitutes, runs).collect())) == whole and len(whole) == 8
+    assert tasks["perturbed"] == 8
+    assert V.sensitivity_runs(values.limit(0), entities, fields, substitutes, runs).count() == 0
