@@ -48,6 +48,28 @@ def median_pillar_scores(scored: DataFrame) -> DataFrame:
     return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("scored_count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("pillar", "median")))).alias("medians"))
 
 
+def _field_values(programmes: DataFrame, fields: DataFrame, values: DataFrame) -> DataFrame:
+    """programme and field_values: a row for every field, in the order of pillar, sub-factor and key (nulls last), with the
+    programme's values of it. The order is the same for all programmes, so the fields are numbered once, as one row, and
+    a programme gathers its values by number and adds the fields that it lacks; no row is made for each of these."""
+    order = [x for c in ("pillar", "sub_factor", "key") for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    listed = fields.agg(F.array_sort(F.collect_list(F.struct(*order, "field", "label", "weight"))).alias("fields"))
+    places = listed.select(F.posexplode("fields").alias("place", "of")).select("place", "of.field")
+    some = values.join(F.broadcast(places), "field").groupBy("programme").agg(F.collect_list(F.struct("place", "value_raw", "score", "status")).alias("given"))
+    kind = some.schema["given"].dataType
+    empty = F.array().cast(kind)
+    found = programmes.select("programme").distinct().join(some, "programme", "left").withColumn("given", F.coalesce("given", empty)).crossJoin(F.broadcast(listed))  # listed: one row
+    numbers = F.when(F.size("fields") > 0, F.sequence(F.lit(0), F.size("fields") - 1)).otherwise(F.array().cast("array<int>"))
+    lacking = F.transform(F.array_except(numbers, F.col("given.place")), lambda n: F.struct(n.alias("place"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.elementType.fields[1:]]))
+    found = found.withColumn("given", F.array_sort(F.concat("given", lacking)))
+
+    def filled(x: Column) -> Column:
+        of = F.get("fields", x["place"])
+        return F.struct(*[of[c].alias(c) for c in ("field", "key", "label", "pillar", "sub_factor", "weight")], x["value_raw"].alias("value_raw"), x["score"].alias("score"), F.coalesce(x["status"], F.lit("draft")).alias("status"))
+
+    return found.select("programme", F.transform("given", filled).alias("field_values"))
+
+
 def programme_documents(
     programmes: DataFrame, countries: DataFrame, scores: DataFrame, definitions: DataFrame, values: DataFrame, sources: DataFrame, changes: DataFrame, history: DataFrame, versions: DataFrame
 ) -> DataFrame:
@@ -76,9 +98,7 @@ def programme_documents(
 
     fields = definitions.where(F.col("pillar").isin(*PILLARS))
     known = F.broadcast(definitions.select("field", F.col("key").alias("field_key"), F.col("label").alias("field_label")))
-    grid = programmes.select("programme").join(F.broadcast(fields))  # every programme by the definitions, some dozens
-    filled = grid.join(values.select("programme", "field", "value_raw", "score", "status"), ["programme", "field"], "left").withColumn("status", F.coalesce("status", F.lit("draft")))
-    field_values = nested(filled, "programme", "field_values", [("pillar", False), ("sub_factor", False), ("key", False)], ["field", "key", "label", "pillar", "sub_factor", "weight", "value_raw", "score", "status"])
+    field_values = _field_values(programmes, fields, values)
 
     some = changes.where("approved").join(known, "field").where(F.col("severity").isin(*SEVERITIES)).withColumn("summary", F.coalesce("summary", F.lit("")))
     points = top_per_key(history, ["programme"], [F.col("scored_at").desc(), F.col("version").desc()], HISTORY_POINTS).join(tags, "version", "left")

@@ -90,8 +90,11 @@ def programme_documents(spark: SparkSession, d: str) -> DataFrame:
 def programme_json(spark: SparkSession, d: str) -> DataFrame:
     """The documents as JSON text, read back by path."""
     j = D.as_json(_documents(spark, d))
-    at = lambda path: F.get_json_object("document", path)
-    return j.select("programme", at("$.header.name").alias("name"), at("$.score.composite").try_cast("double").alias("composite"), at("$.sources[0].url").alias("first_source"), at("$.policy_changes[0].change").try_cast("long").alias("last_change"), at("$.field_values[0].key").alias("first_field"))
+    # one parse for all paths; get_json_object reads the whole text for each
+    kept = "header struct<name: string>, score struct<composite: double>, sources array<struct<url: string>>, policy_changes array<struct<change: bigint>>, field_values array<struct<key: string>>"
+    j = j.select("programme", F.from_json("document", kept).alias("x"))
+    first = lambda c: F.get(F.col(f"x.{c}"), F.lit(0))
+    return j.select("programme", F.col("x.header.name").alias("name"), F.col("x.score.composite").alias("composite"), first("sources")["url"].alias("first_source"), first("policy_changes")["change"].alias("last_change"), first("field_values")["key"].alias("first_field"))
 
 
 QUERIES = {f.__name__: f for f in (search_terms, search_first_hits, search_inputs, programme_documents, programme_json)}

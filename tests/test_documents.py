@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tessaly.functions import text as T
 from tessaly.operators import derive as V
 from tessaly.operators import documents as D
@@ -159,3 +160,21 @@ def test_latest_decisions(spark):
     rows = [(1, "approve", 5, 1), (1, "reject", 5, 2), (1, "edit", 4, 9), (2, "edit", None, 1), (2, "approve", None, 3), (3, "reject", None, 8), (3, "edit", 1, 1)]
     found = R.latest_decisions(spark.createDataFrame(rows, "id int, decision string, at int, seq int"))
     assert sorted((r["id"], r["decision"]) for r in found.collect()) == [(1, "reject"), (2, "approve"), (3, "edit")]
+
+
+def test_field_values_without_a_grid(spark):
+    """A programme's values are gathered by the fields' numbers: every field once or once for each of its values, nulls of
+    the order last. Before, every programme was joined with all fields, a row for each."""
+    programmes = spark.createDataFrame([(1,), (2,)], "programme int")
+    fields = spark.createDataFrame([(10, "b", "L", "B", None, 1.0), (11, "b", "L", "B", 2, 1.0), (12, None, "L", "A", 1, 1.0), (13, "z", "L", "A", 1, 1.0), (None, "n", "L", "C", 1, 1.0)], "field int, key string, label string, pillar string, sub_factor int, weight double")
+    values = spark.createDataFrame([(1, 11, "v", 5.0, "approved"), (1, 10, "w", None, None), (1, 10, "x", 1.0, "pending"), (1, 99, "u", 1.0, "approved"), (3, 11, "o", 1.0, "approved")], "programme int, field int, value_raw string, score double, status string")
+    found = D._field_values(programmes, fields, values)
+    got = {r["programme"]: [(x["field"], x["key"], x["value_raw"], x["status"]) for x in r["field_values"]] for r in found.collect()}
+    bare = [(13, "z", None, "draft"), (12, None, None, "draft"), (11, "b", None, "draft"), (10, "b", None, "draft"), (None, "n", None, "draft")]
+    assert got == {1: [*bare[:2], (11, "b", "v", "approved"), (10, "b", "w", "draft"), (10, "b", "x", "pending"), bare[-1]], 2: bare}
+    assert {r["programme"]: r["field_values"] for r in D._field_values(programmes, fields.limit(0), values).collect()} == {1: [], 2: []}
+
+
+def test_programme_json_is_parsed_once(spark):
+    plan = queries()["programme_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") + plan.count("from_json") == 1
