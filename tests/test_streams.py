@@ -69,3 +69,28 @@ def test_state_travels_with_rows(spark, tmp_path):
     for out in (expiring.blocked_domains(stream), expiring.cache_fetches(stream, ["domain"], "at", "seq", 24)):
         plan = out._jdf.queryExecution().analyzed().toString()
         assert "TransformWithState" not in plan and "WithState" in plan
+
+
+def test_cache_state_is_dealt_to_groups(spark, tmp_path):
+    """A call of Python and a row of state for each key take many times as long as the key's rows."""
+    schema, n = "k long, at timestamp_ntz, id long", 5000
+    folder = tmp_path / "in"
+    spark.range(n).selectExpr("id AS k", "timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id % 60) AS at", "id").union(spark.createDataFrame([(3, DAY + dt.timedelta(hours=23), n), (3, DAY + dt.timedelta(hours=25), n + 1)], schema)).write.parquet(str(folder))
+    out = expiring.cache_fetches(jobs.source(spark, str(folder / "*.parquet"), files_a_trigger=100), ["k"], "at", "id", 24)
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < query.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] <= 2048
+    assert {r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {*range(n), n + 1}
+
+
+def test_cache_keeps_keys_apart_and_numbers_whole(spark, tmp_path):
+    """All in one group: null, empty and zero keys, and numbers that a double doesn't hold."""
+    big, at = 2**53, lambda hours: DAY + dt.timedelta(hours=hours)
+    batches = [[(None, "a", at(0), big + 1), ("a", None, at(0), big + 3), ("null", "a", at(0), 1), ("", "a", at(0), 2), ('","', "a", at(0), None), ("t", "t", at(1), big + 3), ("t", "t", at(1), big + 1), ("t", "t", at(2), None)], [(None, "a", at(23), 4), ("a", None, at(24), 5), ("t", "t", at(25), 6)]]
+    stream = staged(spark, tmp_path / "in", batches, "k string, j string, at timestamp_ntz, id long")
+    got = [r["id"] for r in jobs.drain(expiring.cache_fetches(stream, ["k", "j"], "at", "id", 24, groups=1)).collect()]
+    assert sorted(x for x in got if x is not None) == [1, 2, 5, 6, big + 1, big + 1, big + 3] and len(got) == 8
+    rows = [(big + 1, 0.0, at(0), 1), (big, 0.0, at(0), 2), (big, -0.0, at(1), 3), (None, 0.0, at(0), 4), (None, None, at(0), 5), (big, float("nan"), at(2), 6)]
+    stream = staged(spark, tmp_path / "numbers", [rows], "k long, x double, at timestamp_ntz, id int")
+    out = expiring.cache_fetches(stream, ["k", "x"], "at", "id", 24, groups=1)
+    assert {(r["k"], r["id"]) for r in jobs.drain(out).collect()} == {(big + 1, 1), (big, 2), (None, 4), (None, 5), (big, 6)}
